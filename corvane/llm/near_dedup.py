@@ -5,9 +5,10 @@ Every class of equal shingle sets has one MinHash signature of ``coordinates`` v
 must meet among the ``coordinates - matches + 1`` rarest postings of a set: only this prefix is joined, postings held by
 one set count towards the prefix without being stored, and a set with too few shared postings is left out whole.
 
-No group is expanded into all its pairs. First each posting links its members with its smallest one; the confirmed links
-give components, and a posting whose members are already in one component is skipped. Only what is left, members
-outside the largest component of their posting against the members of other components, is compared pair by pair.
+No group is expanded into all its pairs. First each node is compared with a centre, the member of a posting that shares the
+most coordinates, which it meets most often; the confirmed links give components, and a posting whose members are in one component is skipped. What
+is left drops nodes by an exact bound, shingles that no other of these nodes has cannot be shared, and compares the rest
+in blocks that count all intersections at once and let only links out.
 Candidates with enough collisions are confirmed on their full shingle sets, so no link is approximate; a pair at the
 similarity threshold is missed only if its signatures agree in fewer than ``matches`` places (at 0.8, 64 and 32: about
 1e-8).
@@ -34,6 +35,9 @@ from . import kernels as K
 from .components import components
 from .scratch import keep, only_keys, small
 
+#: Nodes on each side of a block, and columns of an incidence matrix that are held at a time.
+BLOCK, COLUMNS = 512, 4096
+
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Per text, the sorted distinct hashes of its shingles of ``size`` words, A-Z folded."""
@@ -101,17 +105,96 @@ def _collisions(batches: Iterator[pa.RecordBatch], matches: int) -> Iterator[pa.
         yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= matches))
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int, matches: int, name: str) -> DataFrame:
-    """Of candidate pairs (a, b) of nodes, those whose full sets are similar enough."""
+def _full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, name: str) -> DataFrame:
+    """Shingles of the nodes in ``wanted`` (node): node, shingles."""
+    ends = keep(wanted.select(F.col("node").alias("doc_id")).distinct(), f"{name}-ends")
+    texts = only_keys(docs.select(F.col("doc_id").cast("long"), "text"), ends, ["doc_id"])
+    marks = only_keys(nodes.select(F.col("node").alias("doc_id"), "mark"), ends, ["doc_id"])
+    # a row that shares a node's doc_id but not its text has another mark
+    sets = texts.mapInArrow(partial(_shingles, size=size), "doc_id long, mark binary, shingles array<long>").join(marks, ["doc_id", "mark"], "left_semi")
+    return keep(sets.select(F.col("doc_id").alias("node"), "shingles"), f"{name}-sets")
+
+
+def _colliding(nodes: DataFrame, pairs: DataFrame, matches: int, name: str) -> DataFrame:
+    """Of pairs (a, b), those whose signatures agree in enough coordinates."""
     sign = lambda x: nodes.select(F.col("node").alias(x), F.col("sign").alias(f"sign_{x}"))
-    near = keep(pairs.join(sign("a"), "a").join(sign("b"), "b").mapInArrow(partial(_collisions, matches=matches), "a long, b long"), f"{name}-near")
-    ends = keep(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ends")
-    texts = only_keys(docs.select("doc_id", "text"), ends, ["doc_id"])
-    marks = nodes.select(F.col("node").alias("doc_id"), "mark")
-    sets = keep(texts.mapInArrow(partial(_shingles, size=size), "doc_id long, mark binary, shingles array<long>").join(only_keys(marks, ends, ["doc_id"]), ["doc_id", "mark"], "left_semi"), f"{name}-sets")
-    part = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s_{x}"))
+    return keep(pairs.join(sign("a"), "a").join(sign("b"), "b").mapInArrow(partial(_collisions, matches=matches), "a long, b long"), f"{name}-near")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose full sets are similar enough."""
+    part = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
-    return near.join(part("a"), "a").join(part("b"), "b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b").distinct()
+    return pairs.join(part("a"), "a").join(part("b"), "b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b").distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def _mixed(prefix: DataFrame, found: DataFrame | None, name: str) -> DataFrame:
+    """Postings whose members are in more than one component so far: posting, node, home."""
+    if found is not None:
+        prefix = keep(prefix.join(found, prefix.node == found.member, "left").select("posting", "node", F.coalesce("component", "node").alias("home")), f"{name}-placed")
+    mixed = prefix.groupBy("posting").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("posting")
+    return keep(prefix.join(mixed, "posting", "left_semi"), f"{name}-mixed")
+
+
+def _block(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the left and the right nodes of a block: intersections by a product of incidence matrices."""
+    table = table.combine_chunks()
+    node, home, left, main = (table.column(c).to_numpy() for c in ("node", "home", "is_left", "main"))
+    lists = table.column("shingles").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy()
+    unique, index, held = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(node)), size)
+    shared = held[index] > 1
+    row, index = row[shared], np.unique(index[shared], return_inverse=True)[1]
+    order = np.argsort(index, kind="stable")
+    row, index = row[order], index[order]
+    a, b = np.flatnonzero(left), np.flatnonzero(~left)
+    place = np.zeros(len(node), np.int64)
+    place[a], place[b] = np.arange(len(a)), np.arange(len(b))
+    both = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, int(index[-1]) + 1 if len(index) else 0, COLUMNS):
+        i, j = np.searchsorted(index, [lo, lo + COLUMNS])
+        part, column, of_left = row[i:j], index[i:j] - lo, left[row[i:j]]
+        x, y = np.zeros((len(a), COLUMNS), np.float32), np.zeros((len(b), COLUMNS), np.float32)
+        x[place[part[of_left]], column[of_left]] = 1
+        y[place[part[~of_left]], column[~of_left]] = 1
+        both += x @ y.T
+    near = 100 * both >= percent * (size[a][:, None] + size[b][None] - both)
+    near &= (home[a][:, None] != home[b][None]) & ((home[b] == main[b])[None] | (node[a][:, None] < node[b][None]))
+    x, y = np.nonzero(near)
+    x, y = node[a[x]], node[b[y]]
+    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _linked_in_blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different homes among nodes that share a posting.
+
+    Nodes that meet, over any chain of postings, are one group, so each pair is looked at in one place. Of a group the
+    nodes outside its largest home stand against all; large groups are cut into blocks on both sides, so a task never
+    holds more than two blocks, and only links leave it.
+    """
+    least = mixed.groupBy("posting").agg(F.min("node").alias("least"))
+    groups = components(mixed.join(least, "posting").select("node", "least"), "node", "least")
+    homes = mixed.select("node", "home").distinct()
+    rows = keep(homes.join(groups, homes.node == groups.member).select(F.col("component").alias("group"), "node", "home"), "near-groups")
+    counts = rows.groupBy("group", "home").count().groupBy("group").agg(F.max_by("home", F.struct("count", "home")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("n_main"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = rows.join(counts, "group").join(sets, "node").withColumns({"n_right": blocks(F.col("n")), "n_left": blocks(F.col("n") - F.col("n_main"))})
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    fields = ["group", "node", "home", "main", "shingles"]
+    left = rows.where("home <> main").select(*fields, F.lit(True).alias("is_left"), at("n_left").alias("i"), every("n_right").alias("j"))
+    right = rows.where("n_left > 0").select(*fields, F.lit(False).alias("is_left"), every("n_left").alias("i"), at("n_right").alias("j"))
+
+    def block(table: pa.Table) -> pa.Table:
+        return _block(table, percent)
+
+    return left.unionByName(right).groupBy("group", "i", "j").applyInArrow(block, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 64, matches: int = 32, seed: int = 1) -> DataFrame:
@@ -122,27 +205,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     """
     signed = keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_sign, size=size, coordinates=coordinates, seed=seed), "doc_id long, n_shingles long, mark binary, sign binary"), "near-signed")
     known = signed.where("doc_id is not null and mark is not null")
-    nodes = keep(known.groupBy("mark").agg(F.min("doc_id").alias("node"), F.min("sign").alias("sign")), "near-nodes")
+    nodes = keep(known.groupBy("mark").agg(F.min("doc_id").alias("node"), F.min("sign").alias("sign"), F.min("n_shingles").alias("n")), "near-nodes")
 
-    posted = nodes.mapInArrow(_explode, "posting long, node long") if coordinates else None
+    posted = nodes.mapInArrow(_explode, "posting long, node long")
     shared = posted.groupBy("posting").agg(F.count("*").alias("held")).where("held > 1")
     ranked = posted.join(shared, "posting").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("held", "posting"))).withColumn("has", F.count("*").over(Window.partitionBy("node")))
-    prefix = keep(ranked.where(f"has >= {matches} and at <= {coordinates - matches + 1} - ({coordinates} - has)").select("posting", "node"), "near-prefix")
-
-    least = prefix.groupBy("posting").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("posting", "a")
-    first = prefix.join(least, "posting").where("node > a").select("a", F.col("node").alias("b")).distinct()
-    links = keep(_confirmed(docs, nodes, first, size, percent, matches, "near-first"), "near-links")
-    found = components(links, "a", "b")
-
-    placed = prefix.join(found, prefix.node == found.member, "left").select("posting", "node", F.coalesce("component", "node").alias("home"))
-    placed = keep(placed, "near-placed")
-    mixed = placed.groupBy("posting").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("posting")
-    placed = keep(placed.join(mixed, "posting", "left_semi"), "near-mixed")
-    largest = placed.groupBy("posting", "home").count().groupBy("posting").agg(F.max_by("home", F.struct("count", "home")).alias("main"))
-    left = placed.join(largest, "posting").where("home <> main").select("posting", F.col("node").alias("x"), F.col("home").alias("from"), "main")
-    right = placed.select("posting", F.col("node").alias("y"), F.col("home").alias("to"))
-    second = left.join(right, "posting").where("from <> to and (to = main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = keep(_confirmed(docs, nodes, second, size, percent, matches, "near-second"), "near-more")
+    prefix = keep(ranked.where(f"has >= {matches} and at <= {coordinates - matches + 1} - ({coordinates} - has)").select("posting", "node", "has"), "near-prefix")
+
+    # each node with a centre: of its postings' members with the most shared coordinates, the one that it meets most often
+    centres = prefix.groupBy("posting").agg(F.max_by("node", F.struct("has", -F.col("node"))).alias("a"), F.count("*").alias("members")).where("members > 1").select("posting", "a")
+    met = prefix.join(centres, "posting").where("node <> a").groupBy("node", "a").agg(F.count("*").alias("times"))
+    first = met.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
+    near = _colliding(nodes, first, matches, "near-first")
+    links = keep(_confirmed(near, _full_sets(docs, nodes, _ends(near), size, "near-first"), percent), "near-links")
+
+    # what is left: members outside the largest component of a posting, and members of other components
+    mixed = _mixed(prefix, components(links, "a", "b"), "near")
+    sets = _full_sets(docs, nodes, mixed, size, "near-mixed")
+    # shingles that no other of these nodes has cannot be shared
+    alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("held"), F.min("node").alias("node")).where("held = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    bound = keep(sets.select("node", F.size("shingles").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).where(f"100 * most >= {percent} * n"), "near-bound")
+    mixed = _mixed(mixed.join(bound, "node").select("posting", "node", "home"), None, "near-bounded")
+    more = keep(_linked_in_blocks(mixed, sets, percent), "near-more")
 
     links = links.unionByName(more).distinct()
     found = components(links, "a", "b")
