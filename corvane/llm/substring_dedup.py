@@ -106,50 +106,65 @@ def _extend(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
                 )
 
 
+#: Word ranges.
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping, touching and repeated ranges (at, length) of each text as disjoint ones."""
+    for batch in batches:
+        found = batch.column("found")
+        out = []
+        for r in range(batch.num_rows):
+            own = found[r].values
+            start, length = (own.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "length"))
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], np.maximum.accumulate((start + length)[order])
+            head = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+            out.append([{"start": a, "end": b} for a, b in zip(start[head].tolist(), end[np.append(head[1:] - 1, len(end) - 1)].tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(out, SPANS)], [*KEY, "found"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their removed words; ranges may overlap and repeat."""
+    """Texts without the words of their ranges."""
     for batch in batches:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "removed": []}
         for i, text in enumerate(batch.column("text")):
             words = (text.as_py() or "").encode().split()
             out["n_words"].append(len(words))
-            found = batch.column("found")[i].as_py()
-            spans: list[list[int]] = []
-            for a, n in sorted((x["at"], x["length"]) for x in found or []):
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], a + n)
-                else:
-                    spans.append([a, a + n])
+            spans = batch.column("found")[i].as_py() or []
             kept, last = [], 0
-            for a, b in spans:
-                kept += words[last:a]
-                last = b
+            for x in spans:
+                kept += words[last : x["start"]]
+                last = x["end"]
             kept += words[last:]
             out["n_removed"].append(len(words) - len(kept))
             out["kept_sha256"].append(sha256(b" ".join(kept)).hexdigest())
-            out["removed"].append([{"start": a, "end": b} for a, b in spans])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_sha256"], pa.string()), pa.array(out["removed"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", *out])
+            out["removed"].append(spans)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_sha256"], pa.string()), pa.array(out["removed"], SPANS)], ["doc_id", *out])
 
 
 def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
-    """Per (doc_id, text_key) with something to remove: found, an array of (at, length) in words."""
+    """Per (doc_id, text_key) with something to remove: found, an array of word ranges (start, end)."""
     keyed = _keyed(docs).where("doc_id is not null")
     anchors = keep(keyed.mapInArrow(partial(_anchors, least=least), "doc_id long, text_key long, at int, anchor long"), "anchors")
-    groups = anchors.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("source_at")).where("source < last").drop("last")
+    # kept first, so that the join below reads plain shuffles, whose hot partitions Spark splits
+    groups = keep(anchors.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("source_at")).where("source < last").drop("last"), "anchor-groups")
     shared = anchors.join(groups, "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("at", "source", "source_at")).alias("found"))
     shared = keep(shared, "shared")
     grown = keep(only_keys(keyed, shared, KEY).join(shared, KEY).mapInArrow(partial(_extend, least=least), "doc_id long, text_key long, at int, length int, window long, check int"), "grown")
     windows = grown.where("window is not null")
-    first = windows.groupBy("window", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    first = keep(windows.groupBy("window", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high"), "first-windows")
     met = windows.join(first, ["window", "check"]).where("doc_id > low").select(*KEY, "at", "length")
-    return met.union(grown.where("window is null").select(*KEY, "at", "length")).groupBy(*KEY).agg(F.collect_list(F.struct("at", "length")).alias("found"))
+    every = met.union(grown.where("window is null").select(*KEY, "at", "length")).groupBy(*KEY).agg(F.collect_list(F.struct("at", "length")).alias("found"))
+    return every.mapInArrow(_merge, "doc_id long, text_key long, found array<struct<start: long, end: long>>")
 
 
 def remove_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by a space), removed (array
     of word ranges start, end)."""
     found = keep(repeats(docs, least), "repeats")
-    # 40 bytes and more a row, and about one range of 8 bytes for each 25 words: bounded by the ranges, not only the rows
+    # bounded by the ranges, not only by the rows
     ranges = found.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
     side = F.broadcast(found) if small(found) and ranges <= 4_000_000 else found
     return _keyed(docs).join(side, KEY, "left").select("doc_id", "text", "found").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: long, end: long>>")
