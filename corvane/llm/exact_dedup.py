@@ -24,8 +24,12 @@ from pyspark.sql.window import Window
 
 from .scratch import keep, new_path, null_safe, only_keys
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keyed state on disk, sent to the checkpoint as changes; without files allocated ahead, which many small stores multiply.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: Bytes of narrow rows that one micro-batch takes in.
 BATCH_BYTES = 4_000_000_000
 
@@ -57,8 +61,9 @@ def stream_groups(spark: SparkSession, path: str, state: str) -> DataFrame:
     """Run the stream over the narrow rows in ``path``; ``state`` keeps checkpoints, keyed state and what changed in each
     micro-batch. Returns per digest the latest: best, size."""
     schema = "doc_id long, digest string, n_chars long, text_key long, locator string"
-    had = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    had = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         grouped = spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(path).groupBy("digest").agg(F.min(_best()).alias("best"), F.count("*").alias("size"))
         changed = f"{state}/changed"
@@ -69,10 +74,8 @@ def stream_groups(spark: SparkSession, path: str, state: str) -> DataFrame:
 
         grouped.writeStream.outputMode("update").option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     finally:
-        if had is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, had)
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     names = "digest string, best struct<shorter: long, unnamed: boolean, doc_id: long, locator: string>, size long, batch long"
     found = spark.read.schema(names).option("recursiveFileLookup", "true").parquet(changed) if _exists(spark, changed) else spark.createDataFrame([], names)
     return found.groupBy("digest").agg(F.max_by(F.struct("best", "size"), "batch").alias("now")).select("digest", "now.best", "now.size")
