@@ -59,6 +59,7 @@ class Words(NamedTuple):
     first: np.ndarray  #: per text, the index of its first word; one more entry ends the last text
     data: np.ndarray  #: the texts' bytes
     at: np.ndarray  #: per text, its first byte in ``data``; one more entry ends the last text
+    prefix: np.ndarray | None = None  #: uint64 of each word's first bytes, if asked for
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +87,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> It
         i = j
 
 
-def words(column: pa.Array, separators: np.ndarray = SPACES, fold: np.ndarray = SAME) -> Words:
+def words(column: pa.Array, separators: np.ndarray = SPACES, fold: np.ndarray = SAME, prefix: int = 0) -> Words:
     data, at = texts(column)
     n = len(data)
     gap = separators[data]
@@ -104,7 +105,11 @@ def words(column: pa.Array, separators: np.ndarray = SPACES, fold: np.ndarray =
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(BASE2))
-    return Words(start, end, h, np.searchsorted(start, at), data, at)
+    front = None
+    if prefix:
+        stop = np.minimum(end, start + prefix)
+        front = mix((total[stop] - total[start]) * down[start] + np.uint64(BASE))
+    return Words(start, end, h, np.searchsorted(start, at), data, at, front)
 
 
 def grams(w: Words, k: int, base: int = BASE2) -> tuple[np.ndarray, np.ndarray]:
