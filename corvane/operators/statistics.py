@@ -86,7 +86,7 @@ def length_buckets(df: DataFrame, words: Column) -> DataFrame:
         return ((low * (4 - F.first(part)) + high * F.first(part)) / 4).alias(f"q{j}")
 
     s = cum.agg(F.first("n").alias("n"), F.min("w").alias("w_min"), F.max("w").alias("w_max"), quartile(1), quartile(3), at(F.floor(F.col("n") / 2) + 1).alias("middle"))
-    lo, hi = F.floor("q1").cast("long"), F.floor("q3").cast("long")
+    lo, hi = F.col("q1").cast("long"), F.col("q3").cast("long")
     flat = lo >= hi
     s = s.withColumns({"lo": F.when(flat, F.greatest(F.lit(1), F.col("middle") - 1)).otherwise(lo), "hi": F.when(flat, F.col("middle")).otherwise(hi)})
     parts = x.crossJoin(F.broadcast(s)).groupBy("n", "w_min", "lo", "hi").agg(F.count_if(F.col("w") <= F.col("lo")).alias("short"), F.count_if((F.col("w") > F.col("lo")) & (F.col("w") <= F.col("hi"))).alias("medium"), F.count_if(F.col("w") > F.col("hi")).alias("long"))

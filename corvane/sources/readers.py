@@ -205,11 +205,22 @@ def read_json_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_text_tree(spark: SparkSession, folder: str) -> DataFrame:
     """One document a ``*.txt`` file: its path below the folder, and its trimmed text. ``blank`` marks files without text,
-    which a caller refuses."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder)
+    which a caller refuses; Spark leaves out files of no bytes, which ``empty_files`` lists."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder).select("path", F.decode("content", "UTF-8").alias("value"))
     root = _fs(spark, folder)[0].makeQualified(_fs(spark, folder)[1]).toUri().getPath().rstrip("/") + "/"
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/*", "/")
-    return files.select(F.replace(F.url_decode(path), F.lit(root), F.lit("")).alias("doc_id"), F.trim("value").alias("text")).withColumn("blank", F.col("text") == "")
+    path = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
+    return files.select(F.replace(path, F.lit(root), F.lit("")).alias("doc_id"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("text")).withColumn("blank", F.col("text") == "")
+
+
+def empty_files(spark: SparkSession, folder: str, ending: str = ".txt") -> list[str]:
+    """Names of files of no bytes below a folder, from its listing."""
+    fs, where = _fs(spark, folder)
+    found, files = [], fs.listFiles(where, True)
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0 and f.getPath().getName().endswith(ending):
+            found.append(f.getPath().getName())
+    return sorted(found)
 
 
 def read_numbered_json(spark: SparkSession, folder: str, schema: str) -> DataFrame:

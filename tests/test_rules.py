@@ -339,9 +339,11 @@ def test_readers_need_an_id(spark):
 def test_text_tree(spark, tmp_path):
     (tmp_path / "a b").mkdir()
     (tmp_path / "a b" / "c.txt").write_text(" hi \n")
-    (tmp_path / "d.txt").write_text("")
+    (tmp_path / "d.txt").write_text(" ")
+    (tmp_path / "e.txt").write_text("")
     got = {r.doc_id: r.blank for r in readers.read_text_tree(spark, str(tmp_path)).collect()}
     assert got == {"a b/c.txt": False, "d.txt": True}
+    assert readers.empty_files(spark, str(tmp_path)) == ["e.txt"]
 
 
 def test_batch_header_reads_scalars_only(spark, tmp_path):
