@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import keep, new_path, null_safe, only_keys
+from .scratch import keep, new_path, null_safe, only_keys, scope, small
 
 #: Keyed state on disk, sent to the checkpoint as changes; without files allocated ahead, which many small stores multiply.
 STATE = {
@@ -87,7 +87,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def deduplicate(docs: DataFrame, digest_of=digest, state: str | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, text_key, keep_id, group_size, kept, text_sha256 (the digest), locator (where the
+    """Per row of ``docs``: doc_id, text_key, n_chars, keep_id, group_size, kept, text_sha256 (the digest), locator (where the
     kept content is).
 
     digest_of: text column to digest column; a weaker one costs comparisons, not correctness.
@@ -104,26 +104,28 @@ def deduplicate(docs: DataFrame, digest_of=digest, state: str | None = None) ->
     texts = texts.withColumn("n_chars", F.length(null_safe(F.col("text"))).cast("long")).withColumn("locator", F.lit(None).cast("string"))
     different = keep(texts.groupBy("digest", "whole").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "exact-collisions")
 
-    out = ["doc_id", "text_key", "keep_id", "group_size", "text_sha256", "locator"]
+    out = ["doc_id", "text_key", "n_chars", "keep_id", "group_size", "text_sha256", "locator"]
     right = rows.drop("locator").join(groups, "digest") if different.isEmpty() else rows.drop("locator").join(groups, "digest").join(different, "digest", "left_anti")
-    answer = right.select("doc_id", "text_key", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.col("digest").alias("text_sha256"), F.col("best.locator").alias("locator"))
+    answer = right.select("doc_id", "text_key", "n_chars", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.col("digest").alias("text_sha256"), F.col("best.locator").alias("locator"))
     if not different.isEmpty():
         apart = only_keys(texts, different, ["digest"])
         classes = apart.groupBy("digest", "whole").agg(F.min(_best()).alias("best"), F.count("*").alias("size"))
-        regrouped = apart.join(classes, ["digest", "whole"]).select("doc_id", F.xxhash64("text").alias("text_key"), F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.col("digest").alias("text_sha256"), F.col("best.locator").alias("locator"))
+        regrouped = apart.join(classes, ["digest", "whole"]).select("doc_id", F.xxhash64("text").alias("text_key"), "n_chars", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.col("digest").alias("text_sha256"), F.col("best.locator").alias("locator"))
         answer = answer.unionByName(regrouped)
     return answer.select(*out, F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with all their columns."""
-    kept = deduplicate(docs).where("kept").select("doc_id", "text_key")
-    once = keep(kept.groupBy("doc_id", "text_key").agg(F.lit(1).alias("one")).select("doc_id", "text_key"), "exact-kept")
+    with scope(docs.sparkSession):
+        # rows of a group that share the kept doc_id: the longest, once
+        kept = deduplicate(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.max(F.struct("n_chars", "text_key")).alias("longest"), F.count("*").alias("rows"))
+        once = keep(kept.select("doc_id", F.col("longest.text_key").alias("text_key"), "rows"), "exact-kept", outside=True)
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    stays = keyed.join(once.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
+    side = once.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    stays = keyed.join(F.broadcast(side) if small(once) else side, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
     # rows that repeat a kept row with its doc_id
-    twice = keep(stays.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "exact-twice")
-    if twice.isEmpty():
+    if once.where("rows > 1").isEmpty():
         return stays.drop("text_key")
     again = stays.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(F.monotonically_increasing_id())))
     return again.where("copy = 1").drop("copy", "text_key")

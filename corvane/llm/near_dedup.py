@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from . import kernels as K
 from .components import components
-from .scratch import keep, only_keys, small
+from .scratch import keep, only_keys, scope, small
 
 #: Nodes on each side of a block, and columns of an incidence matrix that are held at a time.
 BLOCK, COLUMNS = 512, 4096
@@ -239,6 +239,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, one document for each component, with all their columns."""
-    gone = keep(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct(), "near-gone")
+    with scope(docs.sparkSession):
+        gone = keep(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct(), "near-gone", outside=True)
     side = gone.select(F.col("doc_id").alias("gone_id"))
     return docs.join(F.broadcast(side) if small(gone) else side, docs.doc_id.cast("long") == F.col("gone_id"), "left_anti")

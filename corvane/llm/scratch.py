@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+#: Paths of the scopes that are open, innermost last.
+_open: list[list[str]] = []
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables kept inside it but for those kept with ``outside``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def new_path(spark: SparkSession, name: str, outside: bool = False) -> str:
+    path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+    scopes = _open[:-1] if outside else _open
+    if scopes:
+        scopes[-1].append(path)
+    return path
+
+
+def keep(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name, outside)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

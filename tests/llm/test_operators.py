@@ -238,7 +238,7 @@ def test_state_carries_over(spark, tmp_path):
 
 
 def test_one_row_of_each_text_stays(spark):
-    rows = frame(spark, [(1, "a"), (1, "a"), (2, " a"), (3, None), (4, ""), (None, "z"), (None, "z")])
+    rows = frame(spark, [(1, "a"), (1, "a"), (2, " a"), (2, "a"), (3, None), (4, ""), (None, "z"), (None, "z")])
     got = exact_dedup.distinct_documents(rows)
     assert got.columns == rows.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, " a"), (3, None), (None, "z")], key=str)
