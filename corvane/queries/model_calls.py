@@ -197,3 +197,73 @@ def l18(spark, d):
     from ..functions.text import word_count
 
     return table(spark, d, "benchmark").select("item_id", F.md5(F.concat_ws("\n", F.lit("Judge."), "text", word_count(F.col("text")).cast("string")).cast("binary")).alias("prompt"))
+
+
+def _task():
+    from ..plans.instructions import Task
+
+    return Task("t", "questions", "passages", "it answers the question")
+
+
+def _examples(spark, d):
+    rows = table(spark, d, "benchmark").orderBy("item_id").limit(3).collect()
+    return [{"query": f"q{r.item_id}", "positive": r.text, "negative": ""} for r in rows]
+
+
+@query("l03_query_instruction", None)
+def l03(spark, d):
+    from ..plans import instructions as i
+
+    got = i.generate(i.query_prompt(_task(), _examples(spark, d)), ["Query:"], RuleCompleter(lambda p: f"Query: about {len(p)}"))
+    return spark.createDataFrame([("t", "query", got)], "task string, kind string, text string")
+
+
+@query("l07_label_instruction", None)
+def l07(spark, d):
+    from ..plans import instructions as i
+
+    got = i.generate(i.label_prompt(_task(), _examples(spark, d), "old", "too short"), ["Grade"], RuleCompleter(lambda p: f"Grade {p.count('Example')}"))
+    return spark.createDataFrame([("t", "label", got)], "task string, kind string, text string")
+
+
+@query("l12_task_definition", None)
+def l12(spark, d):
+    from ..plans import instructions as i
+
+    cache: dict = {}
+    model = RuleCompleter(lambda p: json.dumps({"query_type": "questions", "doc_type": "passages", "relevance": "it answers"}))
+    tasks = [i.define_task("t", _examples(spark, d), model, cache) for _ in range(2)]
+    return spark.createDataFrame([(t.name, t.query_type, t.doc_type, t.relevance, len(cache)) for t in tasks], "task string, query_type string, doc_type string, relevance string, calls int")
+
+
+@query("l13_human_review", None)
+def l13(spark, d):
+    from ..plans.instructions import reviewed
+
+    answers = iter(["shorter", ""])
+    done = calibrate.refine(lambda a: a, lambda x: (True, ""), lambda a, f: f"{a} {f}", "v1", review=reviewed(lambda a: next(answers)))
+    return spark.createDataFrame([(h["attempt"], h["artefact"], h["passed"]) for h in done.history], "attempt int, artefact string, passed boolean")
+
+
+@query("l14_concurrent_calls", "SELECT doc_id, 'd ' || doc_id || '!' AS answer FROM documents")
+def l14(spark, d):
+    from ..plans.models import ask
+
+    return ask(_doc_rows(spark, d), "doc", "answer", lambda: RuleCompleter(lambda p: p + "!"), threads=4).select("doc_id", "answer")
+
+
+@query("l21_prompted_embeddings", None)
+def l21(spark, d):
+    from ..plans.instructions import PromptedEmbedder
+    from ..plans.models import HashEmbedder, embed
+
+    rows = embed(table(spark, d, "benchmark"), "text", lambda: PromptedEmbedder(HashEmbedder(), "query: "))
+    return rows.select("item_id", F.size("embedding").alias("dimensions"))
+
+
+@query("p22_preflight", None)
+def p22(spark, d):
+    from ..plans.checks import preflight
+
+    found = preflight({"task": "x", "input_path": "<path>", "output_dir": "o", "api_key": "hidden"}, ["y"])
+    return spark.createDataFrame([(x,) for x in found], "problem string")

@@ -201,3 +201,11 @@ def k07(spark, d):
 @query("k10_manifest", None)
 def k10(spark, d):
     return sinks.manifest(spark, f"{d}/region.parquet")
+
+
+@query("k03_atomic_replace", None)
+def k03(spark, d):
+    path = _path(spark, "state.json")
+    for text in ('{"n": 1}', '{"n": 2}'):
+        sinks.replace_file(spark, path, text)
+    return spark.read.schema("n int").json(path)

@@ -350,3 +350,19 @@ def test_batch_header_reads_scalars_only(spark, tmp_path):
     path = str(tmp_path / "b.json")
     sinks.replace_file(spark, path, '{"input_path": "x", "num_queries": 2, "results": [' + ",".join(["{}"] * 50) + "]}")
     assert readers.batch_header(spark, path) == {"input_path": "x", "num_queries": 2}
+
+
+def test_instructions():
+    from corvane.plans import instructions as i
+
+    task = i.Task("t", "questions", "passages", "it answers")
+    assert "Not relevant: c" in i.query_prompt(task, [{"query": "a", "positive": "b", "negative": "c"}])
+    answers = iter(["", "no part", "has X"])
+    assert i.generate("p", ["X"], RuleCompleter(lambda p: next(answers))) == "has X"
+    with pytest.raises(ValueError, match="X"):
+        i.generate("p", ["X"], RuleCompleter(lambda p: "none"))
+    calls, cache = [], {}
+    model = RuleCompleter(lambda p: calls.append(p) or '{"query_type": "q", "doc_type": "d", "relevance": "r"}')
+    for _ in range(2):
+        assert i.define_task("t", [{"query": "a", "positive": "b"}], model, cache).doc_type == "d"
+    assert len(calls) == 1
