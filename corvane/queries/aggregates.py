@@ -102,12 +102,12 @@ def a29(spark, d):
 
 
 @query("a30_even_share", """
-WITH s AS (SELECT source AS model, CASE WHEN doc_id % 2 = 0 THEN 'beir' ELSE 'nano' END AS benchmark, lang, n_chars / 10000 AS score FROM documents),
+WITH s AS (SELECT source AS model, CASE WHEN doc_id % 2 = 0 THEN 'beir' ELSE 'nano' END AS benchmark, lang, n_chars / 9973 AS score FROM documents),
 b AS (SELECT model, benchmark, CASE WHEN count(DISTINCT lang) = 4 THEN round(100 * avg(score), 2) END AS mean FROM s GROUP BY 1, 2),
 w AS (SELECT model, max(mean) FILTER (benchmark = 'beir') AS beir, max(mean) FILTER (benchmark = 'nano') AS nano FROM b GROUP BY 1)
 SELECT model, beir, nano, round(nano - beir, 2) AS delta FROM w""")
 def a30(spark, d):
-    rows = table(spark, d, "documents").select(F.col("source").alias("model"), F.when(F.col("doc_id") % 2 == 0, "beir").otherwise("nano").alias("benchmark"), "lang", (F.col("n_chars") / 10000).alias("score"))
+    rows = table(spark, d, "documents").select(F.col("source").alias("model"), F.when(F.col("doc_id") % 2 == 0, "beir").otherwise("nano").alias("benchmark"), "lang", (F.col("n_chars") / 9973).alias("score"))
     return statistics.even_share(rows, "model", "benchmark", "lang", "score", 4)
 
 
