@@ -61,6 +61,11 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "in
     block; a partition sends at most k rows a query to the final ranking. metric: ``inner``, or ``euclidean`` for minus
     the squared distance.
     """
+    return _ranked(queries, corpus, k, partial(_score_block, k=k, metric=metric))
+
+
+def _ranked(queries: DataFrame, corpus: DataFrame, k: int, best) -> DataFrame:
+    """The k best of what ``best`` finds in each partition of the corpus for each block of queries."""
     spark = queries.sparkSession
     head = queries.select(F.size("embedding").alias("n")).first()
     parts = []
@@ -72,7 +77,7 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "in
             got = block.select(F.col("query_id").cast("long"), "embedding").toArrow().combine_chunks()
             if got.num_rows:
                 sent = spark.sparkContext.broadcast((got.column("query_id").to_numpy(), _matrix(got.column("embedding").combine_chunks())))
-                parts.append(corpus.select(F.col("doc_id").cast("long"), "embedding").mapInArrow(partial(_score_block, sent=sent, k=k, metric=metric), "query_id long, doc_id long, score double"))
+                parts.append(corpus.select(F.col("doc_id").cast("long"), "embedding").mapInArrow(partial(best, sent=sent), "query_id long, doc_id long, score double"))
     found = parts[0] if parts else spark.createDataFrame([], "query_id long, doc_id long, score double")
     for p in parts[1:]:
         found = found.union(p)
@@ -159,11 +164,26 @@ def cell_parameters(n: Column) -> list[Column]:
     return [cells.alias("cells"), F.greatest(F.lit(8), F.floor(F.sqrt(cells))).cast("long").alias("probes"), F.least(256 * cells, n).cast("long").alias("training_rows")]
 
 
-def _assign(batches: Iterator[pa.RecordBatch], centres: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+def _probe_block(batches: Iterator[pa.RecordBatch], sent, k: int, centres: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+    """The best k of a partition for each query of the block, among rows whose cell the query probes."""
+    ids, queries = sent.value
+    probed = np.zeros((len(ids), len(centres)), bool)
+    np.put_along_axis(probed, np.argsort(-(queries @ centres.T), axis=1, kind="stable")[:, :probes], True, 1)
+    best_id, best = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -np.inf)
     for batch in batches:
-        if batch.num_rows:
-            best = np.argsort(-(_matrix(batch.column("embedding")) @ centres.T), axis=1, kind="stable")[:, :probes]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.tolist(), pa.list_(pa.int64()))], [*batch.schema.names, "cells"])
+        if not batch.num_rows:
+            continue
+        docs, m = batch.column("doc_id").to_numpy(), _matrix(batch.column("embedding"))
+        own = (m @ centres.T).argmax(1)
+        for c in np.unique(own):
+            at, here = np.flatnonzero(probed[:, c]), own == c
+            score = queries[at] @ m[here].T
+            all_id, every = np.concatenate([best_id[at], np.broadcast_to(docs[here], score.shape)], 1), np.concatenate([best[at], score], 1)
+            order = np.lexsort((all_id, -every), axis=1)[:, :k]
+            best_id[at], best[at] = np.take_along_axis(all_id, order, 1), np.take_along_axis(every, order, 1)
+    q, i = np.nonzero(best > -np.inf)
+    if len(q):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_id[q, i]), pa.array(best[q, i])], ["query_id", "doc_id", "score"])
 
 
 def cells(corpus: DataFrame, n_cells: int, sample: int = 20_000, seed: int = 42, rounds: int = 10) -> np.ndarray:
@@ -180,12 +200,24 @@ def cells(corpus: DataFrame, n_cells: int, sample: int = 20_000, seed: int = 42,
     return centres
 
 
+def probes_for(queries: DataFrame, corpus: DataFrame, k: int, centres: np.ndarray, least: int = 1, recall: float = 0.95, sample: int = 512, seed: int = 42) -> int:
+    """The fewest cells to probe, ``least`` or more, that hold a share ``recall`` of the exact top k of at most ``sample``
+    queries. The exact search is over the whole corpus; the share is over the sampled queries together."""
+    some = queries.orderBy(priority(seed, "query_id"), "query_id").limit(sample)
+    best = dense_top_k(some, corpus, k).select("query_id", "doc_id")
+    met = best.join(some.select("query_id", F.col("embedding").alias("_q")), "query_id").join(corpus.select("doc_id", "embedding"), "doc_id").select("_q", "embedding").toArrow().combine_chunks()
+    if not met.num_rows:
+        return min(least, len(centres))
+    q, m = (_matrix(met.column(c).combine_chunks()) for c in ("_q", "embedding"))
+    own = (m @ centres.T).argmax(1)
+    place = np.sort((np.argsort(-(q @ centres.T), axis=1, kind="stable") == own[:, None]).argmax(1) + 1)
+    return min(len(centres), max(least, int(place[int(np.ceil(recall * len(place))) - 1])))
+
+
 def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int, centres: np.ndarray, probes: int) -> DataFrame:
-    """Top-k among documents of the probed cells only. Every document is indexed, in its nearest cell."""
-    q = queries.select("query_id", F.col("embedding")).mapInArrow(partial(_assign, centres=centres, probes=probes), "query_id long, embedding array<float>, cells array<long>").select("query_id", F.col("embedding").alias("_q"), F.explode("cells").alias("cell"))
-    c = corpus.select("doc_id", "embedding").mapInArrow(partial(_assign, centres=centres, probes=1), "doc_id long, embedding array<float>, cells array<long>").select("doc_id", "embedding", F.element_at("cells", 1).alias("cell"))
-    met = q.join(c, "cell").select("query_id", "doc_id", dot(F.col("_q"), F.col("embedding")).alias("score"))
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
+    """Top-k among documents of the probed cells only, as ``dense_top_k`` gives them. Every document is indexed, in its
+    nearest cell; ``probes_for`` gives the probes that a recall takes."""
+    return _ranked(queries, corpus, k, partial(_probe_block, k=k, centres=centres, probes=probes))
 
 
 def missing_vectors(rows: DataFrame, corpus: DataFrame, key: str) -> DataFrame:

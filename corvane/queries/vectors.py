@@ -63,8 +63,10 @@ def v04(spark, d):
 
 @query("v05_approximate_top_k", None)
 def v05(spark, d):
-    queries, corpus = fixtures.vector_sides(spark, d)
-    return vectors.approximate_top_k(queries, corpus, 10, vectors.cells(corpus, 8), 4)
+    queries, corpus = fixtures.vector_sides(spark, d)[0], _corpus(spark, d)
+    sizes = corpus.agg(F.count("*").alias("n")).select(*vectors.cell_parameters(F.col("n"))).first()
+    centres = vectors.cells(corpus, sizes.cells)
+    return vectors.approximate_top_k(queries, corpus, 10, centres, vectors.probes_for(queries, corpus, 10, centres, sizes.probes))
 
 
 @query("v06_all_neighbours", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS doc_id, count(*) AS n FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) > 0.3 GROUP BY 1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import statistics as py
 
 import numpy as np
@@ -15,6 +16,7 @@ from corvane.functions import labels, nested, plans, text
 from corvane.operators import agreement, evaluation, export, mining, relational, sampling, statistics, vectors
 from corvane.plans import annotate, calibrate, checks
 from corvane.plans.models import HashEmbedder, RuleCompleter, ask, embed
+from corvane.queries import QUERIES
 from corvane.sources import readers, sinks
 
 
@@ -221,6 +223,20 @@ def test_approximate_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_registered_search_recalls_all_rows(spark, data, size):
+    d = os.path.join(os.path.dirname(data), size)
+    corpus = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    queries = corpus.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    own = lambda df: {(r.query_id, r.doc_id) for r in df.collect()}
+    exact, near = own(vectors.dense_top_k(queries, corpus, 10)), own(QUERIES["v05_approximate_top_k"](spark, d))
+    assert len(near) == len(exact)
+    # what is left without the query itself, which its own cell always holds
+    others = {(q, x) for q, x in exact if q != x}
+    assert len(others & near) >= 0.9 * len(others)
+    assert any(x % 10 == 0 for q, x in near if q != x)
+
+
 # -- metrics
 
 
