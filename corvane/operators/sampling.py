@@ -104,25 +104,34 @@ def best_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
 
 
 def greedy_distinct(df: DataFrame, order: Sequence[Column], fields: Sequence[str], count: int, preferred: str | None = None, slots: int = 2, pool: int = 10_000) -> list:
-    """Up to ``count`` rows in order, none sharing a value of ``fields`` with an earlier pick; the first ``slots`` go to
-    rows with ``preferred`` if there are such. The walk is over at most ``pool`` best rows: a driver-side selection of few
-    examples, not a filter of the table."""
-    rows = df.orderBy(*order).limit(pool).collect()
+    """Up to ``count`` rows in order, none sharing a value of ``fields`` with an earlier pick, as a walk over the whole
+    table gives them; the first ``slots`` go to rows with ``preferred`` if there are such. Nulls are one value.
+
+    The walk takes the best ``pool`` rows at a time, and after them the best of those rows that share nothing with a pick:
+    all others are settled. The first row of each part is picked, so there are at most ``count`` parts, and one for each
+    of the two walks where nothing is left.
+    """
     picked: list = []
     used: dict[str, set] = {f: set() for f in fields}
 
     def take(candidates, most):
-        for r in candidates:
-            if len(picked) >= most:
+        while len(picked) < most:
+            free = candidates
+            for f in fields:
+                for value in used[f]:
+                    free = free.where(~F.col(f).eqNullSafe(F.lit(value)))
+            rows = free.orderBy(*order).limit(pool).collect()
+            for r in rows:
+                if len(picked) < most and not any(r[f] in used[f] for f in fields):
+                    picked.append(r)
+                    for f in fields:
+                        used[f].add(r[f])
+            if len(rows) < pool:
                 return
-            if not any(r[f] in used[f] for f in fields):
-                picked.append(r)
-                for f in fields:
-                    used[f].add(r[f])
 
     if preferred:
-        take([r for r in rows if r[preferred]], min(slots, count))
-    take(rows, count)
+        take(df.where(F.col(preferred).cast("boolean")), min(slots, count))
+    take(df, count)
     return picked
 
 

@@ -237,6 +237,39 @@ def test_registered_search_recalls_all_rows(spark, data, size):
     assert any(x % 10 == 0 for q, x in near if q != x)
 
 
+def walked(rows, fields, count, preferred, slots=2):
+    """The plain walk over all rows in order."""
+    picked: list = []
+    for most, some in ((slots, [r for r in rows if r[preferred]]), (count, rows)):
+        for r in some:
+            if len(picked) < most and not any(r[f] == p[f] for f in fields for p in picked):
+                picked.append(r)
+    return [r["id"] for r in picked]
+
+
+@pytest.mark.parametrize("pool", [1, 7, 10_000])
+def test_greedy_distinct_walks_the_whole_table(spark, pool):
+    # one source fills the first 12,000 places; preferred rows and other sources come after it
+    n = 12_000
+    rows = [{"id": i, "source": "hot", "lang": f"l{i % 3}", "best": False} for i in range(n)]
+    rows += [{"id": n + i, "source": [None, "a", "b", "a", "c", None, "d"][i % 7], "lang": [f"l{i}", "l0", None][i % 3], "best": i % 5 == 4} for i in range(60)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, source string, lang string, best boolean").repartition(4)
+    for count in (1, 4, 9):
+        got = sampling.greedy_distinct(df, [F.col("id")], ["source", "lang"], count, "best", pool=pool)
+        assert [r.id for r in got] == walked(rows, ["source", "lang"], count, "best", min(2, count))
+
+
+def test_pick_queries_walk_the_whole_table(spark, tmp_path):
+    hot = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen."
+    cold = "Two other words stand here with six more of them and then a few further ones."
+    is_hot = F.col("id") < 10_010
+    name = F.when(is_hot, "hot").otherwise("cold")
+    docs = spark.range(10_050).select(F.col("id").alias("doc_id"), F.when(is_hot, hot).otherwise(cold).alias("text"), name.alias("lang"), name.alias("source"), F.when(is_hot, 91).otherwise(78).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.record_id for r in QUERIES["d16_few_shot"](spark, str(tmp_path)).collect()] == [0, 10_010]
+    assert [r.doc_id for r in QUERIES["t18_greedy_distinct"](spark, str(tmp_path)).collect()] == [10_010, 0]
+
+
 # -- metrics
 
 
