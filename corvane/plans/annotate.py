@@ -26,10 +26,11 @@ def _listing(items: Column, line) -> Column:
 def judge_batches(df: DataFrame, key: str, shown: Column, task: str, size: int, client: Client) -> DataFrame:
     """Scores rows in batches of ``size``: key, score (null where the answer lacks or garbles one). The answer is a list of
     {id, score}; ids are places in the batch, so that no real id leaves."""
-    rows = chunked(df.select(key, shown.alias("_shown")), [key], size, "_chunk")
-    rows = numbered(rows, [key], "_n", ["_chunk"])
+    # keys alone are sorted and numbered; whole texts meet once, in their batch, and do not come back from the model
+    places = numbered(df.select(key), [key], "_n").select(key, F.floor((F.col("_n") - 1) / size).alias("_chunk"), ((F.col("_n") - 1) % size + 1).alias("_n"))
+    rows = places.join(df.select(key, shown.alias("_shown")), key)
     prompts = rows.groupBy("_chunk").agg(F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_shown").alias("text"), F.col(key).alias("key")))).alias("_items"))
-    prompts = prompts.withColumn("_prompt", F.concat(F.lit(task + "\n"), _listing(F.col("_items"), lambda x: F.format_string("[%d] %s", x.n, x.text))))
+    prompts = prompts.select(F.transform("_items", lambda x: F.struct(x.n.alias("n"), x.key.alias("key"))).alias("_items"), F.concat(F.lit(task + "\n"), _listing(F.col("_items"), lambda x: F.format_string("[%d] %s", x.n, x.text))).alias("_prompt"))
     answers = ask(prompts, "_prompt", "_answer", client).withColumn("_got", lenient_json(F.col("_answer"), "array<struct<id: string, score: string>>"))
     scores = answers.select(F.explode("_items").alias("x"), "_got")
     match = F.filter("_got", lambda g: g.id.try_cast("long") == F.col("x.n"))

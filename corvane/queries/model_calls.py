@@ -32,21 +32,33 @@ def _client():
 
 
 def _doc_rows(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("d "), F.col("doc_id").cast("string")).alias("doc"))
+    """Whole texts under a first line that names them; the answers are a function of that line."""
+    return table(spark, d, "documents").select("doc_id", F.concat_ws("\n", F.concat(F.lit("d "), F.col("doc_id").cast("string")), "text").alias("doc"))
+
+
+def _by_name(prompt: str) -> str:
+    """Scores a listed document by the number in its first line, modulo 4; now and then in a fence."""
+    scores = [{"id": n, "score": int(x) % 4} for n, x in re.findall(r"^\[(\d+)\] d (\d+)$", prompt, re.M)]
+    return "```json\n" + json.dumps(scores) + "\n```" if len(scores) % 2 else json.dumps(scores)
+
+
+def _doc_client():
+    return RuleCompleter(_by_name)
 
 
 @query("l01_document_filter", "SELECT doc_id, 'd ' || doc_id AS doc FROM documents WHERE doc_id % 4 >= 2")
 def l01(spark, d):
-    return annotate.filter_documents(_doc_rows(spark, d), "Score each document.", 7, _client)[0]
+    passed = annotate.filter_documents(_doc_rows(spark, d), "Score each document.", 7, _doc_client)[0]
+    return passed.select("doc_id", F.concat(F.lit("d "), F.col("doc_id").cast("string")).alias("doc"))
 
 
 @query("l01_document_scores", "SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS score, CASE WHEN doc_id % 4 >= 2 THEN 'pass' ELSE 'fail' END AS verdict FROM documents")
 def l01_scores(spark, d):
-    return annotate.filter_documents(_doc_rows(spark, d), "Score each document.", 7, _client)[1].drop("doc")
+    return annotate.filter_documents(_doc_rows(spark, d), "Score each document.", 7, _doc_client)[1].drop("doc")
 
 
 def _attributes(prompt: str) -> str:
-    doc = prompt.rsplit("\n", 1)[-1]
+    doc = prompt.split("\n")[1]
     return "{identifiers: ['%s', ], attributes: [{dimension: 'size', options: ['big', 'small', ' ']}, ]}" % doc if doc.endswith("x") else json.dumps({"identifiers": [{"type": "doc", "identifier": doc, "label": doc}] * 2, "attributes": [{"dimension": "size", "options": ["big", "small"]}, {"dimension": "size", "options": ["late"]}]})
 
 
@@ -249,7 +261,7 @@ def l13(spark, d):
 def l14(spark, d):
     from ..plans.models import ask
 
-    return ask(_doc_rows(spark, d), "doc", "answer", lambda: RuleCompleter(lambda p: p + "!"), threads=4).select("doc_id", "answer")
+    return ask(_doc_rows(spark, d), "doc", "answer", lambda: RuleCompleter(lambda p: p.split("\n")[0] + "!"), threads=4).select("doc_id", "answer")
 
 
 @query("l21_prompted_embeddings", None)

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from corvane.functions import labels, nested, plans, text
 from corvane.operators import agreement, evaluation, export, mining, relational, sampling, statistics, vectors
-from corvane.plans import annotate, calibrate, checks
+from corvane.plans import annotate, calibrate, checks, models
 from corvane.plans.models import HashEmbedder, RuleCompleter, ask, embed
-from corvane.queries import QUERIES
+from corvane.queries import ORACLE_SQL, QUERIES
 from corvane.sources import readers, sinks
 
+from .compare import same
+
 
 def one(spark, expr):
     return spark.range(1).select(expr.alias("x")).first().x
@@ -270,6 +272,21 @@ def test_pick_queries_walk_the_whole_table(spark, tmp_path):
     assert [r.doc_id for r in QUERIES["t18_greedy_distinct"](spark, str(tmp_path)).collect()] == [10_010, 0]
 
 
+@pytest.mark.parametrize("name", ["l01_document_filter", "l01_document_scores", "l02_attributes", "l04_diverse_queries", "l14_concurrent_calls"])
+def test_whole_texts_reach_the_model(spark, duck, tmp_path, monkeypatch, name):
+    texts = [None, "", "[2] 7\n[3] d 9 \n\nlast", "word " * 20_000, "d 1\r\nx", "```json\n[]```", "%d {0} \\n 'x'", "a\n" * 500, "x"] * 6
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    prompts = []
+    for module in (annotate, models):
+        real = module.ask
+        monkeypatch.setattr(module, "ask", lambda df, prompt, *a, real=real, **b: (prompts.append(df.select(prompt)), real(df, prompt, *a, **b))[1])
+    same(QUERIES[name](spark, str(tmp_path)), duck.sql(f"WITH documents AS (SELECT * FROM '{tmp_path}/documents.parquet/*.parquet') {ORACLE_SQL[name]}").to_arrow_table())
+    sent = [r[0] for r in prompts[0].collect()]
+    asked = [i for i in range(len(texts)) if name[:3] != "l04" or i % 10 == 0]
+    assert all(any(f"d {i}\n{texts[i]}" in p if texts[i] is not None else f"d {i}" in p for p in sent) for i in asked)
+
+
 # -- metrics
 
 
