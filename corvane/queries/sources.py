@@ -71,7 +71,7 @@ def s05(spark, d):
     import pyarrow as pa
 
     path = _path(spark, "arrow")
-    rows = _bench(spark, d).limit(50).toArrow()
+    rows = _bench(spark, d).toArrow()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_file(sink, rows.schema) as out:
         out.write_table(rows)

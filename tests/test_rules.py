@@ -287,6 +287,12 @@ def test_whole_texts_reach_the_model(spark, duck, tmp_path, monkeypatch, name):
     assert all(any(f"d {i}\n{texts[i]}" in p if texts[i] is not None else f"d {i}" in p for p in sent) for i in asked)
 
 
+def test_arrow_scan_reads_every_row(spark, data, duck):
+    d = os.path.join(os.path.dirname(data), "sf0.1")
+    got = QUERIES["s05_arrow_scan"](spark, d).select("doc_id", "title", "text")
+    same(got, duck.sql(f"WITH benchmark AS (SELECT * FROM '{d}/benchmark.parquet') {ORACLE_SQL['s03_jsonl_scan']}").to_arrow_table())
+
+
 # -- metrics
 
 
