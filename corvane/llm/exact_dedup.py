@@ -3,26 +3,32 @@
 A stream of (digest, identifier, length, locator) rows meets keyed state on disk (RocksDB) that never expires: per digest
 it retains the row to keep, its locator and the group's size. Rows of one digest are combined inside each task before
 they are shuffled, so a digest that holds a third of all rows costs one row per task. The state outlives the run: give
-``state`` a folder and later runs add only new rows to it.
+``state`` a folder and later runs add only new rows to it; each answers for its own rows against all that came before.
 
-A digest only proposes. On hits, digests that more than one row has, the whole normalised texts are compared: they are
-grouped by (digest, text), again combined before the shuffle. Where a digest stands for one text, as it does unless it
-collides, the state's answer holds; otherwise its rows are regrouped by text.
+A digest only proposes. On hits, digests that more than one row has, the whole normalised texts are compared: those of
+this run, and, fetched through the retained locators, those that the state keeps from earlier runs. They are grouped by
+(digest, text), again combined before the shuffle. Where a digest stands for one text, as it does unless it collides, the
+state's answer holds; otherwise all its rows, earlier ones by their locators, are regrouped by text.
 
 Nulls and edge cases: null text counts as empty, and all empty texts (also those of white space only) are equal. Of equal
-texts the one with the most code points stays, then the smallest doc_id; a null doc_id comes last. Rows repeated with
-their doc_id share it: all of them carry the keep_id, and ``copy`` numbers them so that one row is kept. An empty table
-gives an empty result. Other columns are ignored, whatever their names.
+texts the one with the most code points stays, then the smallest doc_id; a null doc_id comes last. Rows that repeat a
+doc_id share its answer, also ``kept``; ``distinct_documents`` keeps one of them. Texts are compared whole; a task holds a
+few at a time, so the longest text bounds its memory. An empty table gives an empty result. Other columns are ignored,
+whatever their names.
+
+With ``state``, earlier tables must still be where they were read from, unchanged, and every table must come from files.
 """
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import keep, new_path, null_safe, only_keys, scope, small
+from .scratch import keep, new_path, null_safe, only_keys, scope, small, unused
 
 #: Keyed state on disk, sent to the checkpoint as changes; without files allocated ahead, which many small stores multiply.
 STATE = {
@@ -39,17 +45,24 @@ def normalised(text: Column) -> Column:
 
 
 def digest(text: Column) -> Column:
-    """Lowercase hex of SHA-256 over the normalised text's UTF-8 bytes."""
-    return F.sha2(normalised(text), 256)
+    """SHA-256 of the normalised text's UTF-8 bytes."""
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
+#: A row's place: its file and its row there.
+PLACE = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
 
 
-def _rows(docs: DataFrame, digest_of) -> DataFrame:
-    """Narrow rows for the stream; the locator is a file and a row in it where the table is read from files."""
-    narrow = [F.col("doc_id").cast("long"), digest_of(F.col("text")).alias("digest"), F.length(null_safe(F.col("text"))).cast("long").alias("n_chars"), F.xxhash64("text").alias("text_key")]
+def _located(docs: DataFrame, columns: list[Column]) -> DataFrame:
+    """``columns`` and the locator: a file and a row in it where the table is read from files, else the doc_id."""
     try:
-        return docs.select(*narrow, F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")).alias("locator"))
+        return docs.select(*columns, PLACE.alias("locator"))
     except AnalysisException:
-        return docs.select(*narrow, F.concat(F.lit("doc:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("locator"))
+        return docs.select(*columns, F.concat(F.lit("doc:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("locator"))
+
+
+def _narrow(digest_of) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).cast("binary").alias("digest"), F.length(null_safe(F.col("text"))).cast("long").alias("n_chars"), F.xxhash64("text").alias("text_key")]
 
 
 def _best() -> Column:
@@ -57,15 +70,24 @@ def _best() -> Column:
     return F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "locator")
 
 
+def _whole(digest_of) -> list[Column]:
+    return [*_narrow(digest_of)[:3], normalised(F.col("text")).alias("whole"), F.xxhash64("text").alias("text_key")]
+
+
+#: Rows of the stream, and what its state says of a digest.
+ROW = "doc_id long, digest binary, n_chars long, text_key long, locator string"
+GROUP = "digest binary, best struct<shorter: long, unnamed: boolean, doc_id: long, locator: string>, size long"
+
+
 def stream_groups(spark: SparkSession, path: str, state: str) -> DataFrame:
-    """Run the stream over the narrow rows in ``path``; ``state`` keeps checkpoints, keyed state and what changed in each
-    micro-batch. Returns per digest the latest: best, size."""
-    schema = "doc_id long, digest string, n_chars long, text_key long, locator string"
+    """Run the stream over the narrow rows in and under ``path``; ``state`` keeps checkpoints, keyed state and what changed
+    in each micro-batch. Returns per digest the latest: best, size."""
     had = {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
         spark.conf.set(k, v)
     try:
-        grouped = spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(path).groupBy("digest").agg(F.min(_best()).alias("best"), F.count("*").alias("size"))
+        rows = spark.readStream.schema(ROW).option("maxBytesPerTrigger", BATCH_BYTES).option("recursiveFileLookup", "true").parquet(path)
+        grouped = rows.groupBy("digest").agg(F.min(_best()).alias("best"), F.count("*").alias("size"))
         changed = f"{state}/changed"
 
         def write(batch: DataFrame, n: int) -> None:
@@ -76,7 +98,7 @@ def stream_groups(spark: SparkSession, path: str, state: str) -> DataFrame:
     finally:
         for k, v in had.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    names = "digest string, best struct<shorter: long, unnamed: boolean, doc_id: long, locator: string>, size long, batch long"
+    names = f"{GROUP}, batch long"
     found = spark.read.schema(names).option("recursiveFileLookup", "true").parquet(changed) if _exists(spark, changed) else spark.createDataFrame([], names)
     return found.groupBy("digest").agg(F.max_by(F.struct("best", "size"), "batch").alias("now")).select("digest", "now.best", "now.size")
 
@@ -86,46 +108,83 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def deduplicate(docs: DataFrame, digest_of=digest, state: str | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, text_key, n_chars, keep_id, group_size, kept, text_sha256 (the digest), locator (where the
-    kept content is).
+def _fetched(spark: SparkSession, places: DataFrame, digest_of) -> DataFrame:
+    """Rows of earlier tables, by the kept table ``places`` (locator), from the files that hold them, as ``_whole`` has
+    them. What reaches the driver is names of files, as in any listing."""
+    files = [r[0] for r in places.select(F.substring_index("locator", "#", 1)).distinct().collect()]
+    if not files:
+        return spark.createDataFrame([], "doc_id long, digest binary, n_chars long, whole string, text_key long, locator string")
+    return only_keys(_located(spark.read.parquet(*files), _whole(digest_of)), places, ["locator"], 400)
+
+
+def _earlier(spark: SparkSession, state: str, own: str) -> DataFrame:
+    """Narrow rows of the runs before."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/rows")
+    found = [f.getPath().toString() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    others = [f for f in found if f.rsplit("/", 1)[1] != own]
+    return spark.read.schema(ROW).parquet(*others) if others else spark.createDataFrame([], ROW)
+
+
+def deduplicate(docs: DataFrame, digest_of=digest, state: str | None = None, run: str | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_key, n_chars, keep_id, group_size, kept, text_sha256 (the digest in lowercase hex),
+    locator (where the kept content is).
 
     digest_of: text column to digest column; a weaker one costs comparisons, not correctness.
+    state: a folder that outlives the run; without it a new one. run: this run's name there; a call that failed may be
+    repeated under its name and takes its rows in once.
     """
     spark = docs.sparkSession
-    rows = keep(_rows(docs, digest_of), "exact-rows")
-    path = rows.inputFiles()
-    groups = stream_groups(spark, path[0].rsplit("/", 1)[0], state or new_path(spark, "exact-state")) if path else spark.createDataFrame([], "digest string, best struct<shorter: long, unnamed: boolean, doc_id: long, locator: string>, size long")
+    state, run = state or new_path(spark, "exact-state"), run or uuid4().hex
+    began = _exists(spark, f"{state}/checkpoint")
+    if not _exists(spark, f"{state}/rows/{run}/_SUCCESS"):
+        _located(docs, _narrow(digest_of)).write.mode("overwrite").option("compression", "zstd").parquet(f"{state}/rows/{run}")
+    rows = spark.read.schema(ROW).parquet(f"{state}/rows/{run}")
+    groups = stream_groups(spark, f"{state}/rows", state)
+    if began:  # digests of this run only
+        groups = groups.join(rows.select("digest").distinct(), "digest", "left_semi")
     groups = keep(groups, "exact-groups")
 
-    # whole texts of hits
+    # whole texts of hits: this run's, and one that the state retains from before
     hit = keep(groups.where("size > 1").select("digest"), "exact-hits")
-    texts = only_keys(docs.select(F.col("doc_id").cast("long"), "text", digest_of(F.col("text")).alias("digest"), normalised(F.col("text")).alias("whole")), hit, ["digest"])
-    texts = texts.withColumn("n_chars", F.length(null_safe(F.col("text"))).cast("long")).withColumn("locator", F.lit(None).cast("string"))
-    different = keep(texts.groupBy("digest", "whole").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "exact-collisions")
-
-    out = ["doc_id", "text_key", "n_chars", "keep_id", "group_size", "text_sha256", "locator"]
-    right = rows.drop("locator").join(groups, "digest") if different.isEmpty() else rows.drop("locator").join(groups, "digest").join(different, "digest", "left_anti")
-    answer = right.select("doc_id", "text_key", "n_chars", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.col("digest").alias("text_sha256"), F.col("best.locator").alias("locator"))
+    texts = only_keys(_located(docs, _whole(digest_of)), hit, ["digest"])
+    seen = texts.select("digest", "whole")
+    if began:
+        before = only_keys(_earlier(spark, state, run), hit, ["digest"])
+        one = keep(before.groupBy("digest").agg(F.min("locator").alias("locator")).select("locator"), "exact-before")
+        seen = seen.unionByName(_fetched(spark, one, digest_of).select("digest", "whole"))
+    different = seen.groupBy("digest", "whole").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
+    if began and _exists(spark, f"{state}/collided"):  # digests known to stand for several texts
+        known = spark.read.schema("digest binary").option("recursiveFileLookup", "true").parquet(f"{state}/collided")
+        different = different.unionByName(only_keys(known, hit, ["digest"])).distinct()
+    different.write.mode("overwrite").parquet(f"{state}/collided/{run}")
+    different = spark.read.schema("digest binary").parquet(f"{state}/collided/{run}")
+
+    fields = ["doc_id", "text_key", "n_chars", "digest", "best", "size"]
+    answer = rows.drop("locator").join(groups, "digest").select(*fields)
     if not different.isEmpty():
-        apart = only_keys(texts, different, ["digest"])
-        classes = apart.groupBy("digest", "whole").agg(F.min(_best()).alias("best"), F.count("*").alias("size"))
-        regrouped = apart.join(classes, ["digest", "whole"]).select("doc_id", F.xxhash64("text").alias("text_key"), "n_chars", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.col("digest").alias("text_sha256"), F.col("best.locator").alias("locator"))
-        answer = answer.unionByName(regrouped)
-    return answer.select(*out, F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+        apart = keep(only_keys(texts, different, ["digest"]), "exact-apart")
+        all_texts = apart
+        if began:
+            places = keep(only_keys(_earlier(spark, state, run), different, ["digest"]).select("locator"), "exact-places")
+            all_texts = apart.unionByName(_fetched(spark, places, digest_of))
+        classes = all_texts.groupBy("digest", "whole").agg(F.min(_best()).alias("best"), F.count("*").alias("size"))
+        regrouped = apart.join(classes, ["digest", "whole"])
+        answer = answer.join(different, "digest", "left_anti").unionByName(regrouped.select(*fields))
+    best = [F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("best.locator").alias("locator")]
+    return answer.select("doc_id", "text_key", "n_chars", *best, F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with all their columns."""
+    key, copy, kept_id, kept_key = unused(docs, "text_key", "copy", "kept_id", "kept_key")
     with scope(docs.sparkSession):
         # rows of a group that share the kept doc_id: the longest, once
         kept = deduplicate(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.max(F.struct("n_chars", "text_key")).alias("longest"), F.count("*").alias("rows"))
-        once = keep(kept.select("doc_id", F.col("longest.text_key").alias("text_key"), "rows"), "exact-kept", outside=True)
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    side = once.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
-    stays = keyed.join(F.broadcast(side) if small(once) else side, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
+        once = keep(kept.select(F.col("doc_id").alias(kept_id), F.col("longest.text_key").alias(kept_key), "rows"), "exact-kept", outside=True)
+    side = once.select(kept_id, kept_key)
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    stays = rows.join(F.broadcast(side) if small(once) else side, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key)), "left_semi")
     # rows that repeat a kept row with its doc_id
-    if once.where("rows > 1").isEmpty():
-        return stays.drop("text_key")
-    again = stays.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(F.monotonically_increasing_id())))
-    return again.where("copy = 1").drop("copy", "text_key")
+    if not once.where("rows > 1").isEmpty():
+        stays = stays.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(F.monotonically_increasing_id()))).where(F.col(copy) == 1)
+    return stays.select(*docs.columns)

@@ -17,9 +17,10 @@ Running sums never gather a source in one task: documents fall into digest range
 document's place is its range's start plus a sum inside the range.
 
 Nulls and edge cases: null text has size 0. A null source is a source of its own and comes last. A document of size 0
-takes 0 words and is not in the mix. A null doc_id sorts first. Rows that repeat a doc_id lie side by side, ordered by
-text, and are placed each. An empty table, or one without words, gives no mix. Other columns are kept by ``mix`` and
-must not be called as the added ones.
+takes 0 words and is not in the mix. Rows with a null doc_id are spread by their text. Rows that repeat a doc_id lie side
+by side, ordered by text, and are placed each. A text is counted whole where it is read; a task holds one at a time. An
+empty table, or one without words, gives no mix. Other columns are kept by ``mix`` whatever their names; its own column
+is ``position``, with underscores added while the table has one of that name.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import keep, scope, small
+from .scratch import keep, scope, small, unused
 
 #: Hexadecimal digits of the digest that name a range: 4,096 ranges a source.
 RANGE_DIGITS = 3
@@ -65,14 +66,20 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: int =
     return rows.select("source", "source_size", "place", "weight", target.alias("target"))
 
 
+def _text_key() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"), F.col("source").cast("string"))
+
+
 def plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: int = 150, cap: int = 2, tilts: Sequence[float] = (-0.5, 0.0, 0.5)) -> DataFrame:
-    """Per row of ``docs``: doc_id, text_key, size, source_size, target, copies (0 to ``cap``), taken (words), positions
-    (of each copy, 0 to 1).
+    """Per row of ``docs``: doc_id, text_key, nth (1, 2, ... among rows that repeat both), size, source_size, target, copies
+    (0 to ``cap``), taken (words), positions (of each copy, 0 to 1).
 
     weights, tilts: of the sources by code point, repeating; a tilt of -1 to 1 moves a source to the start or the end.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("source").cast("string"), size_of(F.col("text")).alias("size"))
-    rows = keep(rows.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "mix-rows")
+    rows = docs.select(F.col("doc_id").cast("long"), _text_key().alias("text_key"), F.col("source").cast("string"), size_of(F.col("text")).alias("size"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("text_key").cast("string")))
+    rows = keep(rows.withColumn("digest", F.md5(name.cast("binary"))), "mix-rows")
     rows = rows.withColumn("part", F.substring("digest", 1, RANGE_DIGITS))
     # sources by ranges: a table of at most 4,096 rows a source
     parts = keep(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
@@ -82,33 +89,50 @@ def plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: int = 150
     same = F.col("g.source").eqNullSafe(F.col("b.source"))
     table = keep(begun.alias("b").join(goal.alias("g"), same).select("b.source", "part", "begun", "source_size", "place", "target"), "mix-table").alias("t")
     inside = Window.partitionBy("source", "part").orderBy("digest", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("r")
+    again = Window.partitionBy("source", "part", "digest", "doc_id", "text_key").orderBy("size")
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("nth", F.row_number().over(again)).alias("r")
     placed = rows.join(table, F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.part") == F.col("t.part")))
     before = F.col("begun") + F.col("inside")
-    placed = placed.select("doc_id", "text_key", "size", "source_size", "target", "place", before.alias("before"))
+    placed = placed.select("doc_id", "text_key", "nth", "size", "source_size", "target", "place", before.alias("before"))
     # epoch e of a document begins at before + e * source_size
     epochs = F.array(*(F.col("before") + e * F.col("source_size") for e in range(cap)))
     starts = F.when(F.col("size") > 0, F.filter(epochs, lambda x: x < F.col("target"))).otherwise(F.array().cast("array<bigint>"))
     tilt = F.element_at(F.array(*(F.lit(float(x)) for x in tilts)), F.col("place") % len(tilts) + 1)
     # D(s, t) = before, solved for t
     when = lambda x: F.when(tilt == 0, x / F.col("target")).otherwise((F.sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * x / F.col("target")) - (1 - tilt)) / (2 * tilt))
-    placed = placed.withColumn("starts", starts)
-    copies = F.size("starts").cast("long")
-    return placed.select("doc_id", "text_key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), F.transform("starts", when).alias("positions"))
+    positions = F.transform("starts", when)
+    # a document's words are taken at its positions: no position, no words
+    placed = placed.withColumn("starts", starts).withColumn("positions", positions)
+    copies = F.size("positions").cast("long")
+    return placed.select("doc_id", "text_key", "nth", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "positions")
+
+
+def _in_order(rows: DataFrame, position: str, parts: int | None) -> DataFrame:
+    """Range-sorted by position; rows without one are spread over all parts and come last in each.
+
+    Positions are spread over 0 to 1 as the words are, so equal ranges of them make even parts, without a sampling pass.
+    """
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.least(F.floor(F.col(position) * n), F.lit(n - 1))
+    return rows.repartitionById(n, F.coalesce(own, F.pmod(F.xxhash64("doc_id"), F.lit(n))).cast("int")).sortWithinPartitions(F.col(position).asc_nulls_last(), "doc_id")
+
+
+def schedule(docs: DataFrame, parts: int | None = None, **options) -> DataFrame:
+    """``plan``, range-sorted by the position of each document's first copy."""
+    return _in_order(plan(docs, **options).withColumn("first_position", F.get("positions", F.lit(0))), "first_position", parts)
 
 
 def mix(docs: DataFrame, parts: int | None = None, **options) -> DataFrame:
     """The mixture: rows of ``docs``, as often as they are taken, range-sorted by training position, with ``position``."""
-    spark = docs.sparkSession
-    with scope(spark):
-        taken = keep(plan(docs, **options).where("copies > 0").groupBy("doc_id", "text_key").agg(F.collect_list("positions").alias("all")), "mix-taken", outside=True)
-    several = not taken.where(F.size("all") > 1).isEmpty()
-    side = taken.select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), "all")
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    rows = keyed.join(F.broadcast(side) if small(taken) else side, keyed.doc_id.cast("long").eqNullSafe(F.col("mix_id")) & (keyed.text_key == F.col("mix_key")))
-    # rows that repeat a document with its text take one list each
-    own = F.row_number().over(Window.partitionBy("mix_id", "mix_key").orderBy(F.monotonically_increasing_id())) if several else F.lit(1)
-    rows = rows.withColumn("own", own).select(*(docs[c] for c in docs.columns), F.explode(F.element_at("all", F.col("own"))).alias("position"))
-    # positions are spread over 0 to 1 as the words are, so equal ranges of them are the range partitions
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionById(n, F.least(F.floor(F.col("position") * n), F.lit(n - 1)).cast("int")).sortWithinPartitions("position", "doc_id")
+    position, key, own, mix_id, mix_key, mix_nth = unused(docs, "position", "text_key", "nth", "mix_id", "mix_key", "mix_nth")
+    with scope(docs.sparkSession):
+        copies = plan(docs, **options).select(F.col("doc_id").alias(mix_id), F.col("text_key").alias(mix_key), F.col("nth").alias(mix_nth), F.explode("positions").alias(position))
+        taken = keep(copies, "mix-taken", outside=True)
+    side = F.broadcast(taken) if small(taken) else taken
+    rows = docs.withColumn(key, _text_key())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(mix_id)) & (F.col(key) == F.col(mix_key))
+    if not taken.where(F.col(mix_nth) > 1).isEmpty():
+        # rows that repeat a document with its text take one place each
+        rows = rows.withColumn(own, F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long"), key).orderBy(F.monotonically_increasing_id())))
+        same &= F.col(own) == F.col(mix_nth)
+    return _in_order(rows.join(side, same).select(*docs.columns, position), position, parts)

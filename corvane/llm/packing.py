@@ -1,37 +1,51 @@
 """Order-preserving packing into fixed windows by dynamic programming.
 
-The texts of a partition are one stream of ids in their stored order, each text closed by an end id. Windows are cut at
-document ends, at sentence ends or, in a stretch without either, at fixed steps. Over the positions b where a cut may be,
-the least cost of a cut there is
+Texts are packed in the order in which the table stores them (by file, and by place in the file), or in that of given
+columns. Windows are cut at document ends, at sentence ends or, in a stretch without either, at small fixed steps. Over
+the positions b where a cut may be, the least cost of a cut there is
 
-    f(j) = penalty(j) + min over i with b(j) - b(i) <= size of f(i) + padding(b(j) - b(i)),
+    f(j) = penalty(j) + min over i with b(j) - b(i) <= size of f(i) + padding(b(j) - b(i)) + window,
 
 where padding is what a window lacks to ``size``, and nothing at a power of two. For the first case f(i) + b(i) is kept in
-a monotone queue, so each position costs constant time; the few powers of two are looked up. Each partition is packed in one
-pass without a shuffle, in blocks whose last window stays open for the next one. A lost task gives the same windows again.
-
-Nulls and edge cases: null text is empty; an empty text is its end id alone. Texts over the window size are cut. Rows
-that share or lack a doc_id are packed each. An empty table gives no window. Other columns are ignored.
+a monotone queue, so each position costs constant time; the powers of two below ``size`` are looked up.
+
+A run is a stretch of rows whose order is known: one split of a file, or one range of the given columns. Each run is packed
+in one pass, in blocks whose last window stays open for the next one, so stored order needs no shuffle of the texts; only
+the last window of a run may stay short. The narrow pieces are written, runs are counted and put in order, and windows are
+numbered through: sequence_id grows with the order of the texts, from 0, without gaps. A lost task gives the same windows
+again.
+
+Nulls and edge cases: null text is empty; an empty text is its end id alone. Texts over the window size are cut; a text
+is held whole with its ids. Rows that share or lack a doc_id are packed each. Rows that tie in the given columns are
+ordered by doc_id. An empty table gives no window. Other columns are ignored. A table from files whose rows were shuffled
+since they were read has no stored order: it raises unless columns are given.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import kernels as K
+from .scratch import keep, small
 from .tokens import encoder
 
 #: Ids gathered before windows are cut; a longer text is gathered whole.
 BLOCK = 1 << 19
+#: Places in a window where a stretch without sentence ends may be cut.
+STEPS = 64
+#: What a piece's row consists of; the last three name the run and the window in it until windows are numbered.
+PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "window")
 
 
 def cuts(at: np.ndarray, penalty: np.ndarray, size: int, window: float = 4.0) -> list[int]:
@@ -41,7 +55,7 @@ def cuts(at: np.ndarray, penalty: np.ndarray, size: int, window: float = 4.0) ->
     n = len(b)
     f, back = [0.0] * n, [0] * n
     queue: deque[tuple[float, int]] = deque()
-    powers = [1 << i for i in range(size.bit_length() - 4, size.bit_length() - 1)] if size >= 16 else []
+    powers = [1 << i for i in range((size - 1).bit_length())]
     where = {x: i for i, x in enumerate(b)}
     for j in range(1, n):
         cost = f[j - 1] + b[j - 1]
@@ -65,10 +79,10 @@ def cuts(at: np.ndarray, penalty: np.ndarray, size: int, window: float = 4.0) ->
 
 
 class _Stream:
-    """Ids of texts that no closed window has yet."""
+    """Ids of one run's texts that no closed window has yet."""
 
-    def __init__(self, size: int, sentence: float, hard: float, sequence: int):
-        self.size, self.sentence, self.hard, self.sequence = size, sentence, hard, sequence
+    def __init__(self, size: int, sentence: float, hard: float, file: str, block: int):
+        self.size, self.sentence, self.hard, self.file, self.block, self.sequence = size, sentence, hard, file, block, 0
         self.docs: list[tuple] = []  # doc_id, ids, ids before these, ids of the whole text, positions of sentence ends
         self.waiting = 0
 
@@ -76,17 +90,21 @@ class _Stream:
         self.docs.append((doc_id, ids, 0, len(ids), ends))
         self.waiting += len(ids)
 
-    def close(self, last: bool) -> dict[str, list]:
-        out: dict[str, list] = {x: [] for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-        if not self.waiting:
-            return out
+    def close(self, last: bool) -> pa.RecordBatch:
+        out: dict[str, list] = {x: [] for x in PIECE}
+        if self.waiting:
+            self._cut(out, last)
+        n = len(out["doc_id"])
+        return pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in out.values()), pa.array([self.file] * n, pa.string()), pa.array([self.block] * n, pa.int64())], [*out, "file", "block"])
+
+    def _cut(self, out: dict[str, list], last: bool) -> None:
         where, cost, base = [np.zeros(1, np.int64)], [np.zeros(1)], 0
         for _, ids, _, _, ends in self.docs:
             where.append(np.append(ends + base, base + len(ids)))
             cost.append(np.append(np.full(len(ends), self.sentence), 0.0))
             base += len(ids)
         at, penalty = np.concatenate(where), np.concatenate(cost)
-        step = self.size // 2
+        step = max(1, self.size // STEPS)
         wide = np.flatnonzero(np.diff(at) > step)
         if len(wide):
             extra = np.concatenate([np.arange(at[i] + step, at[i + 1], step) for i in wide])
@@ -102,7 +120,7 @@ class _Stream:
                 doc_id, ids, before, total, _ = self.docs[d]
                 end = min(b, done + len(ids))
                 piece = ids[begin - done : end - done]
-                for key, value in (("doc_id", doc_id), ("start", before + begin - done), ("length", end - begin), ("ids_crc32", crc32(piece.astype("<u4").tobytes())), ("doc_tokens", total), ("sequence_id", self.sequence), ("offset", begin - a)):
+                for key, value in (("doc_id", doc_id), ("start", before + begin - done), ("length", end - begin), ("ids_crc32", crc32(piece.astype("<u4").tobytes())), ("doc_tokens", total), ("offset", begin - a), ("window", self.sequence)):
                     out[key].append(value)
                 begin = end
                 if begin == done + len(ids):
@@ -114,30 +132,63 @@ class _Stream:
             k = begin - done
             rest[0] = (doc_id, ids[k:], before + k, total, ends[ends > k] - k)
         self.docs, self.waiting = rest, base - begin
-        return out
 
 
 def _pack(batches: Iterator[pa.RecordBatch], name: str, size: int, end_id: int, sentence: float, hard: float) -> Iterator[pa.RecordBatch]:
     coder = encoder(name)
-    stream = _Stream(size, sentence, hard, TaskContext.get().partitionId() << 40)
-    row = lambda x: pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in x.values()], list(x))
+    task, done, stream = TaskContext.get().partitionId(), set(), None
     for batch in batches:
         for part in K.slices(batch):
+            files = part.column("file").to_pylist()
+            blocks = part.column("block").to_pylist()
             texts = part.column("text").to_pylist()
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
+            for file, block, doc_id, text in zip(files, blocks, part.column("doc_id").to_pylist(), texts, strict=True):
+                run = ("", task) if file is None else (file, block)
+                if stream is None or run != (stream.file, stream.block):
+                    if stream is not None:
+                        yield stream.close(True)
+                    if run in done:
+                        raise ValueError("these rows are no longer in the order of their files: name columns to order them by")
+                    done.add(run)
+                    stream = _Stream(size, sentence, hard, *run)
                 ids = coder.ids(text or "")
                 # a sentence ends after a stop before white space, or after a line end
                 ends = np.flatnonzero(coder.line_end[ids[:-1]] | (coder.stop[ids[:-1]] & coder.gap[ids[1:]])) + 1
                 stream.add(doc_id, np.append(ids, np.uint32(end_id)), ends)
                 if stream.waiting >= BLOCK:
-                    yield row(stream.close(False))
-    yield row(stream.close(True))
-
-
-def pack(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe_50k", end_id: int = 1, sentence: float = 2.0, hard: float = 64.0) -> DataFrame:
+                    yield stream.close(False)
+    if stream is not None:
+        yield stream.close(True)
+
+
+def _in_runs(docs: DataFrame, order: Sequence[str] | None) -> DataFrame:
+    """doc_id, text, and the run of each row: file and block, or null where the partition is the run."""
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text"]
+    alone = [F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("block")]
+    if order:
+        keys = [F.col(c) for c in order]
+        ranged = docs.repartitionByRange(*keys, "doc_id").sortWithinPartitions(*keys, "doc_id")
+        return ranged.select(*columns, *alone)
+    try:
+        return docs.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").cast("long").alias("block"))
+    except AnalysisException:
+        return docs.select(*columns, *alone)
+
+
+def pack(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe_50k", end_id: int = 1, sentence: float = 2.0, hard: float = 64.0, order: Sequence[str] | None = None) -> DataFrame:
     """Pieces of texts in windows of at most ``size`` ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     sentence, hard: what a cut inside a document costs at a sentence end and elsewhere, in padded ids.
+    order: columns whose order the texts take; without them the stored order.
     """
-    names = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_pack, name=vocabulary, size=size, end_id=end_id, sentence=sentence, hard=hard), names)
+    schema = ", ".join(f"{c} long" for c in PIECE) + ", file string, block long"
+    pieces = _in_runs(docs, order).mapInArrow(partial(_pack, name=vocabulary, size=size, end_id=end_id, sentence=sentence, hard=hard), schema)
+    pieces = keep(pieces, "packed")
+    # one row a run, a table of file splits; files written by Spark are numbered in their names
+    runs = pieces.groupBy("file", "block").agg((F.max("window") + 1).alias("windows"))
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    before = Window.orderBy(F.regexp_extract("file", r"^(.*/)", 1), number.asc_nulls_last(), "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    runs = keep(runs.withColumn("first", F.coalesce(F.sum("windows").over(before), F.lit(0))).drop("windows"), "packed-runs")
+    side = F.broadcast(runs) if small(runs, 400) else runs
+    placed = pieces.join(side, ["file", "block"])
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("window")).alias("sequence_id"), "offset")

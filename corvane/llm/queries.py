@@ -14,7 +14,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """In training order: a document's words are taken at its positions."""
+    rows = mixing.schedule(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "first_position", F.get("positions", F.lit(1)).alias("second_position"))
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +24,8 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
     read = chat.read_chats(chat.format_chats(turns.unionByName(planted)))
-    joined = lambda f, keep=None: F.array_join(F.transform(keep if keep is not None else F.col("turns"), f), "")
-    every = joined(lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
-    loss = joined(lambda t: t.text, F.filter("turns", lambda t: t.loss))
+    every = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
     rows = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return rows.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
@@ -81,11 +82,14 @@ f AS (SELECT *, coalesce(sum(source_size) OVER fill, 0) * 200 AS full_, sum(weig
 o AS (SELECT *, (demand - full_) * weight > source_size * 200 * open_ AS over_ FROM f),
 l AS (SELECT demand - full_ AS left_, open_ FROM o WHERE NOT over_ ORDER BY full_, open_ DESC LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN over_ OR (SELECT count(*) FROM l) = 0 THEN CAST(source_size * 2 AS DOUBLE)
-      ELSE CAST((SELECT left_ FROM l) AS DOUBLE) * CAST(weight AS DOUBLE) / CAST((SELECT open_ FROM l) AS DOUBLE) / 100.0 END AS target FROM o),
-b AS (SELECT d.doc_id, d.size, t.source_size, t.target,
-      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * ((before_ < target)::INT + (before_ + source_size < target)::INT) AS BIGINT) AS taken FROM b""",
+      ELSE CAST((SELECT left_ FROM l) AS DOUBLE) * CAST(weight AS DOUBLE) / CAST((SELECT open_ FROM l) AS DOUBLE) / 100.0 END AS target, place FROM o),
+b AS (SELECT d.doc_id, d.size, t.source_size, t.target, [-0.5, 0, 0.5][t.place % 3 + 1]::DOUBLE AS tilt,
+      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before_
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CASE WHEN size > 0 THEN list_filter([before_, before_ + source_size], lambda x: x < target) ELSE [] END AS starts FROM b),
+e AS (SELECT *, list_transform(starts, lambda x: CASE WHEN tilt = 0 THEN x / target
+      ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * x / target) - (1 - tilt)) / (2 * tilt) END) AS positions FROM c)
+SELECT doc_id, size, source_size, target, CAST(size * len(starts) AS BIGINT) AS taken, positions[1] AS first_position, positions[2] AS second_position FROM e""",
     "op2_chat": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,8 +13,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a key-only table that may be broadcast; at about 40 bytes a row this is well under 100 MB.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table that may be broadcast, counted as rows by a width that the caller states.
+BROADCAST_BYTES = 64_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,25 +30,49 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
-#: Paths of the scopes that are open, innermost last.
-_open: list[list[str]] = []
+class _Scopes(threading.local):
+    """Paths of the scopes that are open in this thread, innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Removes, at its end, the tables kept inside it but for those kept with ``outside``."""
-    _open.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
-        for path in _open.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        for path in _scopes.open.pop():
+            _delete(spark, path)
+
+
+#: Folders of applications that are removed when the process ends.
+_folders: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _clear(spark: SparkSession, folder: str) -> None:
+    """Tables that results still depended on go with the application; after the session is stopped they stay."""
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, folder)
 
 
 def new_path(spark: SparkSession, name: str, outside: bool = False) -> str:
-    path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-    scopes = _open[:-1] if outside else _open
+    folder = f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_clear, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    scopes = _scopes.open[:-1] if outside else _scopes.open
     if scopes:
         scopes[-1].append(path)
     return path
@@ -60,17 +85,29 @@ def keep(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a kept, narrow table is within the broadcast bound (its row count comes from Parquet footers)."""
-    return df.count() <= rows
+def small(df: DataFrame, width: int = 64) -> bool:
+    """Whether a kept table is within the broadcast bound. Its row count comes from Parquet footers; ``width`` is what a row
+    takes at most: 64 bytes hold four numbers or a digest and one of them."""
+    return df.count() * width <= BROADCAST_BYTES
 
 
-def only_keys(df: DataFrame, keys: DataFrame, on: list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``df`` whose ``on`` is in the kept table ``keys``: by broadcast up to ``rows`` keys, else by a shuffled semi join."""
-    side = F.broadcast(keys.select(*on)) if small(keys, rows) else keys.select(*on)
+def only_keys(df: DataFrame, keys: DataFrame, on: list[str], width: int = 64) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is in the kept table ``keys``: by broadcast up to the bound, else by a shuffled semi join."""
+    side = F.broadcast(keys.select(*on)) if small(keys, width) else keys.select(*on)
     return df.join(side, on, "left_semi")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that start with ``names`` and that ``df`` does not have, whatever its own are called."""
+    had = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in had:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def has(df: DataFrame, column: str) -> bool:
     return column in df.columns
 

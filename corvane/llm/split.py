@@ -21,8 +21,9 @@ def sample(rows: DataFrame, group: str, bound: int) -> DataFrame:
     """
     digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
     marked = rows.select("doc_id", group, digest.alias("digest"))
+    # one row a group, broadcast, so that rows drop out where they are read and not after a shuffle by group
     counts = marked.groupBy(group).agg(F.count("*").alias("held"))
     share = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    near = marked.join(counts, group).where(share * F.col("held") <= 4 * max(bound, 100))
+    near = marked.join(F.broadcast(counts), group).where(share * F.col("held") <= 4 * max(bound, 100))
     order = Window.partitionBy(group).orderBy("digest", "doc_id")
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= bound).select("doc_id", group)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import keep, only_keys, small
+from .scratch import BROADCAST_BYTES, keep, only_keys, small
 
 #: A row of a table of documents: repeated doc_ids with different texts stay apart.
 KEY = ["doc_id", "text_key"]
@@ -166,5 +166,5 @@ def remove_repeats(docs: DataFrame, least: int = 50) -> DataFrame:
     found = keep(repeats(docs, least), "repeats")
     # bounded by the ranges, not only by the rows
     ranges = found.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
-    side = F.broadcast(found) if small(found) and ranges <= 4_000_000 else found
+    side = F.broadcast(found) if small(found) and 32 * ranges <= BROADCAST_BYTES else found
     return _keyed(docs).join(side, KEY, "left").select("doc_id", "text", "found").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: long, end: long>>")
