@@ -24,12 +24,12 @@ def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them, in training order."""
-    return mixing.mix(docs).drop("position")
+    """Documents as often as the mixture takes them, stored in training order."""
+    return mixing.mix(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 2048 ids."""
+    """Pieces of documents in windows of 2048 ids, numbered in the stored order."""
     return packing.pack(docs)
 
 
