@@ -49,14 +49,10 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text), 256))
 
 
-#: A row's place: its file and its row there.
-PLACE = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
-
-
 def _located(docs: DataFrame, columns: list[Column]) -> DataFrame:
     """``columns`` and the locator: a file and a row in it where the table is read from files, else the doc_id."""
     try:
-        return docs.select(*columns, PLACE.alias("locator"))
+        return docs.select(*columns, F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")).alias("locator"))
     except AnalysisException:
         return docs.select(*columns, F.concat(F.lit("doc:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("locator"))
 

@@ -1,22 +1,31 @@
 """MinHash near-duplicate detection by a signature-coordinate inverted join.
 
-Every class of equal shingle sets has one MinHash signature of ``coordinates`` values. It is posted under each
-(coordinate, value) pair. Two sets are candidates when they collide in at least ``matches`` coordinates, so each pair
-must meet among the ``coordinates - matches + 1`` rarest postings of a set: only this prefix is joined, postings held by
-one set count towards the prefix without being stored, and a set with too few shared postings is left out whole.
-
-No group is expanded into all its pairs. First each node is compared with a centre, the member of a posting that shares the
-most coordinates, which it meets most often; the confirmed links give components, and a posting whose members are in one component is skipped. What
-is left drops nodes by an exact bound, shingles that no other of these nodes has cannot be shared, and compares the rest
-in blocks that count all intersections at once and let only links out.
-Candidates with enough collisions are confirmed on their full shingle sets, so no link is approximate; a pair at the
-similarity threshold is missed only if its signatures agree in fewer than ``matches`` places (at 0.8, 64 and 32: about
-1e-8).
+Every class of equal shingle sets is a node with one MinHash signature of ``coordinates`` values. It is posted under each
+(coordinate, value) pair, a 64-bit key in which the whole minimum is mixed, so unrelated sets do not meet by chance. Two
+sets are candidates when they collide in at least ``matches`` coordinates, so each pair must meet among the
+``coordinates - matches + 1`` rarest postings of a set: only this prefix is joined, postings held by one set count towards
+the prefix without being stored, and a set with too few shared postings is left out whole.
+
+Collisions are counted where a pair first meets: of the prefix postings that both have, the lowest coordinate owns the
+pair, all others skip it, and its owner counts the collisions over all coordinates. Pairs whose members are in one
+component already are skipped too. To have few others, each node is first compared with a centre, the member of a posting
+that shares the most coordinates, which it meets most often; a posting whose members are in one component is skipped whole.
+
+No group is expanded into all its pairs. A posting's members are compared in blocks of bounded size. Of each block either
+the retained pairs leave, at most ``SPARSE`` for each member, or, where more are retained, only a tree that spans them.
+Pairs are confirmed on their full sets. What trees connect is a dense group: its full sets are compared in blocks that
+count all intersections at once and let only links out. So no link is approximate; a pair at the similarity threshold is
+missed only if its signatures agree in fewer than ``matches`` places (at 0.8, 64 and 32: about 1e-8). A word, a shingle and
+a set stand as hashes, of 64, 64 and 128 bits.
+
+Work is linear but for dense groups and postings, whose blocks grow with the square of their members that are left after
+the centres; memory of a task does not grow.
 
 Nulls and edge cases: null text has no shingles, and a text without words likewise; both are linked with nothing. Fewer
 words than a shingle form one shingle of that length, which equals no longer one. Rows that share a doc_id are one
-document. A null doc_id is linked with nothing and is kept. An empty table gives an empty result. Other columns are
-ignored, whatever their names.
+document: its texts are linked with each other. A null doc_id is linked with nothing and is kept. A text is held whole
+with its shingles, about 40 bytes for each byte of the longest text. An empty table gives an empty result. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +42,16 @@ from pyspark.sql.window import Window
 
 from . import kernels as K
 from .components import components
-from .scratch import keep, only_keys, scope, small
+from .scratch import keep, only_keys, scope, small, unused
 
 #: Nodes on each side of a block, and columns of an incidence matrix that are held at a time.
 BLOCK, COLUMNS = 512, 4096
+#: Nodes on each side of a block of signatures, pairs that are compared at a time, and pairs a member from which a block is dense.
+SIGNS, PAIRS, SPARSE = 2048, 1 << 16, 16
+#: Rows of small postings that are compared in one call.
+BATCH = 4096
+#: Ids of texts that repeat another text's doc_id lie above all doc_ids.
+ABOVE = 1 << 62
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -60,23 +75,25 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Rec
 
 
 def _sign(batches: Iterator[pa.RecordBatch], size: int, coordinates: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Per text its number of shingles, a mark of its set, and one posting key for each coordinate."""
     rng = np.random.default_rng(seed)
     flip = rng.integers(0, 1 << 64, (coordinates, 1), np.uint64)
     times = rng.integers(0, 1 << 64, (coordinates, 1), np.uint64) | np.uint64(1)
+    salt = rng.integers(0, 1 << 64, coordinates, np.uint64)
     with np.errstate(over="ignore"):
         for part, sets in _sets(batches, size):
-            marks, signs = [], []
-            for s in sets:
-                if not len(s):
-                    marks.append(None)
-                    signs.append(None)
-                    continue
-                marks.append(blake2b(s.tobytes(), digest_size=16).digest())
+            full = np.array([len(s) > 0 for s in sets], bool)
+            keys = np.zeros((int(full.sum()), coordinates), np.uint64)
+            for row, s in enumerate(s for s in sets if len(s)):
                 least = np.full(coordinates, np.iinfo(np.uint64).max, np.uint64)
                 for i in range(0, len(s), 4096):
                     np.minimum(least, ((s[None, i : i + 4096] ^ flip) * times).min(1), out=least)
-                signs.append((least >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "mark", "sign"])
+                # minima crowd near 0; mixed, they are spread over all 64 bits
+                keys[row] = K.mix(least ^ salt)
+            marks = pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
+            ends = np.concatenate([[0], np.cumsum(full * coordinates)])
+            signs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), marks, signs], ["doc_id", "n_shingles", "mark", "sign"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -87,38 +104,21 @@ def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "mark", "shingles"])
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per coordinate of a signature; the pair of coordinate and value is one long."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2000):
-            part = batch.slice(i, 2000)
-            signs = np.frombuffer(b"".join(part.column("sign").to_pylist()), np.uint32).reshape(part.num_rows, -1)
-            m = signs.shape[1]
-            keys = (signs.astype(np.int64) | (np.arange(m, dtype=np.int64) << 32)).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(part.column("node").to_numpy(), m))], ["posting", "node"])
-
-
-def _collisions(batches: Iterator[pa.RecordBatch], matches: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree in enough coordinates."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sign_a", "sign_b"))
-        yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= matches))
-
-
 def _full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, name: str) -> DataFrame:
     """Shingles of the nodes in ``wanted`` (node): node, shingles."""
-    ends = keep(wanted.select(F.col("node").alias("doc_id")).distinct(), f"{name}-ends")
+    ends = wanted.select("node").distinct().join(nodes, "node").select("node", F.col("doc").alias("doc_id"), "mark")
+    ends = keep(ends, f"{name}-ends")
     texts = only_keys(docs.select(F.col("doc_id").cast("long"), "text"), ends, ["doc_id"])
-    marks = only_keys(nodes.select(F.col("node").alias("doc_id"), "mark"), ends, ["doc_id"])
     # a row that shares a node's doc_id but not its text has another mark
-    sets = texts.mapInArrow(partial(_shingles, size=size), "doc_id long, mark binary, shingles array<long>").join(marks, ["doc_id", "mark"], "left_semi")
-    return keep(sets.select(F.col("doc_id").alias("node"), "shingles"), f"{name}-sets")
+    sets = texts.mapInArrow(partial(_shingles, size=size), "doc_id long, mark binary, shingles array<long>").join(F.broadcast(ends) if small(ends) else ends, ["doc_id", "mark"])
+    return keep(sets.select("node", "shingles"), f"{name}-sets")
 
 
 def _colliding(nodes: DataFrame, pairs: DataFrame, matches: int, name: str) -> DataFrame:
     """Of pairs (a, b), those whose signatures agree in enough coordinates."""
     sign = lambda x: nodes.select(F.col("node").alias(x), F.col("sign").alias(f"sign_{x}"))
-    return keep(pairs.join(sign("a"), "a").join(sign("b"), "b").mapInArrow(partial(_collisions, matches=matches), "a long, b long"), f"{name}-near")
+    met = pairs.join(sign("a"), "a").join(sign("b"), "b")
+    return keep(met.where(F.size(F.array_intersect("sign_a", "sign_b")) >= matches).select("a", "b"), f"{name}-near")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -140,6 +140,110 @@ def _mixed(prefix: DataFrame, found: DataFrame | None, name: str) -> DataFrame:
     return keep(prefix.join(mixed, "posting", "left_semi"), f"{name}-mixed")
 
 
+def _tree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a graph of pairs: each member, and the smallest member that it is connected with."""
+    members, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(members))
+    while True:
+        least = root.copy()
+        np.minimum.at(least, x, root[y])
+        np.minimum.at(least, y, root[x])
+        np.minimum.at(least, root, least)
+        least = least[least]
+        if (least == root).all():
+            return members, members[root]
+        root = least
+
+
+def _retained(a: np.ndarray, b: np.ndarray, rows: dict[str, np.ndarray], matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of left rows ``a`` and right rows ``b`` that this posting owns and whose signatures collide often enough."""
+    node, home, main, sign, prefix = (rows[x] for x in ("node", "home", "main", "sign", "prefix"))
+    own = rows["coordinate"][a[0]]
+    out = []
+    step = max(1, PAIRS // len(b))
+    for i in range(0, len(a), step):
+        x, y = np.repeat(a[i : i + step], len(b)), np.tile(b, len(a[i : i + step]))
+        # in one component already, or met from the other side
+        new = (home[x] != home[y]) & ((home[y] == main[y]) | (node[x] < node[y]))
+        x, y = x[new], y[new]
+        # skipped where a lower coordinate of both prefixes has the pair
+        below = prefix[x] & prefix[y] & np.uint64((1 << int(own)) - 1)
+        for c in np.flatnonzero([(int(np.bitwise_or.reduce(below)) >> c) & 1 for c in range(int(own))]) if len(below) else []:
+            meets = ((below >> np.uint64(c)) & np.uint64(1)).astype(bool) & (sign[x, c] == sign[y, c])
+            x, y, below = x[~meets], y[~meets], below[~meets]
+        enough = np.count_nonzero(sign[x] == sign[y], axis=1) >= matches if len(x) else np.zeros(0, bool)
+        out.append((node[x[enough]], node[y[enough]]))
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def _count(table: pa.Table, matches: int, sparse: int) -> pa.Table:
+    """Retained pairs (a, b) of the postings in ``table``, or, of dense postings, a tree of them."""
+    table = table.combine_chunks()
+    rows = {c: table.column(c).to_numpy() for c in ("posting", "node", "home", "main", "is_left", "whole", "coordinate")}
+    rows["prefix"] = table.column("prefix").to_numpy().view(np.uint64)
+    rows["sign"] = table.column("sign").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+    order = np.argsort(rows["posting"], kind="stable")
+    parts: list[tuple] = []
+    for own in np.split(order, np.flatnonzero(np.diff(rows["posting"][order])) + 1):
+        left = rows["is_left"][own]
+        a, b = own[left], own if rows["whole"][own[0]] else own[~left]
+        if not len(a) or not len(b):
+            continue
+        x, y = _retained(a, b, rows, matches)
+        dense = len(x) > sparse * (len(a) + len(b))
+        if dense:
+            x, y = _tree(x, y)
+            x, y = x[x != y], y[x != y]
+        parts.append((np.minimum(x, y), np.maximum(x, y), np.full(len(x), dense)))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dense", pa.bool_())])
+    return pa.table([np.concatenate(c) for c in zip(*parts, strict=True)], schema=schema) if parts else schema.empty_table()
+
+
+def _sides(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Adds to rows (key, node, home) what their key's members are dealt by: main (its largest home), n, n_left (blocks of
+    members outside it) and n_right (blocks of all)."""
+    counts = rows.groupBy(key, "home").agg(F.count("*").alias("held")).groupBy(key).agg(F.max_by("home", F.struct("held", "home")).alias("main"), F.sum("held").alias("n"), F.max("held").alias("n_main"))
+    blocks = lambda n: F.ceil(n / size).cast("int")
+    return rows.join(counts, key).withColumns({"n_right": blocks(F.col("n")), "n_left": blocks(F.col("n") - F.col("n_main"))})
+
+
+def _dealt(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """Left and right copies of rows, for blocks (i, j): each member outside the main home meets all members once."""
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("home <> main").select(*fields, F.lit(True).alias("is_left"), at("n_left").alias("i"), every("n_right").alias("j"))
+    right = rows.where("n_left > 0").select(*fields, F.lit(False).alias("is_left"), every("n_left").alias("i"), at("n_right").alias("j"))
+    return left.unionByName(right)
+
+
+def _counted(mixed: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
+    """Candidates among nodes of different homes that share a prefix posting: a, b, dense."""
+    members = mixed.groupBy("node").agg(F.min("home").alias("home"), F.collect_list("posting").alias("postings"))
+    place = "cast(array_position(sign, x) - 1 as int)"
+    members = members.join(nodes.select("node", "sign"), "node").selectExpr(
+        "node",
+        "home",
+        # enough to count collisions by; the posting keys have all bits
+        "transform(sign, x -> cast(shiftright(x, 32) as int)) AS sign",
+        f"aggregate(postings, 0L, (m, x) -> m | shiftleft(1L, {place})) AS prefix",
+        f"explode(transform(postings, x -> struct(x AS posting, {place} AS coordinate))) AS p",
+    )
+    rows = _sides(members.select("p.posting", "p.coordinate", "node", "home", "sign", "prefix"), "posting", SIGNS)
+    rows = keep(rows.where("n_left > 0"), "near-members")
+    fields = ["posting", "coordinate", "node", "home", "main", "sign", "prefix"]
+    buckets = rows.count() // BATCH + 1
+    small_ones = rows.where("n_right = 1").select(*fields, (F.col("home") != F.col("main")).alias("is_left"), F.lit(True).alias("whole"), F.pmod(F.xxhash64("posting"), F.lit(buckets)).alias("bucket"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    large = _dealt(rows.where("n_right > 1"), fields).withColumns({"whole": F.lit(False), "bucket": F.col("posting")})
+
+    sparse = SPARSE
+
+    def count(table: pa.Table) -> pa.Table:
+        return _count(table, matches, sparse)
+
+    return small_ones.unionByName(large).groupBy("bucket", "i", "j").applyInArrow(count, "a long, b long, dense boolean")
+
+
 def _block(table: pa.Table, percent: int) -> pa.Table:
     """Links between the left and the right nodes of a block: intersections by a product of incidence matrices."""
     table = table.combine_chunks()
@@ -171,30 +275,30 @@ def _block(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _linked_in_blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different homes among nodes that share a posting.
+def _linked_in_blocks(trees: DataFrame, homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different homes inside each dense group: what ``trees`` (a, b) connect.
 
-    Nodes that meet, over any chain of postings, are one group, so each pair is looked at in one place. Of a group the
-    nodes outside its largest home stand against all; large groups are cut into blocks on both sides, so a task never
-    holds more than two blocks, and only links leave it.
+    Of a group the nodes outside its largest home stand against all; large groups are cut into blocks on both sides, so a
+    task never holds more than two blocks, and only links leave it.
     """
-    least = mixed.groupBy("posting").agg(F.min("node").alias("least"))
-    groups = components(mixed.join(least, "posting").select("node", "least"), "node", "least")
-    homes = mixed.select("node", "home").distinct()
-    rows = keep(homes.join(groups, homes.node == groups.member).select(F.col("component").alias("group"), "node", "home"), "near-groups")
-    counts = rows.groupBy("group", "home").count().groupBy("group").agg(F.max_by("home", F.struct("count", "home")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("n_main"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    rows = rows.join(counts, "group").join(sets, "node").withColumns({"n_right": blocks(F.col("n")), "n_left": blocks(F.col("n") - F.col("n_main"))})
-    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    fields = ["group", "node", "home", "main", "shingles"]
-    left = rows.where("home <> main").select(*fields, F.lit(True).alias("is_left"), at("n_left").alias("i"), every("n_right").alias("j"))
-    right = rows.where("n_left > 0").select(*fields, F.lit(False).alias("is_left"), every("n_left").alias("i"), at("n_right").alias("j"))
+    groups = components(trees, "a", "b").withColumnRenamed("component", "group")
+    rows = keep(homes.join(groups, homes.node == groups.member).select("group", "node", "home"), "near-groups")
+    rows = _sides(rows, "group", BLOCK).join(sets, "node")
 
     def block(table: pa.Table) -> pa.Table:
         return _block(table, percent)
 
-    return left.unionByName(right).groupBy("group", "i", "j").applyInArrow(block, "a long, b long")
+    return _dealt(rows, ["group", "node", "home", "main", "shingles"]).groupBy("group", "i", "j").applyInArrow(block, "a long, b long")
+
+
+def _nodes(signed: DataFrame) -> DataFrame:
+    """One row for each set: mark, node (its smallest doc_id), doc (a row to read it from), sign, n; ids of further texts
+    of a document lie above all doc_ids."""
+    nodes = keep(signed.groupBy("mark").agg(F.min("doc_id").alias("node"), F.min("sign").alias("sign"), F.min("n_shingles").alias("n")).withColumn("doc", F.col("node")), "near-nodes")
+    if nodes.groupBy("node").agg(F.count("*").alias("texts")).where("texts > 1").isEmpty():
+        return nodes
+    again = F.row_number().over(Window.partitionBy("doc").orderBy("mark")) > 1
+    return keep(nodes.withColumn("node", F.when(again, F.lit(ABOVE) + F.xxhash64("mark").bitwiseAND(F.lit(ABOVE - 1))).otherwise(F.col("node"))), "near-nodes-apart")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 64, matches: int = 32, seed: int = 1) -> DataFrame:
@@ -203,14 +307,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
 
     size: words in a shingle. percent: least 100 * intersection / union. coordinates, matches: see the module.
     """
-    signed = keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_sign, size=size, coordinates=coordinates, seed=seed), "doc_id long, n_shingles long, mark binary, sign binary"), "near-signed")
+    if not 0 < matches <= coordinates <= 64:
+        raise ValueError("at most 64 coordinates, and no more matches than these")
+    signed = keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_sign, size=size, coordinates=coordinates, seed=seed), "doc_id long, n_shingles long, mark binary, sign array<long>"), "near-signed")
     known = signed.where("doc_id is not null and mark is not null")
-    nodes = keep(known.groupBy("mark").agg(F.min("doc_id").alias("node"), F.min("sign").alias("sign"), F.min("n_shingles").alias("n")), "near-nodes")
+    nodes = _nodes(known)
 
-    posted = nodes.mapInArrow(_explode, "posting long, node long")
+    posted = nodes.select(F.explode("sign").alias("posting"), "node")
     shared = posted.groupBy("posting").agg(F.count("*").alias("held")).where("held > 1")
-    ranked = posted.join(shared, "posting").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("held", "posting"))).withColumn("has", F.count("*").over(Window.partitionBy("node")))
-    prefix = keep(ranked.where(f"has >= {matches} and at <= {coordinates - matches + 1} - ({coordinates} - has)").select("posting", "node", "has"), "near-prefix")
+    ranked = posted.join(shared, "posting").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "posting"))).alias("postings"), F.count("*").alias("has"))
+    # of the coordinates - matches + 1 rarest postings, those that are held by one set are not stored
+    prefix = ranked.where(F.col("has") >= matches).select("node", "has", F.explode(F.slice("postings", F.lit(1), F.col("has").cast("int") - (matches - 1))).alias("p"))
+    prefix = keep(prefix.select("p.posting", "node", "has"), "near-prefix")
 
     # each node with a centre: of its postings' members with the most shared coordinates, the one that it meets most often
     centres = prefix.groupBy("posting").agg(F.max_by("node", F.struct("has", -F.col("node"))).alias("a"), F.count("*").alias("members")).where("members > 1").select("posting", "a")
@@ -223,23 +331,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     mixed = _mixed(prefix, components(links, "a", "b"), "near")
     sets = _full_sets(docs, nodes, mixed, size, "near-mixed")
     # shingles that no other of these nodes has cannot be shared
-    alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("held"), F.min("node").alias("node")).where("held = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    bound = keep(sets.select("node", F.size("shingles").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).where(f"100 * most >= {percent} * n"), "near-bound")
+    alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last").groupBy("node").agg(F.count("*").alias("alone"))
+    bound = keep(sets.select("node", F.size("shingles").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).where(f"100 * most >= {percent} * n").select("node").distinct(), "near-bound")
     mixed = _mixed(mixed.join(bound, "node").select("posting", "node", "home"), None, "near-bounded")
-    more = keep(_linked_in_blocks(mixed, sets, percent), "near-more")
+    candidates = keep(_counted(mixed, nodes, matches), "near-candidates")
+    more = _confirmed(candidates.where("not dense").select("a", "b"), sets, percent)
+    trees = candidates.where("dense").select("a", "b")
+    if not trees.isEmpty():
+        more = more.unionByName(_linked_in_blocks(trees, mixed.select("node", "home").distinct(), sets, percent))
+    more = keep(more, "near-more")
 
     links = links.unionByName(more).distinct()
-    found = components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    # texts of one document are one
+    found = components(links.unionByName(nodes.where("node <> doc").select(F.col("doc").alias("a"), F.col("node").alias("b"))), "a", "b")
     classes = nodes.select("mark", "node").join(found, F.col("node") == F.col("member"), "left").join(degree, "node", "left").select("mark", F.coalesce("component", "node").alias("component"), "links")
-    placed = signed.join(classes, "mark", "left")
+    placed = signed.drop("sign").join(classes, "mark", "left")
     least = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return placed.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, one document for each component, with all their columns."""
+    (gone_id,) = unused(docs, "gone_id")
     with scope(docs.sparkSession):
-        gone = keep(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct(), "near-gone", outside=True)
-    side = gone.select(F.col("doc_id").alias("gone_id"))
-    return docs.join(F.broadcast(side) if small(gone) else side, docs.doc_id.cast("long") == F.col("gone_id"), "left_anti")
+        gone = keep(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct(), "near-gone", outside=True)
+    return docs.join(F.broadcast(gone) if small(gone) else gone, F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")

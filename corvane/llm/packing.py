@@ -17,8 +17,9 @@ again.
 
 Nulls and edge cases: null text is empty; an empty text is its end id alone. Texts over the window size are cut; a text
 is held whole with its ids. Rows that share or lack a doc_id are packed each. Rows that tie in the given columns are
-ordered by doc_id. An empty table gives no window. Other columns are ignored. A table from files whose rows were shuffled
-since they were read has no stored order: it raises unless columns are given.
+ordered by doc_id. An empty table gives no window. Other columns are ignored. Rows that were shuffled since they were read
+are packed in the order in which they lie in their partitions; where that mixes files in one task, it raises unless columns
+are given.
 """
 
 from __future__ import annotations
