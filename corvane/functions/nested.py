@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
+from itertools import accumulate
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .text import lenient_json
+
 # Keys whose text stands for a whole record, in this order.
 TEXT_KEYS = ("title", "text", "content", "contents", "abstract", "body", "answer", "evidence", "snippet", "summary", "description", "judgment", "judgement", "fact", "facts")
 
@@ -39,24 +44,27 @@ def textify(values: pd.Series) -> pd.Series:
 
 
 def last_balanced(raw: str | None) -> str | None:
-    """The last top-level ``{...}`` that is a JSON object."""
-    found, end = None, len(raw or "")
-    while found is None and (end := (raw or "").rfind("}", 0, end)) >= 0:
-        start = end
-        while found is None and (start := raw.rfind("{", 0, start)) >= 0:
-            try:
-                if isinstance(json.loads(raw[start : end + 1]), dict):
-                    found = raw[start : end + 1]
-            except ValueError:
-                continue
-    return found
+    """From the last ``}`` back to the ``{`` that closes the count of braces; none if the count never closes."""
+    braces = [(m.start(), 1 if m.group() == "{" else -1) for m in re.finditer(r"[{}]", raw or "")]
+    while braces and braces[-1][1] > 0:
+        braces.pop()
+    depth = accumulate(d for _, d in reversed(braces))
+    start = next((place for (place, _), d in zip(reversed(braces), depth, strict=True) if d == 0), None)
+    return None if start is None else raw[start : braces[-1][0] + 1]
 
 
 @F.pandas_udf(StringType())
-def last_object(values: pd.Series) -> pd.Series:
+def balanced(values: pd.Series) -> pd.Series:
     return values.map(last_balanced)
 
 
+def last_object(raw: Column) -> Column:
+    """The last balanced ``{...}``, if it can be read as an object: with single quotes, bare keys, comments and trailing
+    commas too. Nothing before it is tried."""
+    found = balanced(raw)
+    return F.when(lenient_json(found, "map<string, string>").isNotNull(), found)
+
+
 @F.pandas_udf(StringType())
 def repair(values: pd.Series) -> pd.Series:
     """Lone surrogates, as escapes in JSON may leave them, become U+FFFD."""

@@ -68,7 +68,7 @@ def by_data_set(df: DataFrame, dataset: str, same: str) -> DataFrame:
 
 def submissions(df: DataFrame, annotator: str, item: str, score: str, annotators: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """A wide table, one column a rater, and violations: items that a rater missed or scored twice."""
-    wide = df.groupBy(item).pivot(annotator, list(annotators)).agg(F.first(score))
+    wide = df.groupBy(item).pivot(annotator, list(annotators)).agg(F.min(score))
     bad = [wide.where(F.col(a).isNull()).select(item, F.lit(f"{a} missing").alias("violation")) for a in annotators]
     twice = df.groupBy(item, annotator).count().where("count > 1").select(item, F.concat(F.col(annotator), F.lit(" repeated")).alias("violation"))
     for b in bad:

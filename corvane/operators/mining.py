@@ -22,7 +22,7 @@ def resolve_origins(candidates: DataFrame, siblings: DataFrame, cache: DataFrame
     stands before any other score. ``found`` is own, sibling, cache, item or none."""
     own = candidates.where("is_original").groupBy("query_id").agg(F.min_by(F.struct("doc_id", "doc", "score"), "rank").alias("own"))
     other = siblings.where("is_original").groupBy("source_id").agg(F.min_by(F.struct("doc_id", "doc"), F.struct("query_id", "rank")).alias("other"))
-    cached = cache.groupBy("source_id").agg(F.first("doc").alias("cached"))
+    cached = cache.groupBy("source_id").agg(F.min("doc").alias("cached"))
     rows = items.join(own, "query_id", "left").join(other, "source_id", "left").join(cached, "source_id", "left")
     found = F.when(F.col("own").isNotNull(), "own").when(F.col("other").isNotNull(), "sibling").when(F.col("cached").isNotNull(), "cache").when(F.trim(F.coalesce("doc", F.lit(""))) != "", "item").otherwise("none")
     text = F.coalesce("own.doc", "other.doc", "cached", F.nullif(F.trim("doc"), F.lit("")))

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.labels import verdict
-from ..session import ensure_checkpoints
+from ..session import stored
 
 # -- filters
 
@@ -62,16 +62,31 @@ def distinct_queries(df: DataFrame, keys: Sequence[str], column: str, position:
     return first_per(rows, [*keys, "query"], [position])
 
 
+#: Rows that are summed in one task.
+PART = 100_000
+
+
+def running(df: DataFrame, place: str, sums: Mapping[str, Column]) -> DataFrame:
+    """Adds sums over all rows before each, in the order of ``place`` (1, 2, ... as ``numbered`` gives it): inside parts of
+    rows, and over the parts before."""
+    rows = df.withColumns({"_part": F.floor((F.col(place) - 1) / PART), **{f"_x_{c}": x for c, x in sums.items()}})
+    earlier = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy("_part").agg(*(F.sum(f"_x_{c}").alias(f"_s_{c}") for c in sums))
+    begun = parts.select("_part", *(earlier(Window.orderBy("_part"), f"_s_{c}").alias(f"_b_{c}") for c in sums))
+    inside = Window.partitionBy("_part").orderBy(place)
+    rows = rows.join(begun, "_part").withColumns({c: F.col(f"_b_{c}") + earlier(inside, f"_x_{c}") for c in sums})
+    return rows.drop("_part", *(f"{k}_{c}" for c in sums for k in ("_x", "_s", "_b")))
+
+
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str, partition: Sequence[str] = ()) -> DataFrame:
     """Adds 1, 2, ... in the given order.
 
-    Over the whole table no task sees all rows: the table is sorted across partitions and checkpointed once, and a row's
+    Over the whole table no task sees all rows: the table is sorted across partitions and stored once, and a row's
     number is its place in its partition plus the rows of earlier partitions, a table with one row a partition.
     """
     if partition:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).cast("long"))
-    ensure_checkpoints(df.sparkSession)
-    rows = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    rows = stored(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
     rows = rows.withColumn("_part", F.shiftright("_id", 33))
     counts = rows.groupBy("_part").agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -23,9 +23,18 @@ def uniform(seed: int | str, *keys: str | Column) -> Column:
     return F.conv(F.substring(digest(seed, *keys), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+#: Rows up to which a task may hold the first of a table in a heap.
+HEAP = 10_000
+
+
+def _first(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
+    """The first n rows: by a heap in each task if they are few, else by a distributed sort and their numbers."""
+    return df.orderBy(*order).limit(n) if n <= HEAP else numbered(df, order, "_n").where(F.col("_n") <= n).drop("_n")
+
+
 def sample(df: DataFrame, n: int | None, seed: int | str, key: str) -> DataFrame:
     """n rows; all of them without n, or if there are no more."""
-    return df if n is None else df.orderBy(digest(seed, key), key).limit(n)
+    return df if n is None else _first(df, [digest(seed, key), key], n)
 
 
 def closed_range(df: DataFrame, order: Sequence[str], spec: str | None) -> DataFrame:
@@ -58,7 +67,7 @@ def nested(df: DataFrame, sizes: Sequence[int], seed: int | str, key: str) -> Da
 
 def half(df: DataFrame, seed: int | str, key: str) -> DataFrame:
     """Half of the rows, rounded down; sort by position to restore the order."""
-    return df.orderBy(digest(seed, key), key).limit(df.count() // 2)
+    return _first(df, [digest(seed, key), key], df.count() // 2)
 
 
 def weighted_mixture(df: DataFrame, slot: str, weights: Mapping[int, int], seed: int | str, key: str, cap: int | None = None) -> DataFrame:
@@ -90,7 +99,7 @@ def annotator_order(df: DataFrame, annotator: str, dataset: str, key: str) -> Da
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+    return _first(df, order, n)
 
 
 def capped(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

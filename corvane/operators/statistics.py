@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import blank, safe_size
+from .relational import numbered, running
 
 
 def query_count(batch: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def type_means(df: DataFrame, kind: str, score: str) -> DataFrame:
 
 
 def pivoted(df: DataFrame, row: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:
-    return df.groupBy(row).pivot(column, list(columns)).agg(F.first(value))
+    return df.groupBy(row).pivot(column, list(columns)).agg(F.min(value))
 
 
 def even_share(df: DataFrame, model: str, benchmark: str, task: str, score: str, tasks: int) -> DataFrame:
@@ -136,7 +137,7 @@ def even_share(df: DataFrame, model: str, benchmark: str, task: str, score: str,
     name order)."""
     by = df.groupBy(model, benchmark).agg(F.when(F.count_distinct(task) == tasks, F.round(100 * F.avg(score), 2)).alias("mean"))
     names = [r[0] for r in by.select(benchmark).distinct().orderBy(benchmark).limit(2).collect()]
-    wide = by.groupBy(model).pivot(benchmark, names).agg(F.first("mean"))
+    wide = by.groupBy(model).pivot(benchmark, names).agg(F.min("mean"))
     return wide.withColumn("delta", F.round(F.col(f"`{names[1]}`") - F.col(f"`{names[0]}`"), 2))
 
 
@@ -145,8 +146,9 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     def ranks(c: str, name: str) -> DataFrame:
         counts = df.groupBy(c).agg(F.count("*").alias("_c"))
-        before = F.coalesce(F.sum("_c").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(c, (before + (F.col("_c") + 1) / 2).alias(name))
+        # distinct values may be as many as rows, so no task sees them all
+        rows = running(numbered(counts, [c], "_n"), "_n", {"_before": F.col("_c")})
+        return rows.select(c, (F.col("_before") + (F.col("_c") + 1) / 2).alias(name))
 
     return df.join(ranks(a, "_ra"), a).join(ranks(b, "_rb"), b).agg(F.round(F.corr("_ra", "_rb"), 6).alias("rho"))
 

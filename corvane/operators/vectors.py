@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import ensure_checkpoints
+from ..session import stored
 
 #: Bytes of query vectors that one pass sends to every worker; more queries take more passes.
 PASS_BYTES = 64 << 20
@@ -97,30 +97,88 @@ def origin_scores(queries: DataFrame, corpus: DataFrame, origins: DataFrame) ->
     return rows.select("query_id", "doc_id", dot(F.col("_q"), F.col("embedding")).alias("pos_score"))
 
 
-def _pairs_over(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows are pairs of blocks (ids and vectors of both)."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            ids_a, ids_b = (np.array(batch.column(c)[i].as_py(), np.int64) for c in ("ids_a", "ids_b"))
-            a, b = (np.frombuffer(batch.column(c)[i].as_py(), np.float64).reshape(len(ids), -1) for c, ids in (("m_a", ids_a), ("m_b", ids_b)))
-            score = a @ b.T
-            x, y = np.nonzero((score > threshold) & (ids_a[:, None] < ids_b[None]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids_a[x]), pa.array(ids_b[y]), pa.array(score[x, y])], ["a", "b", "score"])
+#: Cells of a similarity join, rows that a cell stands for at least, and rows on each side of a block.
+CELLS, CELL_ROWS, BLOCK_ROWS = 1024, 2048, 4096
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([_matrix(batch.column("embedding")).tobytes()], pa.binary())], ["ids", "m"])
+def _gaps(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distances of rows from centres."""
+    return np.sqrt(np.maximum((m**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * m @ centres.T, 0.0))
 
 
-def neighbours(corpus: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b with inner product over the threshold, exactly, as a join of blocks of rows. It costs the square of
-    the corpus; narrow it with ``cells`` where an approximate answer will do."""
-    blocks = corpus.select(F.col("doc_id").cast("long"), "embedding").mapInArrow(_blocks, "ids array<long>, m binary")
-    right = blocks.select(F.col("ids").alias("ids_b"), F.col("m").alias("m_b"))
-    pairs = blocks.select(F.col("ids").alias("ids_a"), F.col("m").alias("m_a")).join(right, F.array_min("ids_a") < F.array_max("ids_b"))
-    return pairs.mapInArrow(partial(_pairs_over, threshold=threshold), "a long, b long, score double")
+def _extents(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """Per batch and cell: rows, the largest distance from the centre, and the largest length."""
+    for batch in batches:
+        if batch.num_rows:
+            m = _matrix(batch.column("embedding"))
+            gap = _gaps(m, sent.value)
+            home = gap.argmin(1)
+            cells = np.unique(home)
+            far = [gap[home == c, c].max() for c in cells]
+            length = [np.sqrt((m[home == c] ** 2).sum(1).max()) for c in cells]
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array([int((home == c).sum()) for c in cells]), pa.array(far, pa.float64()), pa.array(length, pa.float64())], ["cell", "rows", "radius", "length"])
+
+
+def _deal(batches: Iterator[pa.RecordBatch], sent, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Each row to its own cell, and to each other cell in which a partner may be."""
+    centres, radius, length = sent.value
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        m = _matrix(batch.column("embedding"))
+        gap = _gaps(m, centres)
+        home = gap.argmin(1)
+        # x.y > t means |x - y|^2 < |x|^2 + |y|^2 - 2t, and |x - y| is at least the gap to y's centre less y's
+        reach = (m**2).sum(1)[:, None] + (length**2)[None] - 2 * threshold + 1e-9
+        near = (reach > 0) & (gap <= radius[None] + np.sqrt(np.maximum(reach, 0)) + 1e-9) & (radius >= 0)[None]
+        near[np.arange(len(m)), home] = True
+        row, cell = np.nonzero(near)
+        data = batch.select(["doc_id", "embedding"]).take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(home[row] == cell), *data.columns], ["cell", "own", "doc_id", "embedding"])
+
+
+def _over(table: pa.Table, threshold: float) -> pa.Table:
+    """Pairs of own rows with rows of greater ids: each pair is found in the cell of its smaller id alone."""
+    ids, own = table.column("doc_id").to_numpy(), table.column("is_left").to_numpy()
+    m = _matrix(table.column("embedding").combine_chunks())
+    a, b = np.flatnonzero(own), np.flatnonzero(~own)
+    score = m[a] @ m[b].T
+    x, y = np.nonzero((score > threshold) & (ids[a][:, None] < ids[b][None]))
+    return pa.table({"a": ids[a[x]], "b": ids[b[y]], "score": score[x, y]}, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())]))
+
+
+def neighbours(corpus: DataFrame, threshold: float, cells: int | None = None) -> DataFrame:
+    """Pairs a < b with inner product over the threshold, exactly.
+
+    Rows fall to the nearest of some centres. A row is sent, besides its own cell, only to cells that the triangle
+    inequality leaves open: those whose radius and the threshold reach it. Cells are compared in blocks of bounded size.
+    How much that spares depends on how the vectors lie; the worst case is the square of the corpus.
+    """
+    spark = corpus.sparkSession
+    rows = corpus.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where("doc_id is not null and embedding is not null")
+    n = cells or min(CELLS, -(-rows.count() // CELL_ROWS))
+    picked = rows.orderBy(priority(42), "doc_id").limit(max(1, n)).select("embedding").toArrow().combine_chunks()
+    if not picked.num_rows:
+        return spark.createDataFrame([], "a long, b long, score double")
+    centres = np.unique(_matrix(picked.column("embedding").combine_chunks()), axis=0)
+    found = rows.mapInArrow(partial(_extents, sent=spark.sparkContext.broadcast(centres)), "cell long, rows long, radius double, length double")
+    radius, length = np.full(len(centres), -1.0), np.zeros(len(centres))
+    for r in found.groupBy("cell").agg(F.max("radius").alias("radius"), F.max("length").alias("length")).collect():  # one row a cell
+        radius[r.cell], length[r.cell] = r.radius, r.length
+    sent = spark.sparkContext.broadcast((centres, radius, length))
+    dealt = stored(rows.mapInArrow(partial(_deal, sent=sent, threshold=threshold), "cell long, own boolean, doc_id long, embedding array<double>"), "neighbours")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_ROWS)).cast("int")
+    sizes = dealt.groupBy("cell").agg(blocks(F.count_if("own")).alias("n_left"), blocks(F.count("*")).alias("n_right"))
+    placed = dealt.join(F.broadcast(sizes), "cell")
+    at = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = placed.where("own").select("cell", "doc_id", "embedding", F.lit(True).alias("is_left"), at("n_left").alias("i"), every("n_right").alias("j"))
+    right = placed.select("cell", "doc_id", "embedding", F.lit(False).alias("is_left"), every("n_left").alias("i"), at("n_right").alias("j"))
+
+    def over(table: pa.Table) -> pa.Table:
+        return _over(table, threshold)
+
+    return left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(over, "a long, b long, score double")
 
 
 def priority(seed: int, key: str = "doc_id") -> Column:
@@ -132,26 +190,25 @@ def diverse(corpus: DataFrame, threshold: float, seed: int = 42, target: int | N
 
     The greedy set is the lexicographically first maximal independent set, so it is found in parallel rounds: an undecided
     row that precedes all its undecided neighbours is picked, and its neighbours go. Later picks never change earlier
-    ones, so ``target`` is a prefix. Rounds are checkpointed; too many raise.
+    ones, so ``target`` is a prefix. Rounds are stored; too many raise.
     """
-    ensure_checkpoints(corpus.sparkSession)
-    nodes = corpus.select(F.col("doc_id").cast("long")).distinct().withColumn("p", priority(seed)).checkpoint()
+    nodes = stored(corpus.select(F.col("doc_id").cast("long")).distinct().withColumn("p", priority(seed)), "diverse-nodes")
     near = neighbours(corpus, threshold).select("a", "b")
     p = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("p").alias(f"p_{x}"))
     # from the earlier row to the later one
     edges = near.join(p("a"), "a").join(p("b"), "b")
     first = F.struct("p_a", "a") < F.struct("p_b", "b")
-    edges = edges.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v")).distinct().checkpoint()
+    edges = stored(edges.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v")).distinct(), "diverse-edges")
     undecided, picked = nodes, nodes.limit(0)
     for _ in range(rounds):
-        ready = undecided.join(edges.select(F.col("v").alias("doc_id")), "doc_id", "left_anti").checkpoint()
+        ready = stored(undecided.join(edges.select(F.col("v").alias("doc_id")), "doc_id", "left_anti"), "diverse-ready")
         picked = picked.unionByName(ready)
         gone = edges.join(ready.select(F.col("doc_id").alias("u")), "u", "left_semi").select(F.col("v").alias("doc_id")).distinct()
-        undecided = undecided.join(ready, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").checkpoint()
+        undecided = stored(undecided.join(ready, "doc_id", "left_anti").join(gone, "doc_id", "left_anti"), "diverse-undecided")
         if undecided.isEmpty():
             break
         alive = lambda x: undecided.select(F.col("doc_id").alias(x))  # noqa: B023, E731
-        edges = edges.join(alive("u"), "u", "left_semi").join(alive("v"), "v", "left_semi").checkpoint()
+        edges = stored(edges.join(alive("u"), "u", "left_semi").join(alive("v"), "v", "left_semi"), "diverse-edges")
     else:
         raise RuntimeError(f"the selection did not settle in {rounds} rounds")
     picked = picked.select("doc_id", F.col("p").alias("priority"))

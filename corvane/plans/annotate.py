@@ -1,6 +1,6 @@
 """Model-judged stages: prompts go out in chunks, answers come back as JSON and are parsed, checked and joined as columns.
 
-A judged table is written once by the caller; running a stage again repeats its calls.
+Answers are stored where more than one result depends on them, so that a prompt is sent once.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import plans
 from ..functions.labels import EASY, HARD, POSITIVE, normal_label, verdict
 from ..functions.text import blank, cache_key, lenient_json
-from ..operators.relational import chunked, numbered
+from ..operators.relational import chunked, first_per, numbered
+from ..session import stored
 from .models import Completer, ask
 
 Client = Callable[[], Completer]
@@ -39,7 +40,7 @@ def judge_batches(df: DataFrame, key: str, shown: Column, task: str, size: int,
 
 def filter_documents(df: DataFrame, task: str, size: int, client: Client) -> tuple[DataFrame, DataFrame]:
     """Documents that pass, and all with score and verdict; without a score a document fails only if the call failed."""
-    judged = df.join(judge_batches(df, "doc_id", F.col("doc"), task, size, client), "doc_id", "left").withColumn("verdict", verdict(F.col("score")))
+    judged = df.join(stored(judge_batches(df, "doc_id", F.col("doc"), task, size, client), "judged-documents"), "doc_id", "left").withColumn("verdict", verdict(F.col("score")))
     return judged.where("verdict = 'pass'").drop("score", "verdict"), judged
 
 
@@ -47,7 +48,7 @@ def filter_queries(df: DataFrame, task: str, size: int, client: Client) -> tuple
     """Queries (doc_id, query_pos, query) that pass; documents that lose all of theirs are gone with them. A query without a
     readable score fails."""
     rows = df.withColumn("_key", F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lpad(F.col("query_pos").cast("string"), 6, "0")))
-    scores = judge_batches(rows, "_key", F.col("query"), task, size, client)
+    scores = stored(judge_batches(rows, "_key", F.col("query"), task, size, client), "judged-queries")
     judged = rows.join(scores, "_key", "left").withColumn("verdict", verdict(F.coalesce("score", F.lit(0)))).drop("_key")
     return judged.where("verdict = 'pass'").drop("score", "verdict"), judged
 
@@ -70,16 +71,17 @@ def generate_queries(df: DataFrame, task: str, most: int, client: Client, rounds
     listed = planned.withColumn("_plans", lenient_json(F.col("_answer"), "array<struct<used_identifier: array<string>, used_attributes: map<string, string>>>"))
     rows = listed.select("doc_id", "doc", "attributes", known_ids.alias("_known"), F.posexplode("_plans").alias("_i", "p")).select("doc_id", "doc", "attributes", "_known", "_i", "p.*")
     rows = rows.where(plans.valid_plan(F.col("used_identifier"), F.col("used_attributes"), F.col("_known"), F.col("attributes")))
-    rows = rows.withColumn("plan_key", plans.plan_key(F.col("used_identifier"), F.col("used_attributes"))).dropDuplicates(["doc_id", "plan_key"])
+    rows = first_per(rows.withColumn("plan_key", plans.plan_key(F.col("used_identifier"), F.col("used_attributes"))), ["doc_id", "plan_key"], ["_i"])
     open_rows, out = rows, None
     for r in range(rounds):
         asked = ask(open_rows.withColumn("_prompt", F.concat(F.lit(f"write {r}: {task}\n"), "plan_key", F.lit("\n"), "doc")), "_prompt", "_answer", client)
-        asked = asked.withColumn("query", F.trim(lenient_json(F.col("_answer"), "query string").query))
+        # both what is fine and what is asked again come from these answers
+        asked = stored(asked.withColumn("query", F.trim(lenient_json(F.col("_answer"), "query string").query)).drop("_prompt", "_answer"), "queries")
         fine = plans.valid_query(F.col("query"), F.col("used_attributes"), F.col("attributes"))
         got = asked.where(fine).select("doc_id", "_i", "query", "used_identifier", "used_attributes")
         out = got if out is None else out.unionByName(got)
         if r + 1 < rounds:
-            open_rows = asked.where(~fine).drop("_prompt", "_answer", "query")
+            open_rows = asked.where(~fine).drop("query")
     ranked = numbered(out, ["_i"], "query_pos", ["doc_id"]).where(F.col("query_pos") <= most)
     return ranked.select("doc_id", (F.col("query_pos") - 1).cast("int").alias("query_pos"), "query", "used_identifier", "used_attributes")
 

@@ -52,9 +52,10 @@ class HashEmbedder:
         return out / np.where(norm > 0, norm, 1)
 
 
-def ask(df: DataFrame, prompt: str, answer: str, completer: Callable[[], Completer], threads: int = 8, attempts: int = 2) -> DataFrame:
+def ask(df: DataFrame, prompt: str, answer: str, completer: Callable[[], Completer], threads: int = 8, attempts: int = 2, give_up: int = 50) -> DataFrame:
     """Adds the answer to each row's prompt; calls of a batch overlap, rows keep their place, a call that fails after all
-    attempts gives null. completer: makes a client, once a worker."""
+    attempts gives null. ``give_up`` such rows in succession end the job: the service is down, and the rows are worth more
+    than nulls. completer: makes a client, once a worker."""
     schema = df.withColumn(answer, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,9 +69,17 @@ def ask(df: DataFrame, prompt: str, answer: str, completer: Callable[[], Complet
                     continue
             return None
 
+        failed = 0
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
-                yield batch.assign(**{answer: list(pool.map(one, batch[prompt]))})
+                got = []
+                for i in range(0, len(batch), give_up):
+                    for a in pool.map(one, batch[prompt].iloc[i : i + give_up]):
+                        failed = 0 if a is not None else failed + 1
+                        got.append(a)
+                    if failed >= give_up:
+                        raise RuntimeError(f"{failed} calls in succession failed")
+                yield batch.assign(**{answer: got})
 
     return df.mapInPandas(run, schema)
 

@@ -51,14 +51,14 @@ def d13_queries(spark, d):
 
 
 def _papers(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 5 = 0")
+    docs = table(spark, d, "documents")
     sentences = F.split("text", "\n")
     kind = F.transform(sentences, lambda s, i: F.element_at(F.array(F.lit("abstract"), F.lit("normal paragraph"), F.lit("title")), ((F.col("n_chars") + i) % 3 + 1).cast("int")))
-    papers = docs.select(F.col("doc_id").alias("position"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("paper_id"), sentences.alias("sentences"), kind.alias("kinds"))
+    papers = docs.select((2 * F.col("doc_id")).alias("position"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("paper_id"), sentences.alias("sentences"), kind.alias("kinds"))
     return papers.union(papers.where("position % 10 = 0").withColumn("position", F.col("position") + 1))
 
 
-_SENT = "s AS (SELECT doc_id, 'p' || doc_id || '#' || lpad(CAST(i AS VARCHAR), 6, '0') AS id, i, l[i + 1] AS text, ['abstract', 'normal paragraph', 'title'][(n_chars + i) % 3 + 1] AS kind FROM (SELECT doc_id, n_chars, string_split(text, chr(10)) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id % 5 = 0))"
+_SENT = "s AS (SELECT doc_id, 'p' || doc_id || '#' || lpad(CAST(i AS VARCHAR), 6, '0') AS id, i, l[i + 1] AS text, ['abstract', 'normal paragraph', 'title'][(n_chars + i) % 3 + 1] AS kind FROM (SELECT doc_id, n_chars, string_split(text, chr(10)) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))"
 
 
 @query("d15_sentences", f"WITH {_SENT} SELECT id AS doc_id, text, kind FROM s")
@@ -131,13 +131,13 @@ def d19_problems(spark, d):
 
 def _pairs(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select(F.col("lang").alias("dataset"), F.col("doc_id").alias("pair_id"), F.col("source").alias("query"), F.substring("text", 1, 40).alias("document"), (F.col("doc_id") % 4).alias("label"))
+    return docs.select(F.col("lang").alias("dataset"), F.col("doc_id").alias("pair_id"), F.col("source").alias("query"), F.col("text").alias("document"), (F.col("doc_id") % 4).alias("label"))
 
 
 _BLIND = f"b AS (SELECT lang, doc_id, source, text, lang || '-' || lpad(CAST(row_number() OVER (PARTITION BY lang ORDER BY {digest_sql(10, 'lang', 'doc_id')}, doc_id) AS VARCHAR), 3, '0') AS sample_id, row_number() OVER (PARTITION BY lang ORDER BY {digest_sql(10, 'lang', 'doc_id')}, doc_id) AS n FROM documents)"
 
 
-@query("d20_public_samples", f"WITH {_BLIND} SELECT sample_id, lang AS dataset, source AS query, text[1:40] AS document FROM b WHERE n <= 15")
+@query("d20_public_samples", f"WITH {_BLIND} SELECT sample_id, lang AS dataset, source AS query, text AS document FROM b WHERE n <= 15")
 def d20(spark, d):
     return convert.blind_samples(_pairs(spark, d), 15, 10)[0]
 

@@ -9,12 +9,12 @@ from . import fixtures
 from .registry import query, table
 
 _R = fixtures.retrieved_sql()
-_QRELS = """e AS (SELECT vec_id, label FROM embeddings), j AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, CASE WHEN a.vec_id % 7 = b.vec_id % 7 THEN 2 ELSE 1 END AS rel FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0)"""
+_QRELS = """e AS (SELECT vec_id, label FROM embeddings), j AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, CASE WHEN a.vec_id % 7 = b.vec_id % 7 THEN 2 ELSE 1 END AS rel FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id % 20 = 0)"""
 
 
 def qrels(spark, d, graded: bool = True):
     v = table(spark, d, "embeddings").select("vec_id", "label")
-    q, c = v.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id"), v.where("vec_id % 10 <> 0").withColumnRenamed("vec_id", "doc_id")
+    q, c = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "doc_id")
     rel = F.when(F.col("query_id") % 7 == F.col("doc_id") % 7, 2).otherwise(1) if graded else F.lit(1)
     return q.join(c, "label").select("query_id", "doc_id", rel.alias("rel"))
 

@@ -10,9 +10,9 @@ from .registry import table
 
 
 def vector_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every tenth vector is a query, the rest is the corpus."""
+    """Vectors whose id is divisible by 20 are queries, all vectors the corpus."""
     v = table(spark, d, "embeddings")
-    return v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("doc_id"), "embedding")
 
 
 def retrieved(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
@@ -21,8 +21,8 @@ def retrieved(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
 
 
 def retrieved_sql(k: int = 20) -> str:
-    return f"""q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 10 = 0),
-c AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 10 <> 0),
+    return f"""q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0),
+c AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT query_id, doc_id, list_inner_product(q.e, c.e) AS score FROM q, c),
 r AS (SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {k})"""
 

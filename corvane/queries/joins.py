@@ -82,14 +82,14 @@ def j09(spark, d):
 
 
 @query("j10_best_match", f"""
-WITH {_L}, m AS (SELECT query_id AS sample_id, doc_id, CASE WHEN rank = 1 AND query_id % 20 = 0 THEN 0 WHEN rank = 1 THEN 1 ELSE 2 END AS priority FROM l WHERE rank = 1 OR (rank = 2 AND query_id % 20 > 0))
+WITH {_L}, m AS (SELECT query_id AS sample_id, doc_id, CASE WHEN rank = 1 AND query_id % 40 = 0 THEN 0 WHEN rank = 1 THEN 1 ELSE 2 END AS priority FROM l WHERE rank = 1 OR (rank = 2 AND query_id % 40 > 0))
 SELECT sample_id, CAST(min(priority) AS INTEGER) AS priority, CAST(min_by(doc_id, priority) AS VARCHAR) AS doc_id, 1 AS ties FROM m GROUP BY 1""")
 def j10(spark, d):
     rows = fixtures.labelled(spark, d).select("query_id", "query", "rank", F.col("doc_id").cast("string").alias("doc_id"), "doc", "score")
     # the right id, with its own text for every other query and the text of rank 2 for the rest
     firsts = rows.where("rank = 1").select(F.col("query_id").alias("sample_id"), "query", F.col("doc_id").alias("source_doc_id"), F.col("doc").alias("own"))
     seconds = rows.where("rank = 2").select("query", F.col("doc").alias("other"))
-    targets = firsts.join(seconds, "query").select("sample_id", "query", "source_doc_id", F.when(F.col("sample_id") % 20 == 0, F.col("own")).otherwise(F.col("other")).alias("document"))
+    targets = firsts.join(seconds, "query").select("sample_id", "query", "source_doc_id", F.when(F.col("sample_id") % 40 == 0, F.col("own")).otherwise(F.col("other")).alias("document"))
     return relational.best_match(targets, rows.drop("query_id", "rank")).select("sample_id", "priority", "doc_id", F.col("ties").cast("int").alias("ties"))
 
 
@@ -109,7 +109,7 @@ def j12(spark, d):
     return evaluation.judged_run(fixtures.retrieved(spark, d), qrels(spark, d, graded=False)).select("query_id", "doc_id", "rank", "rel")
 
 
-@query("j13_queries_with_qrels", "SELECT vec_id AS query_id FROM embeddings q WHERE vec_id % 10 = 0 AND EXISTS (SELECT 1 FROM embeddings c WHERE c.vec_id % 10 <> 0 AND c.label = q.label)")
+@query("j13_queries_with_qrels", "SELECT vec_id AS query_id FROM embeddings q WHERE vec_id % 20 = 0 AND EXISTS (SELECT 1 FROM embeddings c WHERE c.label = q.label)")
 def j13(spark, d):
     from ..operators import evaluation
     from .evaluation import qrels
@@ -142,12 +142,13 @@ def j17(spark, d):
     return relational.zipped(rows, rows, ["item_id"], "item_id")[0]
 
 
-@query("j18_queries_by_plan", "SELECT a.event_id AS plan_id, b.event_id AS query_id FROM events a JOIN events b ON a.event_type = b.event_type AND a.user_id = b.user_id WHERE a.event_id % 50 = 0 AND b.event_id % 7 = 0")
+@query("j18_queries_by_plan", "SELECT min(event_id) OVER (PARTITION BY event_type, user_id) AS plan_id, event_id AS query_id FROM events")
 def j18(spark, d):
     events = table(spark, d, "events")
     key = plans.plan_key(F.array("event_type"), F.create_map(F.lit("user"), F.col("user_id").cast("string")))
-    left = events.where("event_id % 50 = 0").select(F.col("event_id").alias("plan_id"), key.alias("plan_key"))
-    right = events.where("event_id % 7 = 0").select(F.col("event_id").alias("query_id"), key.alias("plan_key"))
+    # a plan is one row, with as many queries as it has
+    left = events.groupBy(key.alias("plan_key")).agg(F.min("event_id").alias("plan_id"))
+    right = events.select(F.col("event_id").alias("query_id"), key.alias("plan_key"))
     return relational.by_plan(left, right).select("plan_id", "query_id")
 
 

@@ -78,9 +78,9 @@ def _writer(prompt: str) -> str:
     return json.dumps({"query": "" if "small" in key and prompt.startswith("write 0") else f"ask {key}"})
 
 
-@query("l04_diverse_queries", "SELECT doc_id, CAST(i AS INTEGER) AS query_pos, 'ask d ' || doc_id || '|size=' || ['big', 'small'][i + 1] AS query FROM documents, (VALUES (0), (1)) v(i) WHERE doc_id % 10 = 0")
+@query("l04_diverse_queries", "SELECT doc_id, CAST(i AS INTEGER) AS query_pos, 'ask d ' || doc_id || '|size=' || ['big', 'small'][i + 1] AS query FROM documents, (VALUES (0), (1)) v(i)")
 def l04(spark, d):
-    docs = annotate.generate_attributes(_doc_rows(spark, d).where("doc_id % 10 = 0"), "Find attributes.", lambda: RuleCompleter(_attributes))
+    docs = annotate.generate_attributes(_doc_rows(spark, d), "Find attributes.", lambda: RuleCompleter(_attributes))
     return annotate.generate_queries(docs, "Write queries.", 4, lambda: RuleCompleter(_writer)).select("doc_id", "query_pos", "query")
 
 
@@ -123,9 +123,9 @@ def n09(spark, d):
     return lists.select("query_id", F.array_join("positive_doc_ids", "|").alias("pos"), F.array_join("hard_negative_doc_ids", "|").alias("hard"), F.array_join("easy_negative_doc_ids", "|").alias("easy"))
 
 
-@query("n10_hidden_ids", f"WITH {_R} SELECT query_id, doc_id, CAST(doc_id % 4 AS INTEGER) AS score, {_CLASS} AS classification FROM r WHERE rank <= 3")
+@query("n10_hidden_ids", f"WITH {_R} SELECT query_id, doc_id, CAST(doc_id % 4 AS INTEGER) AS score, {_CLASS} AS classification FROM r")
 def n10(spark, d):
-    return annotate.annotate(_candidates(spark, d).where("rank <= 3"), "Label.", 6, lambda: RuleCompleter(_labels), hide_ids=True)
+    return annotate.annotate(_candidates(spark, d), "Label.", 6, lambda: RuleCompleter(_labels), hide_ids=True)
 
 
 @query("l08_candidate_annotator", f"WITH {_R} SELECT {_CLASS} AS classification, count(*) AS n FROM r GROUP BY 1")
@@ -180,19 +180,19 @@ def n14(spark, d):
     return calibrate.positives_only(rows, "item_id", 10)
 
 
-@query("l10_refinement", None)
+@query("l10_refinement", "SELECT * FROM (VALUES (1, '', false), (2, 'x', false), (3, 'xx', true)) v(attempt, artefact, passed)")
 def l10(spark, d):
     done = calibrate.refine(lambda a: len(a), lambda n: (n >= 2, f"{n} is short"), lambda a, f: a + "x")
     return spark.createDataFrame([(h["attempt"], h["artefact"], h["passed"]) for h in done.history], "attempt int, artefact string, passed boolean")
 
 
-@query("l11_evaluators", None)
+@query("l11_evaluators", "SELECT kind, score, coalesce(TRY_CAST(score AS DOUBLE) >= least, false) AS passed FROM (VALUES ('attributes', 2), ('query_instruction', 2), ('annotation', 3)) k(kind, least), (VALUES ('1'), ('2'), ('3.0'), ('n/a')) s(score)")
 def l11(spark, d):
     rows = [(k, s, calibrate.evaluation_passes(k, s)) for k in calibrate.PASS_SCORES for s in ("1", "2", "3.0", "n/a")]
     return spark.createDataFrame(rows, "kind string, score string, passed boolean")
 
 
-@query("l19_model_buckets", None)
+@query("l19_model_buckets", "SELECT label, round(p / 3, 6) AS probability FROM (VALUES ('short', 1.0::DOUBLE), ('long', 2.0::DOUBLE)) v(label, p)")
 def l19(spark, d):
     got = calibrate.model_buckets([{"label": "short", "probability": 1}, {"label": "long", "probability": 2}, {"label": "none", "probability": 0}], [("medium", 1.0)])
     return spark.createDataFrame(got, "label string, probability double")
@@ -222,15 +222,15 @@ def _examples(spark, d):
     return [{"query": f"q{r.item_id}", "positive": r.text, "negative": ""} for r in rows]
 
 
-@query("l03_query_instruction", None)
+@query("l03_query_instruction", "SELECT 't' AS task, 'query' AS kind, 'Query: of ' || least(3, count(*)) AS text FROM benchmark")
 def l03(spark, d):
     from ..plans import instructions as i
 
-    got = i.generate(i.query_prompt(_task(), _examples(spark, d)), ["Query:"], RuleCompleter(lambda p: f"Query: about {len(p)}"))
+    got = i.generate(i.query_prompt(_task(), _examples(spark, d)), ["Query:"], RuleCompleter(lambda p: f"Query: of {p.count('Example')}"))
     return spark.createDataFrame([("t", "query", got)], "task string, kind string, text string")
 
 
-@query("l07_label_instruction", None)
+@query("l07_label_instruction", "SELECT 't' AS task, 'label' AS kind, 'Grade ' || least(3, count(*)) AS text FROM benchmark")
 def l07(spark, d):
     from ..plans import instructions as i
 
@@ -238,7 +238,7 @@ def l07(spark, d):
     return spark.createDataFrame([("t", "label", got)], "task string, kind string, text string")
 
 
-@query("l12_task_definition", None)
+@query("l12_task_definition", "SELECT 't' AS task, 'questions' AS query_type, 'passages' AS doc_type, 'it answers' AS relevance, 1 AS calls FROM range(2)")
 def l12(spark, d):
     from ..plans import instructions as i
 
@@ -248,7 +248,7 @@ def l12(spark, d):
     return spark.createDataFrame([(t.name, t.query_type, t.doc_type, t.relevance, len(cache)) for t in tasks], "task string, query_type string, doc_type string, relevance string, calls int")
 
 
-@query("l13_human_review", None)
+@query("l13_human_review", "SELECT * FROM (VALUES (1, 'v1', false), (2, 'v1 shorter', true)) v(attempt, artefact, passed)")
 def l13(spark, d):
     from ..plans.instructions import reviewed
 
@@ -264,7 +264,7 @@ def l14(spark, d):
     return ask(_doc_rows(spark, d), "doc", "answer", lambda: RuleCompleter(lambda p: p.split("\n")[0] + "!"), threads=4).select("doc_id", "answer")
 
 
-@query("l21_prompted_embeddings", None)
+@query("l21_prompted_embeddings", "SELECT item_id, 64 AS dimensions FROM benchmark")
 def l21(spark, d):
     from ..plans.instructions import PromptedEmbedder
     from ..plans.models import HashEmbedder, embed
@@ -273,7 +273,7 @@ def l21(spark, d):
     return rows.select("item_id", F.size("embedding").alias("dimensions"))
 
 
-@query("p22_preflight", None)
+@query("p22_preflight", "SELECT * FROM (VALUES ('task is unknown'), ('input_path is a placeholder'), ('api_key holds a secret; name an environment variable instead')) v(problem)")
 def p22(spark, d):
     from ..plans.checks import preflight
 

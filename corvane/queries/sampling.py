@@ -62,11 +62,11 @@ def t09(spark, d):
 
 
 @query("t10_weighted_mixture", f"""
-WITH c AS (SELECT conv_id * 1000 + turn AS id, CAST(turn AS INTEGER) AS slot FROM conversations WHERE turn < 4),
+WITH c AS (SELECT conv_id * 1000 + turn AS id, CAST(turn % 4 AS INTEGER) AS slot FROM conversations),
 k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY slot ORDER BY {digest_sql('5-cap', 'id')}, id) <= 50)
 SELECT id, slot, CAST(copy AS INTEGER) AS copy, {digest_sql(5, 'id', 'copy')} AS "order" FROM k, unnest(range(1, CASE WHEN slot < 2 THEN 3 ELSE 2 END)) AS u(copy)""")
 def t10(spark, d):
-    rows = table(spark, d, "conversations").where("turn < 4").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("turn").cast("int").alias("slot"))
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("turn") % 4).cast("int").alias("slot"))
     return sampling.weighted_mixture(rows, "slot", {0: 2, 1: 2, 2: 1, 3: 1}, 5, "id", cap=50)
 
 

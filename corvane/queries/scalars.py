@@ -156,7 +156,7 @@ def p20(spark, d):
     return relational.generation_candidates(rows, "kind", "text", 12).select("doc_id")
 
 
-@query("p21_instruction_check", None)
+@query("p21_instruction_check", "SELECT * FROM (VALUES (0, ''), (1, 'Document:'), (2, 'Query:, Document:')) v(id, missing)")
 def p21(spark, d):
     from ..plans.checks import missing_parts
 
@@ -215,11 +215,11 @@ def f09(spark, d):
     return got.select("event_id", "j.k", "j.n")
 
 
-@query("f10_last_json_object", """SELECT event_id, '{"n":' || user_id || '}' AS found FROM events""")
+@query("f10_last_json_object", """SELECT event_id, CASE WHEN event_id % 3 > 0 THEN '{n: ' || user_id || ', ''b'': [1,],}' END AS found FROM events""")
 def f10(spark, d):
     from ..functions.nested import last_object
 
-    raw = F.format_string('{"a": {"b": 1}} then {"n":%d} done }', F.col("user_id"))
+    raw = F.concat(F.format_string("{\"a\": {\"b\": 1}} then {n: %d, 'b': [1,],} done", F.col("user_id")), F.when(F.col("event_id") % 3 == 0, "}").otherwise(""))
     return table(spark, d, "events").select("event_id", last_object(raw).alias("found"))
 
 
@@ -276,9 +276,10 @@ WITH b AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS other FRO
 t AS (SELECT item_id, {tokens_sql('text')} AS a, {tokens_sql("coalesce(other, '')")} AS b FROM b)
 SELECT item_id, CAST(len(list_intersect(a, b)) + len(a) AS BIGINT) AS alignment FROM t""")
 def f20(spark, d):
-    from pyspark.sql.window import Window
+    from ..operators.relational import numbered
 
-    rows = table(spark, d, "benchmark").withColumn("other", F.lead("text").over(Window.orderBy("item_id")))
+    items = numbered(table(spark, d, "benchmark"), ["item_id"], "n")
+    rows = items.join(items.select((F.col("n") - 1).alias("n"), F.col("text").alias("other")), "n", "left")
     return rows.select("item_id", text.alignment(F.col("text"), F.col("other"), F.array(F.lit("x"), F.lit("gone")), F.create_map(F.lit("x"), F.col("text"))).alias("alignment"))
 
 
@@ -298,7 +299,7 @@ def f23(spark, d):
     return table(spark, d, "events").select("event_id", text.calls_per_query(F.col("event_id") % 50, F.lit(12)).alias("calls"))
 
 
-@query("f24_option_parsing", None)
+@query("f24_option_parsing", "SELECT * FROM (VALUES ('null', NULL, NULL), ('', NULL, NULL), ('1,2, 3', '1,2, 3', [1, 2, 3]::BIGINT[]), (NULL, NULL, NULL)) v(raw, text, ids)")
 def f24(spark, d):
     from ..plans.checks import optional_text, parse_ids
 

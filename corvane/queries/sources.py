@@ -23,7 +23,7 @@ def _bench(spark, d, lines: bool = True):
 _BENCH = "SELECT CAST(item_id AS VARCHAR) AS doc_id, '' AS title, trim(text) AS text FROM benchmark"
 
 
-@query("s01_detect_format", None)
+@query("s01_detect_format", "SELECT * FROM (VALUES ('a.tsv', 'tsv'), ('b.csv', 'csv'), ('c.jsonl', 'jsonl'), ('d.ndjson', 'jsonl'), ('e.parquet', 'parquet')) v(path, format)")
 def s01(spark, d):
     rows = [(p, readers.detect_format(spark, p)) for p in ("a.tsv", "b.csv", "c.jsonl", "d.ndjson", "e.parquet")]
     return spark.createDataFrame(rows, "path string, format string")
@@ -66,7 +66,7 @@ def s04(spark, d):
     return readers.read_corpus(spark, f"{d}/documents.parquet")
 
 
-@query("s05_arrow_scan", None)
+@query("s05_arrow_scan", _BENCH)
 def s05(spark, d):
     import pyarrow as pa
 
@@ -102,10 +102,10 @@ def s09(spark, d):
     return readers.read_batch(spark, path, "doc_id: string, doc: string")
 
 
-@query("s10_header_read", None)
+@query("s10_header_read", "SELECT * FROM (VALUES ('input_path', repeat('in', 50000)), ('num_queries', '2')) v(key, value)")
 def s10(spark, d):
     path = _path(spark, "batch.json")
-    sinks.replace_file(spark, path, '{"input_path": "in", "num_queries": 2, "results": [{"doc_id": "1"}]}')
+    sinks.replace_file(spark, path, '{"input_path": "' + "in" * 50_000 + '", "num_queries": 2, "results": [{"doc_id": "1"}]}')
     head = readers.batch_header(spark, path)
     return spark.createDataFrame([(k, str(v)) for k, v in head.items()], "key string, value string")
 
@@ -131,7 +131,7 @@ def s13(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.posexplode(readers.json_records(raw)).alias("position", "record"))
 
 
-@query("s14_text_tree", None)
+@query("s14_text_tree", "SELECT * FROM (VALUES ('sub0/doc 0.txt', 'one', false), ('sub1/doc 1.txt', 'two' || chr(10) || 'lines', false)) v(doc_id, text, blank)")
 def s14(spark, d):
     path = _path(spark, "tree")
     for i, text in enumerate(("one ", " two\nlines", "")):
@@ -139,7 +139,7 @@ def s14(spark, d):
     return readers.read_text_tree(spark, path)
 
 
-@query("s15_numbered_json", None)
+@query("s15_numbered_json", "SELECT CAST(n AS BIGINT) AS number, CAST(n AS BIGINT) AS pid, 'f' || n AS fact FROM (VALUES (2), (10)) v(n)")
 def s15(spark, d):
     path = _path(spark, "cases")
     for i in (2, 10):
@@ -203,7 +203,7 @@ def k10(spark, d):
     return sinks.manifest(spark, f"{d}/region.parquet")
 
 
-@query("k03_atomic_replace", None)
+@query("k03_atomic_replace", "SELECT 2 AS n")
 def k03(spark, d):
     path = _path(spark, "state.json")
     for text in ('{"n": 1}', '{"n": 2}'):

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "corvane", **conf: str) -> SparkSession:
@@ -27,3 +28,26 @@ def ensure_checkpoints(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
+
+
+#: Folders of applications that are removed when the process ends.
+_folders: set[str] = set()
+
+
+def _clear(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, computed once: written to the shared folder and read back, so that lineage ends here. (A checkpoint computes
+    its last stage twice.) The table goes when the process ends."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoints(spark).rstrip('/')}/stored/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_clear, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.relational import numbered, running
+from ..session import stored
+
 # Column names by which a corpus is read, first match first.
 ID_NAMES = ("_id", "id", "pid", "doc_id", "docid", "document_id")
 TEXT_NAMES = ("text", "passage", "body", "content", "document")
@@ -98,19 +101,30 @@ def _arrow_files(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterat
                 yield pa.RecordBatch.from_arrays([b.column(n).cast(schema.field(n).type) for n in schema.names], schema=schema)
 
 
+def _arrow_schema(spark: SparkSession, path: str) -> pa.Schema:
+    """From a file's head: its first message, after the mark of the file format if there is one."""
+    fs, where = _fs(spark, path)
+    stream = fs.open(where)
+    take = lambda n: bytes(b & 0xFF for b in stream.readNBytes(n))
+    try:
+        head = take(8)
+        if head.startswith(b"ARROW1"):
+            head = take(8)
+        # a mark of four bytes and the message's length
+        return pa.ipc.read_schema(pa.py_buffer(head + take(int.from_bytes(head[4:], "little"))))
+    finally:
+        stream.close()
+
+
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
     """All ``*.arrow`` files of a folder but those whose names begin with cache; files or streams of Arrow IPC."""
     from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path).where(~F.element_at(F.split("path", "/"), -1).startswith("cache"))
-    first = files.orderBy("path").select("content").first()
+    first = files.select("path").orderBy("path").first()
     if first is None:
         raise ValueError(f"no Arrow files in {path}")
-    try:
-        schema = pa.ipc.open_file(pa.py_buffer(first.content)).schema
-    except pa.ArrowInvalid:
-        schema = pa.ipc.open_stream(pa.py_buffer(first.content)).schema
-    spark_schema = from_arrow_schema(schema)
+    spark_schema = from_arrow_schema(_arrow_schema(spark, first.path))
     target = to_arrow_schema(spark_schema)
     return files.select("content").mapInArrow(lambda batches: _arrow_files(batches, target), spark_schema)
 
@@ -145,19 +159,54 @@ def row_count(df: DataFrame) -> int:
 
 
 def read_batch(spark: SparkSession, path: str, results: str) -> DataFrame:
-    """One row a result of a nested batch file {header..., results: [...]}; ``results``: their schema."""
-    return spark.read.option("multiLine", "true").schema(f"results array<struct<{results}>>").json(path).select(F.posexplode("results").alias("position", "r")).select("position", "r.*")
+    """One row a result of a nested batch file {header..., results: [...]}; ``results``: their schema.
+
+    The file is read in splits, whatever its size, as pieces that end in ``}``. Running sums over the pieces say whether a
+    piece begins inside a text, and how deep in objects; the pieces from a result's opening to its closing are joined, so
+    only single results are ever held whole.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_in"))
+    # an escape never ends a piece: it would escape a brace
+    pieces = numbered(pieces, ["_at", "_in"], "_n").withColumn("_parts", F.split(F.regexp_replace("value", r"\\.", ""), '"', -1))
+    pieces = running(pieces, "_n", {"_quotes": (F.size("_parts") - 1).cast("long")})
+    # parts stand between quotes: in turn outside of texts and inside
+    inside = lambda i: (i + F.col("_quotes")) % 2 == 1
+    part = lambda i: F.get("_parts", i)
+    places = F.sequence(F.lit(0), F.size("_parts") - 1)
+    outside = F.filter("_parts", lambda x, i: ~inside(i))
+    closes = (~inside(F.size("_parts") - 1)).cast("long")
+    opens = F.size(F.split(F.array_join(outside, ""), r"\{", -1)).cast("long") - 1
+    pieces = running(pieces, "_n", {"_depth": opens - closes})
+    # keys of the outermost object stand in a piece before the first brace that opens another one
+    brace = F.array_min(F.filter(places, lambda i: ~inside(i) & part(i).contains("{") & ((F.col("_depth") == 1) | (i > 0))))
+    key = F.exists(places, lambda i: inside(i) & (part(i) == "results") & (i < F.coalesce(brace, F.size("_parts"))) & part(i + 1).rlike(r"^\s*:\s*\[\s*\{"))
+    more = (F.col("_depth") == 1) & part(F.lit(0)).rlike(r"^\s*,\s*\{")
+    starts = (F.col("_depth") == 1).cast("long")
+    pieces = running(pieces.withColumns({"_key": (F.col("_depth") <= 1) & key, "_more": more}), "_n", {"_begun": starts})
+    pieces = stored(pieces.select("_n", "value", "_depth", "_key", "_more", (F.col("_begun") + starts).alias("_item")), "batch-pieces")
+    first = pieces.where("_key").orderBy("_n").first()
+    if first is None:
+        return spark.createDataFrame([], f"position int, {results}")
+    end = pieces.where((F.col("_n") > first["_n"]) & (F.col("_depth") <= 1) & ~F.col("_more")).agg(F.min("_n")).first()[0]
+    own = pieces.where(F.col("_n") >= first["_n"]) if end is None else pieces.where(F.col("_n").between(first["_n"], end - 1))
+    head = F.when(F.col("_n") == first["_n"], F.regexp_replace("value", r'(?s)^.*?(?<!\\)"results"\s*:\s*\[', "")).otherwise(F.regexp_replace("value", r"^\s*,", ""))
+    text = F.when(F.col("_depth") <= 1, head).otherwise(F.col("value"))
+    items = own.groupBy("_item").agg(F.sort_array(F.collect_list(F.struct("_n", text.alias("x")))).alias("_x"))
+    record = F.from_json(F.concat(F.array_join(F.transform("_x", lambda x: x.x), "}"), F.lit("}")), f"struct<{results}>")
+    return items.select((F.col("_item") - first["_item"]).cast("int").alias("position"), record.alias("r")).select("position", "r.*")
 
 
 def batch_header(spark: SparkSession, path: str, size: int = 1 << 16) -> dict:
-    """Scalar values that stand before ``results``, from the first bytes alone."""
+    """Scalar values that stand before ``results``; the file is read ``size`` bytes at a time until that name."""
     fs, where = _fs(spark, path)
     stream = fs.open(where)
     try:
-        head = bytes(b & 0xFF for b in stream.readNBytes(size)).decode("utf-8", "ignore")
+        head = b""
+        while b'"results"' not in head and (more := bytes(b & 0xFF for b in stream.readNBytes(size))):
+            head += more
     finally:
         stream.close()
-    before = head.split('"results"', 1)[0].rstrip().rstrip(",")
+    before = head.decode("utf-8", "ignore").split('"results"', 1)[0].rstrip().rstrip(",")
     return {k: v for k, v in json.loads(before + ("" if before.endswith("}") else "}")).items() if not isinstance(v, (list, dict))}
 
 
