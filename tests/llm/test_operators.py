@@ -375,6 +375,40 @@ def test_language_of_odd_texts(spark):
     assert all(r.lang_pred == "und" for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect())
 
 
+def test_filter_by_plain_sets(spark):
+    """Every learned n-gram hits its languages, others hit by chance at the stated rate, and predictions follow from hits."""
+    rng = random.Random(12)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "mnopqrstuvé"}
+    make = lambda lang, n: " ".join("".join(rng.choices(letters[lang], k=rng.randrange(2, 8))) for _ in range(n))
+    rows = [(i, make(lang, 60), lang) for i, lang in enumerate(sorted(letters) * 12)]
+    docs = spark.createDataFrame([*rows, (900, None, "aa"), (901, "12 3", "aa"), (902, "zzzz", "bb")], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, per_language=1000, top=10_000, share=0.0, bits=14)
+
+    def grams(text):
+        b = bytes(language_id.FOLD[list((text or "").encode())].tolist())
+        return [b[i : i + 4] for i in range(len(b) - 3) if b"  " not in b[i : i + 4]]
+
+    def mask(gram):
+        out = ~0
+        for place in language_id._places(np.array([int.from_bytes(gram, "big")], np.uint32), 14):
+            out &= int(model.masks[int(place[0]), 0])
+        return out & 7
+
+    known = {lang: {g for _, t, x in rows if x == lang for g in grams(t)} for lang in letters}
+    for k, lang in enumerate(model.languages):
+        assert all(mask(g) >> k & 1 for g in known[lang])
+        strange = [bytes(rng.randrange(128, 256) for _ in range(4)) for _ in range(3000)]
+        assert abs(np.mean([mask(g) >> k & 1 for g in strange]) - model.wrong[k]) < 0.02
+    got = {r.doc_id: r for r in language_id.predict(docs, model).collect()}
+    for i, text, _ in [*rows, (902, "zzzz", "")]:
+        own = grams(text)
+        share = [min(1, max(0, (np.mean([mask(g) >> k & 1 for g in own]) - w) / (1 - w))) for k, w in enumerate(model.wrong)]
+        best = int(np.argmax(share))
+        assert got[i].lang_pred == model.languages[best]
+        assert got[i].score == pytest.approx(share[best] / sum(share) if sum(share) else 0.0)
+    assert got[900].lang_pred == got[901].lang_pred == "und"
+
+
 def test_many_languages(spark):
     words = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=7)) for i in range(70)]
     docs = spark.createDataFrame([(i, (w + " ") * 5, f"l{i % 70:02d}") for i, w in enumerate(words * 4)], "doc_id long, text string, lang string")
@@ -393,6 +427,47 @@ def test_toxicity_of_held_out_documents(spark, data):
     assert np.mean(np.array(good) < toxicity.THRESHOLD) > 0.98
 
 
+def test_scores_by_plain_noisy_or(spark):
+    """Sentence by sentence, sign by sign, for any weights."""
+    import re
+
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    words = ["Sun", "sunny", "rain", "a1", "é", "trees", "tree", "vile", "VILE", "x"]
+    texts = {i: "".join(rng.choice(words) + rng.choice([" ", ", ", ". ", "!\n", "? ", "; "]) for _ in range(rng.randrange(25))) for i in range(40)} | {90: None, 91: "", 92: "..!"}
+    low = lambda w: "".join(c.lower() if c.isascii() else c for c in w)
+    of = lambda w: kernels.words(pa.array([w]), kernels.NON_ALNUM, kernels.LOWER, toxicity.STEM)
+    whole, front = {w: int(of(w).hash[0]) for w in words}, {w: int(of(w).prefix[0]) for w in words}
+    assert whole["vile"] == whole["VILE"]
+    assert front["Sun"] != front["sunny"]
+    assert front["trees"] == front["tree"]
+    weight = {h: rng.uniform(-3, 3) for h in sorted({whole[w] for w in words[:7]} | {front[w] for w in words[3:]})}
+    model = toxicity.Model(np.array(sorted(weight), np.uint64), np.array([weight[h] for h in sorted(weight)]), -1.5, 0.7)
+    got = {r.doc_id: r for r in toxicity.score(frame(spark, list(texts.items())), model).collect()}
+    for i, text in texts.items():
+        clean, bad = 1.0, 0
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            own = re.findall(r"[^\W_]+", sentence)
+            if own:
+                signs = {h for w in own for h in (whole[next(x for x in words if low(x) == low(w))], front[next(x for x in words if low(x) == low(w))])}
+                p = 1 / (1 + np.exp(-(model.bias + sum(weight.get(h, 0.0) for h in signs))))
+                clean *= 1 - p
+                bad += p**model.power >= toxicity.THRESHOLD
+        assert got[i].score == pytest.approx((1 - clean) ** model.power, abs=1e-9)
+        assert len(got[i].offending) == bad
+
+
+def test_ties_and_empty_tables_of_toxicity(spark):
+    docs = frame(spark, [(i, "same words here") for i in range(40)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    scores = {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert len(scores) == 1
+    model = toxicity.fit(docs.limit(0), labels)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert toxicity.clean_documents(docs.limit(0), labels).count() == 0
+
+
 def test_offending_sentences_are_found(spark):
     rng = random.Random(5)
     fine = ["sun", "rain", "tree", "road", "song", "home"]
@@ -491,6 +566,39 @@ def test_padding_without_sentence_ends(spark):
     assert sum(2048 - n for n in lengths.values() if n & (n - 1)) <= 0.04 * sum(lengths.values())
 
 
+def test_packing_costs_what_brute_force_finds(spark):
+    """The query's windows over random texts: the least padding and penalties over all ways to cut at the allowed places."""
+    rng = random.Random(14)
+    ref, coder = reference(), tokens.encoder("byte_bpe_50k")
+    for n in range(3):
+        texts = ["".join(rng.choice(["one ", "two. ", "three! ", "\n", "four "]) for _ in range(rng.randrange(40))) for _ in range(12)]
+        rows = packing.pack(frame(spark, list(enumerate(texts))).coalesce(1), size=32, sentence=2.0, hard=64.0).collect()
+        at, cost, base = [0], [0.0], 0
+        for t in texts:
+            ids = ref.encode(t, add_special_tokens=False).ids
+            pieces = [coder.pieces[i] for i in ids]
+            for k in range(1, len(ids)):
+                stop = pieces[k - 1][-1:] == b"\n" or (pieces[k - 1][-1:] in (b".", b"!", b"?") and pieces[k][:1] in (b" ", b"\n"))
+                at.append(base + k)
+                cost.append(2.0 if stop else 64.0)
+            base += len(ids) + 1
+            if ids:
+                at.append(base - 1)
+                cost.append(64.0)
+            at.append(base)
+            cost.append(0.0)
+        pad = lambda x: 0 if x & (x - 1) == 0 else 32 - x
+        price = dict(zip(at, cost, strict=True))
+        best = {0: 0.0}
+        for j in range(1, base + 1):
+            best[j] = min(best[i] + pad(j - i) + price[j] + 4 for i in range(max(0, j - 32), j))
+        got = Counter()
+        for r in rows:
+            got[r.sequence_id] += r.length
+        ends = np.cumsum([got[k] for k in sorted(got)])
+        assert sum(pad(got[k]) for k in got) + sum(price[int(e)] + 4 for e in ends) == pytest.approx(best[base]), n
+
+
 # -- 9, 10
 
 
