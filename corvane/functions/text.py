@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASCII letters and digits, with inner hyphens and apostrophes.
+# Fixed value: a word is ASCII letters and digits, with inner hyphens and apostrophes.
 WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*"
 
+#: Lower-case letters that full case folding changes, such as ``ß`` to ``ss``.
+FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x20000)) if c.lower() == c != c.casefold()}
+_FOLDED = "[" + "".join(FOLDS) + "]"
+
 # Words that carry no content in hypothesis-to-sentence overlap.
 CONTENT_STOP_WORDS = (
     "about after among associated before between compared during from have higher into more than that their these "
@@ -51,9 +55,17 @@ def alignment(hypothesis: Column, sentence: Column, labels: Column, aspects: Col
     return overlap(own, content_tokens(sentence)) + F.coalesce(best, F.lit(0))
 
 
+def casefold(x: Column) -> Column:
+    """Full case folding: lower case, and what is left by a table where a text has any of it."""
+    low = F.lower(x)
+    table = F.create_map(*(F.lit(s) for kv in FOLDS.items() for s in kv))
+    parts = F.split(low, f"(?<={_FOLDED})|(?={_FOLDED})", -1)
+    return F.when(low.rlike(_FOLDED), F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")).otherwise(low)
+
+
 def normalise(x: Column) -> Column:
-    """Single spaces and full case folding of ``ß``; other letters by lower case."""
-    return F.replace(F.lower(collapse(x)), F.lit("ß"), F.lit("ss"))
+    """Single spaces and full case folding."""
+    return casefold(collapse(x))
 
 
 def text_digest(x: Column) -> Column:

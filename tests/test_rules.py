@@ -59,6 +59,12 @@ def test_verdict(spark, score, stated, out):
     assert one(spark, labels.verdict(F.lit(score).cast("string"), F.lit(stated).cast("string"))) == out
 
 
+def test_case_folding(spark):
+    raw = ["Straße ẞ", "ΣΊΣΥΦΟΣ ς", "ﬁn oﬃce", "İstanbul ı", "ŉ ǰ և", "ſ K Å", "🙂ß🙂", "ᾳ ᾼ", "plain", "", "ßß"]
+    got = [r.t for r in spark.createDataFrame(list(enumerate(raw)), "i int, x string").orderBy("i").select(text.casefold(F.col("x")).alias("t")).collect()]
+    assert got == [x.casefold() for x in raw]
+
+
 def test_lenient_json(spark):
     raw = "```json\n{'a': 1, /* c */ b: ['x', 'y',],}\n```"
     got = one(spark, text.lenient_json(F.lit(raw), "a int, b array<string>"))
