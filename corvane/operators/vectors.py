@@ -85,12 +85,6 @@ def _ranked(queries: DataFrame, corpus: DataFrame, k: int, best) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k_by_expression(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """The same by expressions alone, for small sets: the definition that the block form is held to."""
-    rows = queries.withColumnRenamed("embedding", "_q").join(corpus).withColumn("score", dot(F.col("_q"), F.col("embedding")))
-    return rows.select("query_id", "doc_id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).alias("rank")).where(F.col("rank") <= k)
-
-
 def origin_scores(queries: DataFrame, corpus: DataFrame, origins: DataFrame) -> DataFrame:
     """Scores of queries with their own documents, also those outside any top-k. origins: query_id, doc_id."""
     rows = origins.join(queries.withColumnRenamed("embedding", "_q"), "query_id").join(corpus, "doc_id")

@@ -11,6 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.functions import labels, nested, plans, text
 from corvane.operators import agreement, evaluation, export, mining, relational, sampling, statistics, vectors
@@ -207,7 +208,11 @@ def test_blocks_agree_with_expressions(spark):
     _, corpus = vector_rows(spark, 60, 8, 0)
     queries = corpus.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
     key = lambda df: {(r.query_id, r.doc_id, r["rank"]) for r in df.collect()}
-    assert key(vectors.dense_top_k(queries, corpus.repartition(5), 7)) == key(vectors.top_k_by_expression(queries, corpus, 7))
+    # the definition that the block form is held to
+    rows = queries.withColumnRenamed("embedding", "q").crossJoin(corpus).withColumn("score", vectors.dot(F.col("q"), F.col("embedding")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    plain = rows.withColumn("rank", F.row_number().over(order)).where("rank <= 7")
+    assert key(vectors.dense_top_k(queries, corpus.repartition(5), 7)) == key(plain)
 
 
 def test_diverse_selection_is_greedy(spark):
