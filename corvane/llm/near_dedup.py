@@ -136,8 +136,9 @@ def _mixed(prefix: DataFrame, found: DataFrame | None, name: str) -> DataFrame:
     """Postings whose members are in more than one component so far: posting, node, home."""
     if found is not None:
         prefix = keep(prefix.join(found, prefix.node == found.member, "left").select("posting", "node", F.coalesce("component", "node").alias("home")), f"{name}-placed")
-    mixed = prefix.groupBy("posting").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("posting")
-    return keep(prefix.join(mixed, "posting", "left_semi"), f"{name}-mixed")
+    # kept first, so that few postings are broadcast and a common one's rows stay where they are
+    mixed = keep(prefix.groupBy("posting").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high").select("posting"), f"{name}-postings")
+    return keep(only_keys(prefix, mixed, ["posting"]), f"{name}-mixed")
 
 
 def _tree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +323,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
 
     # each node with a centre: of its postings' members with the most shared coordinates, the one that it meets most often
     centres = prefix.groupBy("posting").agg(F.max_by("node", F.struct("has", -F.col("node"))).alias("a"), F.count("*").alias("members")).where("members > 1").select("posting", "a")
-    met = prefix.join(centres, "posting").where("node <> a").groupBy("node", "a").agg(F.count("*").alias("times"))
+    centres = keep(centres, "near-centres")
+    met = prefix.join(F.broadcast(centres) if small(centres) else centres, "posting").where("node <> a").groupBy("node", "a").agg(F.count("*").alias("times"))
     first = met.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
     near = _colliding(nodes, first, matches, "near-first")
     links = keep(_confirmed(near, _full_sets(docs, nodes, _ends(near), size, "near-first"), percent), "near-links")
