@@ -7,7 +7,7 @@ the positions b where a cut may be, the least cost of a cut there is
     f(j) = penalty(j) + min over i with b(j) - b(i) <= size of f(i) + padding(b(j) - b(i)) + window,
 
 where padding is what a window lacks to ``size``, and nothing at a power of two. For the first case f(i) + b(i) is kept in
-a monotone queue, so each position costs constant time; the powers of two below ``size`` are looked up.
+a monotone queue, so each position costs constant time; positions a power of two apart are listed beforehand.
 
 A run is a stretch of rows whose order is known: one split of a file, or one range of the given columns. Each run is packed
 in one pass, in blocks whose last window stays open for the next one, so stored order needs no shuffle of the texts; only
@@ -43,8 +43,8 @@ from .tokens import encoder
 
 #: Ids gathered before windows are cut; a longer text is gathered whole.
 BLOCK = 1 << 19
-#: Places in a window where a stretch without sentence ends may be cut.
-STEPS = 64
+#: A stretch without sentence ends may be cut if it is longer than this part of a window, at this many places in one.
+WIDE, STEPS = 16, 64
 #: What a piece's row consists of; the last three name the run and the window in it until windows are numbered.
 PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "window")
 
@@ -56,8 +56,16 @@ def cuts(at: np.ndarray, penalty: np.ndarray, size: int, window: float = 4.0) ->
     n = len(b)
     f, back = [0.0] * n, [0] * n
     queue: deque[tuple[float, int]] = deque()
-    powers = [1 << i for i in range((size - 1).bit_length())]
-    where = {x: i for i, x in enumerate(b)}
+    # pairs of positions that lie a power of two apart: few, so they are found beforehand
+    later, earlier = [], []
+    for power in (1 << i for i in range((size - 1).bit_length())):
+        k = np.searchsorted(at, at - power)
+        hit = np.flatnonzero(at[k] == at - power)
+        later.append(hit)
+        earlier.append(k[hit])
+    order = np.argsort(later := np.concatenate(later or [np.zeros(0, np.int64)]), kind="stable")
+    pairs = iter(zip(later[order].tolist(), np.concatenate(earlier or [np.zeros(0, np.int64)])[order].tolist(), strict=True))
+    at_j, k = next(pairs, (n, 0))
     for j in range(1, n):
         cost = f[j - 1] + b[j - 1]
         while queue and queue[-1][0] >= cost:
@@ -68,10 +76,10 @@ def cuts(at: np.ndarray, penalty: np.ndarray, size: int, window: float = 4.0) ->
             queue.popleft()
         best, i = queue[0]
         best += size - x
-        for power in powers:
-            k = where.get(x - power)
-            if k is not None and f[k] < best:
+        while at_j == j:
+            if f[k] < best:
                 best, i = f[k], k
+            at_j, k = next(pairs, (n, 0))
         f[j], back[j] = best + p[j] + window, i
     out = [n - 1]
     while out[-1]:
@@ -106,7 +114,7 @@ class _Stream:
             base += len(ids)
         at, penalty = np.concatenate(where), np.concatenate(cost)
         step = max(1, self.size // STEPS)
-        wide = np.flatnonzero(np.diff(at) > step)
+        wide = np.flatnonzero(np.diff(at) > self.size // WIDE)
         if len(wide):
             extra = np.concatenate([np.arange(at[i] + step, at[i + 1], step) for i in wide])
             at, penalty = np.concatenate([at, extra]), np.concatenate([penalty, np.full(len(extra), self.hard)])

@@ -577,21 +577,18 @@ def test_packing_costs_what_brute_force_finds(spark):
         for t in texts:
             ids = ref.encode(t, add_special_tokens=False).ids
             pieces = [coder.pieces[i] for i in ids]
-            for k in range(1, len(ids)):
-                stop = pieces[k - 1][-1:] == b"\n" or (pieces[k - 1][-1:] in (b".", b"!", b"?") and pieces[k][:1] in (b" ", b"\n"))
-                at.append(base + k)
-                cost.append(2.0 if stop else 64.0)
+            stops = [k for k in range(1, len(ids)) if pieces[k - 1][-1:] == b"\n" or (pieces[k - 1][-1:] in (b".", b"!", b"?") and pieces[k][:1] in (b" ", b"\n"))]
+            for a, b in zip([0, *stops], [*stops, len(ids) + 1], strict=True):
+                # stretches of over a sixteenth of a window may be cut anywhere
+                inner = range(a + 1, b) if b - a > 2 else []
+                at += [*(base + k for k in inner), base + b]
+                cost += [*(64.0 for _ in inner), 2.0 if b <= len(ids) else 0.0]
             base += len(ids) + 1
-            if ids:
-                at.append(base - 1)
-                cost.append(64.0)
-            at.append(base)
-            cost.append(0.0)
         pad = lambda x: 0 if x & (x - 1) == 0 else 32 - x
         price = dict(zip(at, cost, strict=True))
         best = {0: 0.0}
-        for j in range(1, base + 1):
-            best[j] = min(best[i] + pad(j - i) + price[j] + 4 for i in range(max(0, j - 32), j))
+        for j in at[1:]:
+            best[j] = min(best[i] + pad(j - i) + price[j] + 4 for i in range(max(0, j - 32), j) if i in best)
         got = Counter()
         for r in rows:
             got[r.sequence_id] += r.length
