@@ -118,8 +118,12 @@ def _in_order(rows: DataFrame, position: str, parts: int | None) -> DataFrame:
 
 
 def schedule(docs: DataFrame, parts: int | None = None, **options) -> DataFrame:
-    """``plan``, range-sorted by the position of each document's first copy."""
-    return _in_order(plan(docs, **options).withColumn("first_position", F.get("positions", F.lit(0))), "first_position", parts)
+    """``plan``, range-sorted by the position of each document's first copy, with ``first_position``; what the mix does not
+    take comes last. Rows are narrow here, so ranges are even in rows and not in words."""
+    rows = keep(plan(docs, **options).withColumn("first_position", F.get("positions", F.lit(0))), "mix-plan")
+    keys = [F.col("first_position").asc_nulls_last(), F.col("doc_id"), F.col("text_key")]
+    ranged = rows.repartitionByRange(parts, *keys) if parts else rows.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys)
 
 
 def mix(docs: DataFrame, parts: int | None = None, **options) -> DataFrame:
