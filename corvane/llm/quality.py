@@ -1,5 +1,8 @@
 """Quality rules: one table of thresholds, compiled into one Spark projection of built-in expressions.
 
+Windows of three words stand as 64-bit hashes when repeats are counted. A text is judged inside its row: its words, and a
+hash and a place for each, are held at once, about 150 bytes a word, and sorted there.
+
 Nulls and edge cases: null text counts as empty: all counts are 0 and it is not kept. A text of white space only
 likewise. A ratio whose denominator is 0 is 0. Lines are compared whole, with their white space. Rows are judged one by
 one, so repeated rows are judged alike. An empty table gives an empty result. Other columns are ignored.
@@ -45,7 +48,7 @@ RULES = (
 # ``transform(array(x), s -> y)[0]`` names x inside y, so that it is computed once.
 _REPEATS = """
 CASE WHEN size(words) < 3 THEN 0 ELSE size(array_distinct(flatten(transform(
-  array(sort_array(transform(sequence(0, size(words) - 3), i -> struct(concat(words[i], ' ', words[i + 1], ' ', words[i + 2]) AS g, i AS i)))),
+  array(sort_array(transform(sequence(0, size(words) - 3), i -> struct(xxhash64(words[i], words[i + 1], words[i + 2]) AS g, i AS i)))),
   s -> transform(filter(s, (x, k) -> coalesce(x.g = get(s, k - 1).g, false) OR coalesce(x.g = get(s, k + 1).g, false)), x -> array(x.i, x.i + 1, x.i + 2))
 )[0]))) END
 """
