@@ -8,6 +8,9 @@ Learning takes at most ``per_language`` documents of each language (a documented
 of doc_id), and of each language its ``top`` most frequent n-grams. An n-gram belongs to a language if its rate there is
 at least ``share`` of its highest rate in any language.
 
+A text is held whole: about 30 bytes for each byte of the longest, and half a MB of shorter ones at a time. Rows that repeat
+a doc_id are predicted each, and learned from together.
+
 Nulls and edge cases: null text and text without a letter give ``und`` and 0.0; so does a table without any learnable
 row. A text whose n-grams are all unknown gives the first language and 0.0. Null lang or doc_id is never learned from;
 the rows are still predicted. Other columns are ignored, whatever their names.

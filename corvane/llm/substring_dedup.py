@@ -12,6 +12,9 @@ anchors. A window is emitted unless a run proves that a smaller document has it,
 window always emits it, and the union of runs and of windows found in a smaller document is exactly the union of
 maximal repeats of at least ``least`` words. Window identity is a 64-bit and a 32-bit hash of whole words.
 
+Both hashes are polynomials over one 64-bit hash of each word. A text is held whole: about 100 bytes for each byte of the
+longest, and half a MB of shorter ones at a time.
+
 Nulls and edge cases: null text is empty; texts under ``least`` words lose nothing. Rows that share a doc_id never remove
 each other's words. A row whose doc_id is null neither removes nor loses words. Equal rows are treated alike. Repeats
 inside one document stay. An empty table gives an empty result. Other columns are ignored, whatever their names.
