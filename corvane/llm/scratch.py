@@ -78,11 +78,20 @@ def new_path(spark: SparkSession, name: str, outside: bool = False) -> str:
     return path
 
 
-def keep(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
+#: Rows that go to a Python worker at a time while a table is kept: whole texts lie in both processes.
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def keep(df: DataFrame, name: str, outside: bool = False, rows: int = 1000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, name, outside)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, had = new_path(spark, name, outside), spark.conf.get(ROWS)
+    spark.conf.set(ROWS, str(rows))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(ROWS, had)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, width: int = 64) -> bool:
