@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, exact_dedup, kernels, language_id, mixing, near_dedup, packing, quality, queries, split, substring_dedup, tokens, toxicity
+from corvane.llm import bpe, chat, exact_dedup, kernels, language_id, merkle, mixing, near_dedup, packing, periodic_runs, quality, queries, split, substring_dedup, tokens, toxicity
 from corvane.llm.components import components
 
 from ..compare import same
@@ -37,6 +37,9 @@ ROWS = {
     "packing": lambda d: packing.pack(d),
     "substring": lambda d: substring_dedup.remove_repeats(d),
     "near": lambda d: near_dedup.near_duplicates(d),
+    "merkle": lambda d: merkle.prove(merkle.manifest(merkle.leaves(d, ["doc_id", "text", "mark"], "source", "doc_id"))).withColumnRenamed("key", "doc_id"),
+    "bpe": lambda d: bpe.decode(bpe.encode(d)),
+    "runs": lambda d: periodic_runs.periodic_runs(d),
 }
 
 
