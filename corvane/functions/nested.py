@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import lenient_json
+from .json5 import strict_json
 
 # Keys whose text stands for a whole record, in this order.
 TEXT_KEYS = ("title", "text", "content", "contents", "abstract", "body", "answer", "evidence", "snippet", "summary", "description", "judgment", "judgement", "fact", "facts")
@@ -62,7 +62,7 @@ def last_object(raw: Column) -> Column:
     """The last balanced ``{...}``, if it can be read as an object: with single quotes, bare keys, comments and trailing
     commas too. Nothing before it is tried."""
     found = balanced(raw)
-    return F.when(lenient_json(found, "map<string, string>").isNotNull(), found)
+    return F.when(strict_json(found).isNotNull(), found)
 
 
 @F.pandas_udf(StringType())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .json5 import strict_json
+
 # Fixed value: a word is ASCII letters and digits, with inner hyphens and apostrophes.
 WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*"
 
@@ -81,19 +83,9 @@ def cache_key(*columns: Column) -> Column:
     return F.substring(F.md5(F.to_json(F.struct(*columns)).cast("binary")), 1, 8)
 
 
-def fenced_json(x: Column) -> Column:
-    """Text inside a Markdown code fence, or all of it."""
-    inner = F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(x))
-
-
-def without_trailing_commas(x: Column) -> Column:
-    return F.regexp_replace(x, r",\s*([}\]])", "$1")
-
-
 def lenient_json(x: Column, schema: str) -> Column:
-    """JSON with single quotes, bare keys, comments or trailing commas."""
-    return F.from_json(without_trailing_commas(fenced_json(x)), schema, {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true", "allowComments": "true"})
+    """JSON, or JSON5 with single quotes, bare keys, comments and trailing commas, bare or in a code fence."""
+    return F.from_json(strict_json(x), schema)
 
 
 def safe_size(x: Column) -> Column:

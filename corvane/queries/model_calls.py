@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import vectors
-from ..plans import annotate, calibrate
+from ..plans import annotate, calibrate, planning
 from ..plans.models import RuleCompleter
 from . import fixtures
 from .registry import query, table
@@ -32,56 +32,88 @@ def _client():
 
 
 def _doc_rows(spark, d):
-    """Whole texts under a first line that names them; the answers are a function of that line."""
+    """Whole texts under a first line that names them."""
     return table(spark, d, "documents").select("doc_id", F.concat_ws("\n", F.concat(F.lit("d "), F.col("doc_id").cast("string")), "text").alias("doc"))
 
 
-def _by_name(prompt: str) -> str:
-    """Scores a listed document by the number in its first line, modulo 4; now and then in a fence."""
-    scores = [{"id": n, "score": int(x) % 4} for n, x in re.findall(r"^\[(\d+)\] d (\d+)$", prompt, re.M)]
+def _named(doc: str) -> tuple[str, str]:
+    """First line and text."""
+    name, _, text = doc.partition("\n")
+    return name, text
+
+
+def _by_text(prompt: str) -> str:
+    """Scores a listed document by the length of its whole text, modulo 4; now and then in a fence."""
+    parts = re.split(r"^\[(\d+)\] (?=d \d+$)", prompt, flags=re.M)[1:]
+    docs = [(n, doc[:-1] if k + 1 < len(parts) // 2 else doc) for k, (n, doc) in enumerate(zip(parts[::2], parts[1::2], strict=True))]
+    scores = [{"id": n, "score": len(_named(doc)[1]) % 4} for n, doc in docs]
     return "```json\n" + json.dumps(scores) + "\n```" if len(scores) % 2 else json.dumps(scores)
 
 
 def _doc_client():
-    return RuleCompleter(_by_name)
+    return RuleCompleter(_by_text)
+
+
+_N = "length(coalesce(text, ''))"
 
 
-@query("l01_document_filter", "SELECT doc_id, 'd ' || doc_id AS doc FROM documents WHERE doc_id % 4 >= 2")
+@query("l01_document_filter", f"SELECT doc_id, 'd ' || doc_id AS doc FROM documents WHERE {_N} % 4 >= 2")
 def l01(spark, d):
     passed = annotate.filter_documents(_doc_rows(spark, d), "Score each document.", 7, _doc_client)[0]
     return passed.select("doc_id", F.concat(F.lit("d "), F.col("doc_id").cast("string")).alias("doc"))
 
 
-@query("l01_document_scores", "SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS score, CASE WHEN doc_id % 4 >= 2 THEN 'pass' ELSE 'fail' END AS verdict FROM documents")
+@query("l01_document_scores", f"SELECT doc_id, CAST({_N} % 4 AS INTEGER) AS score, CASE WHEN {_N} % 4 >= 2 THEN 'pass' ELSE 'fail' END AS verdict FROM documents")
 def l01_scores(spark, d):
     return annotate.filter_documents(_doc_rows(spark, d), "Score each document.", 7, _doc_client)[1].drop("doc")
 
 
+@query("l01_repeated_documents", f"SELECT doc_id // 3 AS doc_id, CAST({_N} % 4 AS INTEGER) AS score FROM documents UNION ALL SELECT NULL, CAST({_N} % 4 AS INTEGER) FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT NULL, CAST({_N} % 4 AS INTEGER) FROM documents WHERE doc_id % 5 = 0")
+def l01_repeated(spark, d):
+    """Three texts under each id, others twice under none: rows come out as they went in."""
+    rows = _doc_rows(spark, d)
+    lost = rows.where("doc_id % 5 = 0").withColumn("doc_id", F.lit(None).cast("long"))
+    shared = rows.withColumn("doc_id", F.expr("doc_id div 3"))
+    return annotate.filter_documents(shared.unionByName(lost).unionByName(lost), "Score each document.", 7, _doc_client)[1].select("doc_id", "score")
+
+
 def _attributes(prompt: str) -> str:
-    doc = prompt.split("\n")[1]
-    return "{identifiers: ['%s', ], attributes: [{dimension: 'size', options: ['big', 'small', ' ']}, ]}" % doc if doc.endswith("x") else json.dumps({"identifiers": [{"type": "doc", "identifier": doc, "label": doc}] * 2, "attributes": [{"dimension": "size", "options": ["big", "small"]}, {"dimension": "size", "options": ["late"]}]})
+    name, text = _named(prompt.split("\n", 1)[1])
+    length = f"{len(text)} [1,] // long"  # as much as looks like structure
+    if len(text) % 2:
+        return "{identifiers: ['%s', ], /* , */ attributes: [{dimension: 'size', options: ['big', 'small', '%s', ' ']}, ]}" % (name, length)
+    return json.dumps({"identifiers": [{"type": "doc", "identifier": name, "label": name}] * 2, "attributes": [{"dimension": "size", "options": ["big", "small", length]}, {"dimension": "size", "options": ["late"]}]})
 
 
-@query("l02_attributes", "SELECT doc_id, 'd ' || doc_id AS identifiers, 'size=big|small' AS attributes FROM documents")
+@query("l02_attributes", f"SELECT doc_id, 'd ' || doc_id AS identifiers, 'size=big|small|' || {_N} || ' [1,] // long' AS attributes FROM documents")
 def l02(spark, d):
     rows = annotate.generate_attributes(_doc_rows(spark, d), "Find attributes.", lambda: RuleCompleter(_attributes))
     return rows.select("doc_id", F.array_join(F.transform("identifiers", lambda x: x.identifier), ",").alias("identifiers"), F.array_join(F.transform("attributes", lambda x: F.concat(x.dimension, F.lit("="), F.array_join(x.options, "|"))), ",").alias("attributes"))
 
 
 def _writer(prompt: str) -> str:
-    """Plans: a good one, one of an unknown option, one of an unknown identifier. Queries: at the second asking for small."""
-    if prompt.startswith("plan"):
-        doc = prompt.split("\n")[1]
+    """Plans: at each round one that is new, one that is planned already, one of an unknown option and one of an unknown
+    identifier. Queries: in any order, at the first asking none for big, in one answer an extra one; lenient now and then."""
+    first, _, rest = prompt.partition("\n")
+    if first.startswith("plan"):
+        doc, have = rest.rsplit("\nplanned: ", 1)
+        name, planned = _named(doc)[0], [p["used_attributes"]["size"] for p in json.loads(have)]
+        options = json.loads(re.search(r"\[\{\"dimension\".*\]$", doc).group())[0]["options"]
+        new = [o for o in options if o not in planned][:1]
         plan = lambda i, s: {"used_identifier": [i], "used_attributes": {"size": s}}
-        return json.dumps([plan(doc, "big"), plan(doc, "huge"), plan("other", "big"), plan(doc, "small"), plan(doc, "big")])
-    key = prompt.split("\n")[1]
-    return json.dumps({"query": "" if "small" in key and prompt.startswith("write 0") else f"ask {key}"})
+        return json.dumps({"plans": [*(plan(name, o) for o in planned + new), plan(name, "huge"), plan("other", "big"), {"used_identifier": name, "used_attributes": {"size": (new or planned)[0]}}]})
+    doc, plans = rest.rsplit("\nplans: ", 1)
+    name, text = _named(doc)
+    wanted = [p for p in json.loads(plans)[::-1] if not (first.startswith("write 0") and p["used_attributes"]["size"] == "big")]
+    answer = json.dumps({"queries": [{"query": f"ask {name}, {p['used_attributes']['size']}, of {len(text)} [2,] }}", **p} for p in wanted] + [{"query": "more", "used_identifier": [name], "used_attributes": {"size": "huge"}}]})
+    return answer if len(text) % 2 else "```\n" + answer[:-1] + ", /* , */ }\n```"
 
 
-@query("l04_diverse_queries", "SELECT doc_id, CAST(i AS INTEGER) AS query_pos, 'ask d ' || doc_id || '|size=' || ['big', 'small'][i + 1] AS query FROM documents, (VALUES (0), (1)) v(i)")
+@query("l04_diverse_queries", f"SELECT doc_id, CAST(i AS INTEGER) AS query_pos, 'ask d ' || doc_id || ', ' || [{_N} || ' [1,] // long', 'small', 'big'][i + 1] || ', of ' || {_N} || ' [2,] }}' AS query FROM documents, (VALUES (0), (1), (2)) v(i)")
 def l04(spark, d):
+    """Three rounds of planning give a plan each; big is written in the second round of queries."""
     docs = annotate.generate_attributes(_doc_rows(spark, d), "Find attributes.", lambda: RuleCompleter(_attributes))
-    return annotate.generate_queries(docs, "Write queries.", 4, lambda: RuleCompleter(_writer)).select("doc_id", "query_pos", "query")
+    return planning.generate_queries(docs, "Write queries.", 3, lambda: RuleCompleter(_writer)).select("doc_id", "query_pos", "query")
 
 
 @query("l05_query_filter", "SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS query_pos FROM conversations WHERE (conv_id + turn) % 4 >= 2")
@@ -123,6 +155,32 @@ def n09(spark, d):
     return lists.select("query_id", F.array_join("positive_doc_ids", "|").alias("pos"), F.array_join("hard_negative_doc_ids", "|").alias("hard"), F.array_join("easy_negative_doc_ids", "|").alias("easy"))
 
 
+def _unsteady(prompt: str) -> str:
+    """Labels; but a list that starts with a document of an id divisible by 3 is first answered in prose, one divisible by 7
+    always is, and one divisible by 5 is answered with unknown ids alone."""
+    asked, _, again = prompt.partition("\n\nYour answer was:\n")
+    head = int(re.findall(r"\d+", _items(asked)[0][1])[-1])
+    if head % 7 == 0 or (head % 3 == 0 and "is not valid JSON" not in again):
+        return 'Sure: {"annotations": ['
+    return json.dumps([{"id": "77", "score": 1, "classification": "positive"}]) if head % 5 == 0 else "{annotations: %s,}" % _labels(asked)
+
+
+_HEADS = f"{_R}, h AS (SELECT *, CAST((rank - 1) // 6 AS BIGINT) AS chunk, first_value(doc_id) OVER (PARTITION BY query_id, (rank - 1) // 6 ORDER BY rank) AS head FROM r), o AS (SELECT *, CASE WHEN head % 7 = 0 THEN 'failed' WHEN head % 3 = 0 THEN 'repaired' ELSE 'usable' END AS outcome FROM h)"
+
+
+@query("n08_chunk_outcomes", f"WITH {_HEADS} SELECT query_id, chunk, outcome, CASE WHEN outcome = 'failed' THEN NULL WHEN head % 5 = 0 THEN '' ELSE string_agg(doc_id || '=' || {_CLASS}, '|' ORDER BY rank) END AS labels FROM o GROUP BY query_id, chunk, outcome, head")
+def n08_outcomes(spark, d):
+    chunks = annotate.annotate_chunks(_candidates(spark, d), "Label.", 6, lambda: RuleCompleter(_unsteady))
+    return chunks.select("query_id", "chunk", "outcome", F.array_join(F.transform("annotations", lambda a: F.concat_ws("=", a.doc_id.cast("string"), a.classification)), "|").alias("labels"))
+
+
+@query("n09_query_outcomes", f"WITH {_HEADS} SELECT query_id, count(DISTINCT chunk) AS chunks, count(DISTINCT chunk) FILTER (outcome = 'repaired') AS repaired, count(DISTINCT chunk) FILTER (outcome = 'failed') AS failed, CASE WHEN count(*) FILTER (outcome <> 'failed') > 0 THEN coalesce(string_agg(doc_id, '|' ORDER BY rank) FILTER (outcome <> 'failed' AND head % 5 > 0 AND doc_id % 4 >= 2), '') END AS pos FROM o WHERE rank <= 6 OR query_id % 40 = 0 GROUP BY query_id")
+def n09_outcomes(spark, d):
+    """Null where all chunks failed, an empty list where none of the labels matched. Every second query has one chunk only."""
+    rows = annotate.annotate_queries(_candidates(spark, d).where("rank <= 6 or query_id % 40 = 0"), "Label.", 6, lambda: RuleCompleter(_unsteady))
+    return rows.select("query_id", "chunks", "repaired", "failed", F.array_join("positive_doc_ids", "|").alias("pos"))
+
+
 @query("n10_hidden_ids", f"WITH {_R} SELECT query_id, doc_id, CAST(doc_id % 4 AS INTEGER) AS score, {_CLASS} AS classification FROM r")
 def n10(spark, d):
     return annotate.annotate(_candidates(spark, d), "Label.", 6, lambda: RuleCompleter(_labels), hide_ids=True)
@@ -257,11 +315,11 @@ def l13(spark, d):
     return spark.createDataFrame([(h["attempt"], h["artefact"], h["passed"]) for h in done.history], "attempt int, artefact string, passed boolean")
 
 
-@query("l14_concurrent_calls", "SELECT doc_id, 'd ' || doc_id || '!' AS answer FROM documents")
+@query("l14_concurrent_calls", f"SELECT doc_id, 'd ' || doc_id || ' ' || {_N} AS answer FROM documents")
 def l14(spark, d):
     from ..plans.models import ask
 
-    return ask(_doc_rows(spark, d), "doc", "answer", lambda: RuleCompleter(lambda p: p.split("\n")[0] + "!"), threads=4).select("doc_id", "answer")
+    return ask(_doc_rows(spark, d), "doc", "answer", lambda: RuleCompleter(lambda p: f"{_named(p)[0]} {len(_named(p)[1])}"), threads=4).select("doc_id", "answer")
 
 
 @query("l21_prompted_embeddings", "SELECT item_id, 64 AS dimensions FROM benchmark")

@@ -207,26 +207,28 @@ def f08(spark, d):
     return table(spark, d, "benchmark").select("item_id", repair(F.col("text")).alias("text"))
 
 
-@query("f09_fenced_json", "SELECT event_id, event_type AS k, CAST(user_id AS BIGINT) AS n FROM events")
+@query("f09_fenced_json", "SELECT event_id, event_type || ' ``` ' AS k, CAST(user_id AS BIGINT) AS n FROM events")
 def f09(spark, d):
-    raw = F.format_string('```json\n{"k": "%s", "n": %d}\n```', F.col("event_type"), F.col("user_id"))
-    raw = F.when(F.col("event_id") % 2 == 0, raw).otherwise(F.regexp_replace(raw, "```(json)?", ""))
-    got = table(spark, d, "events").select("event_id", F.from_json(text.fenced_json(raw), "k string, n long").alias("j"))
+    """The fence stands in a value too."""
+    raw = F.format_string('See:\n```json\n{"k": "%s ``` ", "n": %d}\n```', F.col("event_type"), F.col("user_id"))
+    raw = F.when(F.col("event_id") % 2 == 0, raw).otherwise(F.regexp_extract(raw, r"(?s)\{.*\}", 0))
+    got = table(spark, d, "events").select("event_id", text.lenient_json(raw, "k string, n long").alias("j"))
     return got.select("event_id", "j.k", "j.n")
 
 
-@query("f10_last_json_object", """SELECT event_id, CASE WHEN event_id % 3 > 0 THEN '{n: ' || user_id || ', ''b'': [1,],}' END AS found FROM events""")
+@query("f10_last_json_object", """SELECT event_id, CASE WHEN event_id % 3 > 0 THEN '{n: ' || user_id || ', ''b'': ["[1,]",], /* ,] */}' END AS found FROM events""")
 def f10(spark, d):
     from ..functions.nested import last_object
 
-    raw = F.concat(F.format_string("{\"a\": {\"b\": 1}} then {n: %d, 'b': [1,],} done", F.col("user_id")), F.when(F.col("event_id") % 3 == 0, "}").otherwise(""))
+    raw = F.concat(F.format_string("{\"a\": {\"b\": 1}} then {n: %d, 'b': [\"[1,]\",], /* ,] */} done", F.col("user_id")), F.when(F.col("event_id") % 3 == 0, "}").otherwise(""))
     return table(spark, d, "events").select("event_id", last_object(raw).alias("found"))
 
 
-@query("f11_lenient_json", "SELECT event_id, event_type AS k, CAST(user_id AS BIGINT) AS n FROM events")
+@query("f11_lenient_json", "SELECT event_id, event_type || ' [1,] // /* {a,} \"' AS k, CAST(user_id AS BIGINT) AS n, 31 AS h FROM events")
 def f11(spark, d):
-    raw = F.format_string("{'k': '%s', /* note */ n: %d, }", F.col("event_type"), F.col("user_id"))
-    return table(spark, d, "events").select("event_id", text.lenient_json(raw, "k string, n long").alias("j")).select("event_id", "j.k", "j.n")
+    """What looks like structure inside a string stays; keys, numbers and comments outside are read."""
+    raw = F.format_string("{'k': '%s [1,] // /* {a,} \"', /* note */ n: +%d, // end\n h: 0x1F, }", F.col("event_type"), F.col("user_id"))
+    return table(spark, d, "events").select("event_id", text.lenient_json(raw, "k string, n long, h int").alias("j")).select("event_id", "j.k", "j.n", "j.h")
 
 
 @query("f12_chars", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents")

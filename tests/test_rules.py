@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import statistics as py
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -13,9 +15,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions import labels, nested, plans, text
+from corvane.functions import json5, labels, nested, plans, text
 from corvane.operators import agreement, evaluation, export, mining, relational, sampling, statistics, vectors
-from corvane.plans import annotate, calibrate, checks, models
+from corvane.plans import annotate, calibrate, checks, models, planning
 from corvane.plans.models import HashEmbedder, RuleCompleter, ask, embed
 from corvane.queries import ORACLE_SQL, QUERIES
 from corvane.sources import readers, sinks
@@ -66,10 +68,107 @@ def test_case_folding(spark):
     assert got == [x.casefold() for x in raw]
 
 
+#: JSON5 texts and their values; None where there is none.
+JSON5 = [
+    ('{"query": "is [1,2,] a list, }"}', {"query": "is [1,2,] a list, }"}),
+    ("{'q': 'say \\'no\\', // not a comment'}", {"q": "say 'no', // not a comment"}),
+    ("{'q': \"/* not a comment */\"}", {"q": "/* not a comment */"}),
+    ("{a: 1, /* c */ b: [2,], // d\n}", {"a": 1, "b": [2]}),
+    ("/* a */ [1] // b", [1]),
+    ("// only\n{}", {}),
+    ("/* ** / */1", 1),
+    ("[1,2,]", [1, 2]),
+    ("{a: {b: {},},}", {"a": {"b": {}}}),
+    ("[[],[[]],]", [[], [[]]]),
+    ("[,]", None),
+    ("[1,,2]", None),
+    ("{,}", None),
+    ("{a: 1 b: 2}", None),
+    ("{a}", None),
+    ("[1", None),
+    ("{", None),
+    ("", None),
+    ("  ", None),
+    ("1 2", None),
+    ("/* open", None),
+    ("0x1F", 31),
+    ("-0XaB", -171),
+    ("0x", None),
+    ("+1", 1),
+    ("+-1", None),
+    (".5", 0.5),
+    ("-.5e1", -5.0),
+    ("5.", 5.0),
+    ("1e3", 1000.0),
+    ("1E-2", 0.01),
+    (".", None),
+    ("01", None),
+    ("1_000", None),
+    ("12345678901234567890", 12345678901234567890),
+    ("[Infinity, -Infinity, +Infinity]", [float("inf"), float("-inf"), float("inf")]),
+    ("true", True),
+    ("[false, null]", [False, None]),
+    ("True", None),
+    ("nul", None),
+    ("undefined", None),
+    ("'single'", "single"),
+    ("'\"'", '"'),
+    ('"\'"', "'"),
+    ('"a\\\nb"', "ab"),
+    ('"a\\\r\nb"', "ab"),
+    ('"a\nb"', None),
+    ("'open", None),
+    ('"open', None),
+    ('"\\x41\\u0042\\0"', "AB\0"),
+    ('"\\b\\f\\n\\r\\t\\v\\\\\\/"', "\b\f\n\r\t\v\\/"),
+    ('"\\q\\-"', "q-"),
+    ('"\\01"', None),
+    ('"\\1"', None),
+    ('"\\x4"', None),
+    ('"\\u12"', None),
+    ('"\\ud83d\\ude00"', "\U0001f600"),
+    ("'\\ud83d'", "\ufffd"),
+    ("{$a_1: 1, \\u0062: 2, ñ: 3}", {"$a_1": 1, "b": 2, "ñ": 3}),
+    ("{1a: 1}", None),
+    ("{'a': 1, a: 2}", {"a": 2}),
+    ("\ufeff\u00a0\u3000{}", {}),
+    ("'\u2028'", "\u2028"),
+    ("[" * 500 + "]" * 500, "deep"),
+    ("```json\n{'a': [1,],}\n```", {"a": [1]}),
+    ("```\n[1]\n```", [1]),
+    ("Sure:\n```json\n{\"a\": \"```\"}\n``` done", {"a": "```"}),
+    ('{"a": "```json 1```"}', {"a": "```json 1```"}),
+    ("```\nnot this\n``` but ```json5\n{b: 2}\n```", {"b": 2}),
+    ("```json\n{a: 1} more\n```", None),
+    ("no value", None),
+]
+
+
+def test_json5_texts(spark):
+    assert len(JSON5) > 60
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(JSON5)] + [(-1, None)], "i int, t string").repartition(3)
+    got = {r.i: (r.s, r.p) for r in rows.select("i", json5.strict_json(F.col("t")).alias("s"), json5.json_problem(F.col("t")).alias("p")).collect()}
+    assert got[-1] == (None, "no answer")
+    for i, (t, value) in enumerate(JSON5):
+        strict, problem = got[i]
+        if value == "deep":
+            assert json.loads(strict)
+        elif value is None and t != "null":
+            assert (t, strict) == (t, None)
+            assert problem
+        else:
+            assert (t, json.loads(strict)) == (t, value)
+            assert problem is None
+
+
 def test_lenient_json(spark):
-    raw = "```json\n{'a': 1, /* c */ b: ['x', 'y',],}\n```"
+    raw = "```json\n{'a': 1, /* c */ b: ['x ,]', 'y // z',],}\n```"
     got = one(spark, text.lenient_json(F.lit(raw), "a int, b array<string>"))
-    assert (got.a, got.b) == (1, ["x", "y"])
+    assert (got.a, got.b) == (1, ["x ,]", "y // z"])
+
+
+def test_strict_json_stays_as_it_is(spark):
+    assert one(spark, json5.strict_json(F.lit('{"a":   "[1,]"}'))) == '{"a":   "[1,]"}'
 
 
 @pytest.mark.parametrize(("raw", "found"), [('x {"a": {"b": 1}}', '{"a": {"b": 1}}'), ('{"a": 1} {"b": 2} }', None), ('{"a": 1} {b: [2,],} {', "{b: [2,],}"), ("none", None), (None, None), ('{"a": 1', None)])
@@ -320,7 +419,7 @@ def test_whole_texts_reach_the_model(spark, duck, tmp_path, monkeypatch, name):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows.write.parquet(f"{tmp_path}/documents.parquet")
     prompts = []
-    for module in (annotate, models):
+    for module in (annotate, models, planning):
         real = module.ask
         monkeypatch.setattr(module, "ask", lambda df, prompt, *a, real=real, **b: (prompts.append(df.select(prompt)), real(df, prompt, *a, **b))[1])
     same(QUERIES[name](spark, str(tmp_path)), duck.sql(f"WITH documents AS (SELECT * FROM '{tmp_path}/documents.parquet/*.parquet') {ORACLE_SQL[name]}").to_arrow_table())
@@ -353,10 +452,12 @@ def test_each_prompt_is_sent_once(spark, data, tmp_path):
     from corvane.queries import model_calls as m
 
     docs = annotate.generate_attributes(m._doc_rows(spark, str(tmp_path)), "Find.", lambda: RuleCompleter(m._attributes))
-    annotate.generate_queries(docs, "Write.", 4, counted(m._writer)).collect()
+    planning.generate_queries(docs, "Write.", 3, counted(m._writer)).collect()
     prompts = sent()
-    assert len(prompts) == len(set(prompts)) > 80
-    passed, judged = annotate.filter_documents(m._doc_rows(spark, str(tmp_path)), "Score.", 7, counted(m._by_name))
+    assert len(prompts) == len(set(prompts))
+    rounds = Counter(p.split(":")[0] for p in prompts)
+    assert rounds == {"plan 3": 40, "plan 2": 40, "plan 1": 40, "write 0": 40, "write 1": 40}
+    passed, judged = annotate.filter_documents(m._doc_rows(spark, str(tmp_path)), "Score.", 7, counted(m._by_text))
     assert 0 < passed.count() < judged.count() == 40
     assert len(sent()) == 6
 
@@ -485,6 +586,104 @@ def test_made_up_ids_drop_out(spark):
     assert seen == []
 
 
+def candidates(spark, per_query):
+    return spark.createDataFrame([(q, f"query {q}", i, f"doc {i}", i + 1) for q, n in per_query.items() for i in range(n)], "query_id long, query string, doc_id long, doc string, rank int")
+
+
+def test_answers_are_usable_repaired_or_failed(spark):
+    """Chunks of two. Query 1: fine, prose at first, prose always. Query 2: prose always. Query 3: labels nothing. Query 4: the
+    call fails. The second prompt carries the first answer and what is wrong with it."""
+
+    def rule(prompt):
+        asked, _, again = prompt.partition("Your answer was:")
+        label = json.dumps({"annotations": [{"doc_id": "0", "score": "3", "classification": "Positive"}, {"id": 1, "score": 0, "classification": "easy negative", "reasoning": "r"}]})
+        if "query 2" in asked or "doc 4" in asked:
+            return "no idea"
+        if "query 3" in asked:
+            return '{"annotations": [{"id": "9", "score": 1}]}'
+        if "query 4" in asked:
+            raise OSError("down")
+        if "doc 2" in asked and not again:
+            return "{annotations: [}"
+        if again:
+            assert "{annotations: [}" in again
+            assert "unexpected '}'" in again
+        return label
+
+    rows = candidates(spark, {1: 6, 2: 4, 3: 2, 4: 2})
+    chunks = {(r.query_id, r.chunk): r for r in annotate.annotate_chunks(rows, "Label", 2, lambda: RuleCompleter(rule)).collect()}
+    assert {k: r.outcome for k, r in chunks.items()} == {(1, 0): "usable", (1, 1): "repaired", (1, 2): "failed", (2, 0): "failed", (2, 1): "failed", (3, 0): "usable", (4, 0): "failed"}
+    assert [(a.doc_id, a.score, a.classification, a.reasoning) for a in chunks[1, 1].annotations] == [(2, 3, "positive", None), (3, 0, "easy_negative", "r")]
+    assert chunks[4, 0].problem == "no answer"
+    assert chunks[3, 0].annotations == []
+    got = {r.query_id: (r.chunks, r.repaired, r.failed, r.positive_doc_ids, r.easy_negative_doc_ids) for r in annotate.annotate_queries(rows, "Label", 2, lambda: RuleCompleter(rule)).collect()}
+    assert got == {1: (3, 1, 1, ["0", "2"], ["1", "3"]), 2: (2, 0, 2, None, None), 3: (1, 0, 0, [], []), 4: (1, 0, 1, None, None)}
+    once = annotate.annotate_chunks(rows, "Label", 2, lambda: RuleCompleter(rule), retries=0).where("query_id = 1 and chunk = 1").first()
+    assert (once.outcome, once.annotations) == ("failed", None)
+
+
+def test_hidden_ids_take_any_form(spark):
+    forms = ['{"score": 2, "classification": "positive"}', '[{"score": 2, "classification": "positive"}]', '{"annotations": [{"doc_id": "x", "score": 2, "classification": "positive"}]}']
+    got = annotate.annotate(candidates(spark, {1: 3}), "Label", 9, lambda: RuleCompleter(lambda p: forms[int(p[-1])]), hide_ids=True).collect()
+    assert sorted((r.doc_id, r.score, r.classification) for r in got) == [(i, 2, "positive") for i in range(3)]
+
+
+def test_repeated_ids_are_judged_each(spark):
+    """Ids that repeat, with equal and other texts, and ids that are null: as many rows as went in, each text in one prompt."""
+    rows = [(1, "a 1"), (1, "a 1"), (1, "b 2"), (None, "c 3"), (None, "c 3"), (None, None), (2, "a 1")]
+    seen = []
+
+    def rule(prompt):
+        items = re.findall(r"^\[(\d+)\] (.*)$", prompt, re.M)
+        assert len(items) == len({n for n, _ in items}) == 5
+        return json.dumps([{"id": n, "score": int(t[-1:] or 0)} for n, t in items])
+
+    docs = spark.createDataFrame(rows, "doc_id long, doc string").repartition(3)
+    got = annotate.filter_documents(docs, "Score", 10, lambda: RuleCompleter(rule))[1].collect()
+    assert sorted(((r.doc_id, r.doc, r.score) for r in got), key=str) == sorted(((i, t, int(t[-1]) if t else 0) for i, t in rows), key=str)
+    assert seen == []
+    queries = spark.createDataFrame([(1, 0, "q 3"), (1, 0, "q 3"), (1, 0, "r 1"), (None, 0, "s 2"), (2, 0, "t 3")], "doc_id long, query_pos int, query string")
+    passed, every = annotate.filter_queries(queries, "Score", 10, lambda: RuleCompleter(lambda p: json.dumps([{"id": n, "score": int(t[-1])} for n, t in re.findall(r"^\[(\d+)\] (.*)$", p, re.M)])))
+    assert every.count() == 5
+    assert sorted((r.query for r in passed.collect())) == ["q 3", "q 3", "s 2", "t 3"]
+
+
+def test_planning_goes_on_until_the_target(spark, tmp_path):
+    """One document reaches its number in a round, one in three, one never; chunks hold at most two plans; what is missing is
+    asked for again, once."""
+    options = [f"o{i}" for i in range(9)]
+    docs = spark.createDataFrame([(1, "fast"), (2, "slow"), (3, "poor"), (3, "fast"), (4, "none")], "doc_id long, doc string")
+    listed = F.array(F.struct(F.lit("size").alias("dimension"), F.array(*map(F.lit, options)).alias("options")))
+    ids = F.array(F.struct(F.lit("t").alias("type"), F.lit("x").alias("identifier"), F.lit("x").alias("label")))
+    docs = docs.withColumn("identifiers", F.when(F.col("doc") != "none", ids).otherwise(F.array().cast("array<struct<type: string, identifier: string, label: string>>"))).withColumn("attributes", listed)
+    log = f"{tmp_path}/log"
+
+    def rule(prompt):
+        first, doc, rest = prompt.split("\n", 2)
+        used = lambda text: re.findall(r'"size":"(o\d)"', text)
+        with open(log, "a") as f:
+            f.write(f"{first.split(':')[0]} {doc} {len(used(rest.split('plans: ')[-1])) if first.startswith('write') else len(used(rest.split('planned: ')[-1]))}\n")
+        plan = lambda o: {"used_identifier": ["x"], "used_attributes": {"size": o}}
+        if first.startswith("plan"):
+            have, wanted = used(rest.split("planned: ")[1]), int(first.split()[1].rstrip(":"))
+            new = [o for o in options if o not in have]
+            return json.dumps({"plans": [plan(o) for o in have + new[: {"fast": 9, "slow": 2, "poor": int(not have)}[doc]]] + [plan("o99")] * wanted})
+        asked = used(rest.split("plans: ")[1])
+        return json.dumps({"queries": [{"query": f" {doc} {o} ", **plan(o)} for o in asked + ["o8"] if not (o == "o1" and first.startswith("write 0")) and not (o == "o2" and doc == "slow")]})
+
+    got = planning.generate_queries(docs.coalesce(1), "Go", 5, lambda: RuleCompleter(rule), chunk=2).collect()
+    found = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.doc_id, r.query.split()[0], r.query_pos)):
+        found[r.doc_id, r.query.split()[0]].append(r.query.split()[1])
+    assert found == {(1, "fast"): ["o0", "o2", "o3", "o4", "o1"], (2, "slow"): ["o0", "o3", "o4", "o1"], (3, "poor"): ["o0"], (3, "fast"): ["o0", "o2", "o3", "o4", "o1"]}
+    lines = Counter(open(log).read().split("\n")[:-1])
+    assert lines["plan 5 fast 0"] == 2
+    assert [lines[f"plan {5 - n} slow {n}"] for n in (0, 2, 4)] == [1, 1, 1]
+    assert (lines["plan 5 poor 0"], lines["plan 4 poor 1"]) == (1, 2)
+    assert (lines["write 0 fast 2"], lines["write 0 fast 1"], lines["write 1 fast 1"], lines["write 1 slow 2"]) == (4, 2, 2, 1)
+    assert not any("none" in x for x in lines)
+
+
 def test_embeddings_are_unit_vectors(spark):
     got = embed(spark.createDataFrame([("a b",), ("",)], "t string"), "t", HashEmbedder).collect()
     assert np.linalg.norm(got[0].embedding) == pytest.approx(1)
