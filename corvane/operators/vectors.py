@@ -215,28 +215,6 @@ def cell_parameters(n: Column) -> list[Column]:
     return [cells.alias("cells"), F.greatest(F.lit(8), F.floor(F.sqrt(cells))).cast("long").alias("probes"), F.least(256 * cells, n).cast("long").alias("training_rows")]
 
 
-def _probe_block(batches: Iterator[pa.RecordBatch], sent, k: int, centres: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
-    """The best k of a partition for each query of the block, among rows whose cell the query probes."""
-    ids, queries = sent.value
-    probed = np.zeros((len(ids), len(centres)), bool)
-    np.put_along_axis(probed, np.argsort(-(queries @ centres.T), axis=1, kind="stable")[:, :probes], True, 1)
-    best_id, best = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -np.inf)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        docs, m = batch.column("doc_id").to_numpy(), _matrix(batch.column("embedding"))
-        own = (m @ centres.T).argmax(1)
-        for c in np.unique(own):
-            at, here = np.flatnonzero(probed[:, c]), own == c
-            score = queries[at] @ m[here].T
-            all_id, every = np.concatenate([best_id[at], np.broadcast_to(docs[here], score.shape)], 1), np.concatenate([best[at], score], 1)
-            order = np.lexsort((all_id, -every), axis=1)[:, :k]
-            best_id[at], best[at] = np.take_along_axis(all_id, order, 1), np.take_along_axis(every, order, 1)
-    q, i = np.nonzero(best > -np.inf)
-    if len(q):
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_id[q, i]), pa.array(best[q, i])], ["query_id", "doc_id", "score"])
-
-
 def cells(corpus: DataFrame, n_cells: int, sample: int = 20_000, seed: int = 42, rounds: int = 10) -> np.ndarray:
     """Centres by spherical k-means on a bounded sample of at most ``sample`` rows."""
     rows = corpus.orderBy(priority(seed), "doc_id").limit(sample).select("embedding").toArrow().combine_chunks()
@@ -265,12 +243,6 @@ def probes_for(queries: DataFrame, corpus: DataFrame, k: int, centres: np.ndarra
     return min(len(centres), max(least, int(place[int(np.ceil(recall * len(place))) - 1])))
 
 
-def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int, centres: np.ndarray, probes: int) -> DataFrame:
-    """Top-k among documents of the probed cells only, as ``dense_top_k`` gives them. Every document is indexed, in its
-    nearest cell; ``probes_for`` gives the probes that a recall takes."""
-    return _ranked(queries, corpus, k, partial(_probe_block, k=k, centres=centres, probes=probes))
-
-
 def missing_vectors(rows: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
     """Ids without a vector; a complete table gives none."""
     return rows.select(key).distinct().join(corpus.select(key), key, "left_anti")

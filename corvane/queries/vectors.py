@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import vectors
+from ..operators import index, vectors
+from ..plans.models import HashEmbedder
+from ..session import folder
+from ..streaming import index_build
 from . import fixtures
 from .registry import query, table
 
@@ -36,6 +39,43 @@ def v02(spark, d):
     return numbered(_corpus(spark, d).select("doc_id"), ["doc_id"], "n").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("n") - 1).alias("pos"))
 
 
+class _Fussy(HashEmbedder):
+    """A model that breaks off at a text of over 9,000 characters."""
+
+    def embed(self, texts):
+        if any(len(t) > 9_000 for t in texts):
+            raise ValueError("text too long")
+        return super().embed(texts)
+
+
+_STREAM = "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN ' ' ELSE text END AS doc FROM documents), f AS (SELECT *, CASE WHEN doc IS NULL OR trim(doc) = '' THEN 'no text' WHEN length(doc) > 9000 THEN 'text too long' END AS reason FROM d)"
+
+
+def _streamed(spark, d):
+    """Two drops of files: even ids, then odd ones."""
+    base = folder(spark, "index-stream")
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 17 == 0, F.lit(None)).when(F.col("doc_id") % 19 == 0, " ").otherwise(F.col("text")).alias("doc"))
+    for odd in (0, 1):
+        rows.where(F.col("doc_id").cast("long") % 2 == odd).write.mode("append").parquet(f"{base}/in")
+        index_build.build_index(spark, f"{base}/in", "doc_id string, doc string", f"{base}/out", _Fussy, files=1000)
+    return f"{base}/out"
+
+
+@query("v02_streamed_index", f"{_STREAM} SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_number() OVER (ORDER BY doc_id % 2, CAST(doc_id AS VARCHAR)) - 1 AS pos, 64 AS dimensions FROM f WHERE reason IS NULL")
+def v02_streamed(spark, d):
+    return index_build.read_index(spark, _streamed(spark, d)).select("doc_id", "pos", F.size("embedding").alias("dimensions"))
+
+
+@query("v02_rejected_rows", f"{_STREAM} SELECT CAST(doc_id AS VARCHAR) AS doc_id, reason FROM f WHERE reason IS NOT NULL")
+def v02_rejects(spark, d):
+    return index_build.read_rejects(spark, _streamed(spark, d)).select("doc_id", F.regexp_extract("reason", "no text|text too long", 0).alias("reason"))
+
+
+@query("v02_cursor", f"{_STREAM} SELECT count(*) AS lines, count(*) FILTER (reason IS NULL) AS indexed, count(*) FILTER (reason IS NOT NULL) AS rejected, 0 AS streak FROM f")
+def v02_cursor(spark, d):
+    return index_build.read_cursor(spark, _streamed(spark, d)).select("lines", "indexed", "rejected", "streak")
+
+
 _GREEDY = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) AS n FROM embeddings),
 near AS (SELECT a.n AS u, list(b.n) AS vs FROM v a JOIN v b ON a.n < b.n WHERE list_inner_product(a.e, b.e) > 0.3 GROUP BY 1),
@@ -61,12 +101,29 @@ def v04(spark, d):
     return sizes.select("n", *vectors.cell_parameters(F.col("n")))
 
 
+def _index(spark, d):
+    """An inverted file of four fifths of the vectors, to which the whole table is then appended."""
+    path, corpus = folder(spark, "index"), _corpus(spark, d)
+    index.build(corpus.where("doc_id % 5 > 0"), path)
+    index.append(corpus, path)
+    return path
+
+
 @query("v05_approximate_top_k", None)
 def v05(spark, d):
-    queries, corpus = fixtures.vector_sides(spark, d)[0], _corpus(spark, d)
-    sizes = corpus.agg(F.count("*").alias("n")).select(*vectors.cell_parameters(F.col("n"))).first()
-    centres = vectors.cells(corpus, sizes.cells)
-    return vectors.approximate_top_k(queries, corpus, 10, centres, vectors.probes_for(queries, corpus, 10, centres, sizes.probes))
+    return index.search(fixtures.vector_sides(spark, d)[0], _index(spark, d), 10)
+
+
+@query("v05_all_cells", f"WITH {fixtures.retrieved_sql(10)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r")
+def v05_all(spark, d):
+    """With all cells probed the index gives the exact answer, so it holds every row."""
+    path = _index(spark, d)
+    return index.search(fixtures.vector_sides(spark, d)[0], path, 10, probes=spark.read.parquet(f"{path}/centres").count()).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("v05_indexed_rows", "SELECT vec_id AS doc_id FROM embeddings")
+def v05_rows(spark, d):
+    return index.stored_vectors(spark, _index(spark, d)).select("doc_id")
 
 
 @query("v06_all_neighbours", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS doc_id, count(*) AS n FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) > 0.3 GROUP BY 1")

@@ -40,14 +40,23 @@ def _clear(spark: SparkSession, folder: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share; it goes when the process ends."""
+    top = f"{ensure_checkpoints(spark).rstrip('/')}/stored/{spark.sparkContext.applicationId}"
+    if top not in _folders:
+        _folders.add(top)
+        atexit.register(_clear, spark, top)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df``, computed once: written to the shared folder and read back, so that lineage ends here. (A checkpoint computes
     its last stage twice.) The table goes when the process ends."""
-    spark = df.sparkSession
-    folder = f"{ensure_checkpoints(spark).rstrip('/')}/stored/{spark.sparkContext.applicationId}"
-    if folder not in _folders:
-        _folders.add(folder)
-        atexit.register(_clear, spark, folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
