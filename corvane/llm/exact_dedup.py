@@ -6,7 +6,8 @@ they are shuffled, so a digest that holds a third of all rows costs one row per
 ``state`` a folder and later runs add only new rows to it; each answers for its own rows against all that came before.
 
 A digest only proposes. On hits, digests that more than one row has, the whole normalised texts are compared: those of
-this run, and, fetched through the retained locators, those that the state keeps from earlier runs. They are grouped by
+this run, and, fetched through its locator, the first text that the state has met under the digest, if that was in an
+earlier run; the texts of earlier runs were compared with it then. They are grouped by
 (digest, text), again combined before the shuffle. Where a digest stands for one text, as it does unless it collides, the
 state's answer holds; otherwise all its rows, earlier ones by their locators, are regrouped by text.
 
@@ -16,11 +17,15 @@ doc_id share its answer, also ``kept``; ``distinct_documents`` keeps one of them
 few at a time, so the longest text bounds its memory. An empty table gives an empty result. Other columns are ignored,
 whatever their names.
 
-With ``state``, earlier tables must still be where they were read from, unchanged, and every table must come from files.
+With ``state``, earlier tables must still be where they were read from, unchanged, and every table must come from files;
+one that does not is refused before anything is written. A run reads what its own rows changed in the state, not the
+changes of earlier runs, and of earlier tables only the files that hold hits, ``FILES`` at a time. Only digests that are known
+to stand for several texts make it look through the rows of all runs.
 """
 
 from __future__ import annotations
 
+from itertools import islice
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
@@ -38,6 +43,8 @@ STATE = {
 }
 #: Bytes of narrow rows that one micro-batch takes in.
 BATCH_BYTES = 4_000_000_000
+#: Files of earlier tables that are read at a time.
+FILES = 10_000
 
 
 def normalised(text: Column) -> Column:
@@ -49,12 +56,20 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text), 256))
 
 
+def _in_files(docs: DataFrame) -> bool:
+    """Whether rows can be found again by file and place."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 def _located(docs: DataFrame, columns: list[Column]) -> DataFrame:
     """``columns`` and the locator: a file and a row in it where the table is read from files, else the doc_id."""
-    try:
+    if _in_files(docs):
         return docs.select(*columns, F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")).alias("locator"))
-    except AnalysisException:
-        return docs.select(*columns, F.concat(F.lit("doc:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("locator"))
+    return docs.select(*columns, F.concat(F.lit("doc:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("locator"))
 
 
 def _narrow(digest_of) -> list[Column]:
@@ -70,20 +85,20 @@ def _whole(digest_of) -> list[Column]:
     return [*_narrow(digest_of)[:3], normalised(F.col("text")).alias("whole"), F.xxhash64("text").alias("text_key")]
 
 
-#: Rows of the stream, and what its state says of a digest.
-ROW = "doc_id long, digest binary, n_chars long, text_key long, locator string"
-GROUP = "digest binary, best struct<shorter: long, unnamed: boolean, doc_id: long, locator: string>, size long"
+#: Rows of the stream, and what its state says of a digest; ``first`` is a row of the first run that had it.
+ROW = "doc_id long, digest binary, n_chars long, text_key long, locator string, turn long"
+GROUP = "digest binary, best struct<shorter: long, unnamed: boolean, doc_id: long, locator: string>, first struct<turn: long, locator: string>, size long"
 
 
-def stream_groups(spark: SparkSession, path: str, state: str) -> DataFrame:
+def stream_groups(spark: SparkSession, path: str, state: str, since: int = 0) -> DataFrame:
     """Run the stream over the narrow rows in and under ``path``; ``state`` keeps checkpoints, keyed state and what changed
-    in each micro-batch. Returns per digest the latest: best, size."""
+    in each micro-batch. Returns per digest that changed in micro-batch ``since`` or later the latest: best, first, size."""
     had = {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
         spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(ROW).option("maxBytesPerTrigger", BATCH_BYTES).option("recursiveFileLookup", "true").parquet(path)
-        grouped = rows.groupBy("digest").agg(F.min(_best()).alias("best"), F.count("*").alias("size"))
+        grouped = rows.groupBy("digest").agg(F.min(_best()).alias("best"), F.min(F.struct("turn", "locator")).alias("first"), F.count("*").alias("size"))
         changed = f"{state}/changed"
 
         def write(batch: DataFrame, n: int) -> None:
@@ -95,8 +110,31 @@ def stream_groups(spark: SparkSession, path: str, state: str) -> DataFrame:
         for k, v in had.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     names = f"{GROUP}, batch long"
-    found = spark.read.schema(names).option("recursiveFileLookup", "true").parquet(changed) if _exists(spark, changed) else spark.createDataFrame([], names)
-    return found.groupBy("digest").agg(F.max_by(F.struct("best", "size"), "batch").alias("now")).select("digest", "now.best", "now.size")
+    parts = [f"{changed}/n={n}" for n in _batches(spark, state) if n >= since]
+    found = spark.read.schema(names).parquet(*parts) if parts else spark.createDataFrame([], names)
+    return found.groupBy("digest").agg(F.max_by(F.struct("best", "first", "size"), "batch").alias("now")).select("digest", "now.best", "now.first", "now.size")
+
+
+def _listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none if it is missing."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+
+
+def _batches(spark: SparkSession, state: str) -> list[int]:
+    """Micro-batches that changed the state, a folder each."""
+    return sorted(int(x[2:]) for x in _listed(spark, f"{state}/changed") if x.startswith("n="))
+
+
+def _begun(spark: SparkSession, state: str, run: str) -> tuple[int, int]:
+    """This run's turn, and the first micro-batch that can hold its rows; kept, so that a repeated call finds them again."""
+    path = f"{state}/runs/{run}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        past = _batches(spark, state)
+        spark.createDataFrame([(len(_listed(spark, f"{state}/runs")), past[-1] + 1 if past else 0)], "turn long, since long").coalesce(1).write.mode("overwrite").parquet(path)
+    row = spark.read.parquet(path).first()
+    return row.turn, row.since
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -106,18 +144,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def _fetched(spark: SparkSession, places: DataFrame, digest_of) -> DataFrame:
     """Rows of earlier tables, by the kept table ``places`` (locator), from the files that hold them, as ``_whole`` has
-    them. What reaches the driver is names of files, as in any listing."""
-    files = [r[0] for r in places.select(F.substring_index("locator", "#", 1)).distinct().collect()]
-    if not files:
-        return spark.createDataFrame([], "doc_id long, digest binary, n_chars long, whole string, text_key long, locator string")
-    return only_keys(_located(spark.read.parquet(*files), _whole(digest_of)), places, ["locator"], 400)
+    them. ``FILES`` names of files are held at a time."""
+    found = spark.createDataFrame([], "doc_id long, digest binary, n_chars long, whole string, text_key long, locator string")
+    names = places.select(F.substring_index("locator", "#", 1).alias("file")).distinct().sort("file").toLocalIterator()
+    while files := [r.file for r in islice(names, FILES)]:
+        found = found.unionByName(keep(only_keys(_located(spark.read.parquet(*files), _whole(digest_of)), places, ["locator"], 400), "exact-fetched"))
+    return found
 
 
 def _earlier(spark: SparkSession, state: str, own: str) -> DataFrame:
     """Narrow rows of the runs before."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/rows")
-    found = [f.getPath().toString() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
-    others = [f for f in found if f.rsplit("/", 1)[1] != own]
+    others = [f"{state}/rows/{x}" for x in _listed(spark, f"{state}/rows") if x != own]
     return spark.read.schema(ROW).parquet(*others) if others else spark.createDataFrame([], ROW)
 
 
@@ -130,12 +167,15 @@ def deduplicate(docs: DataFrame, digest_of=digest, state: str | None = None, run
     repeated under its name and takes its rows in once.
     """
     spark = docs.sparkSession
+    if state and not _in_files(docs):
+        raise ValueError("a state that outlives the run finds texts again by file and row: write the table to files and read it from there")
     state, run = state or new_path(spark, "exact-state"), run or uuid4().hex
-    began = _exists(spark, f"{state}/checkpoint")
+    turn, since = _begun(spark, state, run)
+    began = turn > 0
     if not _exists(spark, f"{state}/rows/{run}/_SUCCESS"):
-        _located(docs, _narrow(digest_of)).write.mode("overwrite").option("compression", "zstd").parquet(f"{state}/rows/{run}")
+        _located(docs, _narrow(digest_of)).withColumn("turn", F.lit(turn).cast("long")).write.mode("overwrite").option("compression", "zstd").parquet(f"{state}/rows/{run}")
     rows = spark.read.schema(ROW).parquet(f"{state}/rows/{run}")
-    groups = stream_groups(spark, f"{state}/rows", state)
+    groups = stream_groups(spark, f"{state}/rows", state, since)
     if began:  # digests of this run only
         groups = groups.join(rows.select("digest").distinct(), "digest", "left_semi")
     groups = keep(groups, "exact-groups")
@@ -145,8 +185,7 @@ def deduplicate(docs: DataFrame, digest_of=digest, state: str | None = None, run
     texts = only_keys(_located(docs, _whole(digest_of)), hit, ["digest"])
     seen = texts.select("digest", "whole")
     if began:
-        before = only_keys(_earlier(spark, state, run), hit, ["digest"])
-        one = keep(before.groupBy("digest").agg(F.min("locator").alias("locator")).select("locator"), "exact-before")
+        one = keep(groups.where((F.col("size") > 1) & (F.col("first.turn") < turn)).select("first.locator"), "exact-before")
         seen = seen.unionByName(_fetched(spark, one, digest_of).select("digest", "whole"))
     different = seen.groupBy("digest", "whole").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     if began and _exists(spark, f"{state}/collided"):  # digests known to stand for several texts
@@ -156,7 +195,7 @@ def deduplicate(docs: DataFrame, digest_of=digest, state: str | None = None, run
     different = spark.read.schema("digest binary").parquet(f"{state}/collided/{run}")
 
     fields = ["doc_id", "text_key", "n_chars", "digest", "best", "size"]
-    answer = rows.drop("locator").join(groups, "digest").select(*fields)
+    answer = rows.drop("locator", "turn").join(groups.drop("first"), "digest").select(*fields)
     if not different.isEmpty():
         apart = keep(only_keys(texts, different, ["digest"]), "exact-apart")
         all_texts = apart

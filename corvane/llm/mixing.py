@@ -73,10 +73,13 @@ def _text_key() -> Column:
 
 def plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: int = 150, cap: int = 2, tilts: Sequence[float] = (-0.5, 0.0, 0.5)) -> DataFrame:
     """Per row of ``docs``: doc_id, text_key, nth (1, 2, ... among rows that repeat both), size, source_size, target, copies
-    (0 to ``cap``), taken (words), positions (of each copy, 0 to 1).
+    (0 to ``cap``), taken (words), positions (of each copy, 0 to 1), shares (of all words in the mix, those that come before each position).
 
-    weights, tilts: of the sources by code point, repeating; a tilt of -1 to 1 moves a source to the start or the end.
+    weights, tilts: of the sources by code point, repeating; a tilt of -1 to 1 moves a source to the start or the end, and
+    one beyond raises.
     """
+    if not all(-1 <= x <= 1 for x in tilts):
+        raise ValueError("a tilt is between -1 and 1, or rates would be negative")
     rows = docs.select(F.col("doc_id").cast("long"), _text_key().alias("text_key"), F.col("source").cast("string"), size_of(F.col("text")).alias("size"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("text_key").cast("string")))
     rows = keep(rows.withColumn("digest", F.md5(name.cast("binary"))), "mix-rows")
@@ -87,7 +90,12 @@ def plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: int = 150
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     begun = parts.withColumn("begun", F.coalesce(F.sum("part_size").over(ahead), F.lit(0))).drop("part_size")
     same = F.col("g.source").eqNullSafe(F.col("b.source"))
-    table = keep(begun.alias("b").join(goal.alias("g"), same).select("b.source", "part", "begun", "source_size", "place", "target"), "mix-table").alias("t")
+    table = keep(begun.alias("b").join(goal.alias("g"), same).select("b.source", "part", "begun", "source_size", "place", "target"), "mix-table")
+    # the demand of all sources up to t is level * t + rise * t**2
+    tilt = F.element_at(F.array(*(F.lit(float(x)) for x in tilts)), F.col("place") % len(tilts) + 1)
+    one = table.groupBy("place").agg(F.max("target").alias("target"))
+    level, rise = (x or 0.0 for x in one.agg(F.sum(F.col("target") * (1 - tilt)), F.sum(F.col("target") * tilt)).first())
+    table = table.alias("t")
     inside = Window.partitionBy("source", "part").orderBy("digest", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     again = Window.partitionBy("source", "part", "digest", "doc_id", "text_key").orderBy("size")
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("nth", F.row_number().over(again)).alias("r")
@@ -97,24 +105,22 @@ def plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), percent: int = 150
     # epoch e of a document begins at before + e * source_size
     epochs = F.array(*(F.col("before") + e * F.col("source_size") for e in range(cap)))
     starts = F.when(F.col("size") > 0, F.filter(epochs, lambda x: x < F.col("target"))).otherwise(F.array().cast("array<bigint>"))
-    tilt = F.element_at(F.array(*(F.lit(float(x)) for x in tilts)), F.col("place") % len(tilts) + 1)
     # D(s, t) = before, solved for t
     when = lambda x: F.when(tilt == 0, x / F.col("target")).otherwise((F.sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * x / F.col("target")) - (1 - tilt)) / (2 * tilt))
     positions = F.transform("starts", when)
     # a document's words are taken at its positions: no position, no words
     placed = placed.withColumn("starts", starts).withColumn("positions", positions)
     copies = F.size("positions").cast("long")
-    return placed.select("doc_id", "text_key", "nth", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "positions")
+    shares = F.transform("positions", lambda t: (level * t + rise * t * t) / ((level + rise) or 1.0))
+    return placed.select("doc_id", "text_key", "nth", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "positions", shares.alias("shares"))
 
 
-def _in_order(rows: DataFrame, position: str, parts: int | None) -> DataFrame:
-    """Range-sorted by position; rows without one are spread over all parts and come last in each.
-
-    Positions are spread over 0 to 1 as the words are, so equal ranges of them make even parts, without a sampling pass.
-    """
+def _in_order(rows: DataFrame, position: str, share: str, parts: int | None) -> DataFrame:
+    """Range-sorted by position, in parts of equal numbers of words, whatever the tilts: a part is a range of the share of
+    words that come before a position, which follows from the schedules, without a sampling pass."""
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = F.least(F.floor(F.col(position) * n), F.lit(n - 1))
-    return rows.repartitionById(n, F.coalesce(own, F.pmod(F.xxhash64("doc_id"), F.lit(n))).cast("int")).sortWithinPartitions(F.col(position).asc_nulls_last(), "doc_id")
+    own = F.least(F.floor(F.col(share) * n), F.lit(n - 1)).cast("int")
+    return rows.repartitionById(n, F.greatest(own, F.lit(0))).sortWithinPartitions(F.col(position).asc_nulls_last(), "doc_id")
 
 
 def schedule(docs: DataFrame, parts: int | None = None, **options) -> DataFrame:
@@ -128,9 +134,10 @@ def schedule(docs: DataFrame, parts: int | None = None, **options) -> DataFrame:
 
 def mix(docs: DataFrame, parts: int | None = None, **options) -> DataFrame:
     """The mixture: rows of ``docs``, as often as they are taken, range-sorted by training position, with ``position``."""
-    position, key, own, mix_id, mix_key, mix_nth = unused(docs, "position", "text_key", "nth", "mix_id", "mix_key", "mix_nth")
+    position, share, key, own, mix_id, mix_key, mix_nth = unused(docs, "position", "share", "text_key", "nth", "mix_id", "mix_key", "mix_nth")
     with scope(docs.sparkSession):
-        copies = plan(docs, **options).select(F.col("doc_id").alias(mix_id), F.col("text_key").alias(mix_key), F.col("nth").alias(mix_nth), F.explode("positions").alias(position))
+        copies = plan(docs, **options).select(F.col("doc_id").alias(mix_id), F.col("text_key").alias(mix_key), F.col("nth").alias(mix_nth), F.explode(F.arrays_zip("positions", "shares")).alias("at"))
+        copies = copies.select(mix_id, mix_key, mix_nth, F.col("at.positions").alias(position), F.col("at.shares").alias(share))
         taken = keep(copies, "mix-taken", outside=True)
     side = F.broadcast(taken) if small(taken) else taken
     rows = docs.withColumn(key, _text_key())
@@ -139,4 +146,4 @@ def mix(docs: DataFrame, parts: int | None = None, **options) -> DataFrame:
         # rows that repeat a document with its text take one place each
         rows = rows.withColumn(own, F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long"), key).orderBy(F.monotonically_increasing_id())))
         same &= F.col(own) == F.col(mix_nth)
-    return _in_order(rows.join(side, same).select(*docs.columns, position), position, parts)
+    return _in_order(rows.join(side, same).select(*docs.columns, position, share), position, share, parts).drop(share)

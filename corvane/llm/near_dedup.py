@@ -7,8 +7,9 @@ sets are candidates when they collide in at least ``matches`` coordinates, so ea
 the prefix without being stored, and a set with too few shared postings is left out whole.
 
 Collisions are counted where a pair first meets: of the prefix postings that both have, the lowest coordinate owns the
-pair, all others skip it, and its owner counts the collisions over all coordinates. Pairs whose members are in one
-component already are skipped too. To have few others, each node is first compared with a centre, the member of a posting
+pair, and all others leave it to that one. Members of a posting are counted by merging, coordinate after coordinate, the
+posting lists among them; members that the coordinates still to come cannot lift to ``matches`` with any other are
+skipped. Pairs whose members are in one component already are left out too. To have few others, each node is first compared with a centre, the member of a posting
 that shares the most coordinates, which it meets most often; a posting whose members are in one component is skipped whole.
 
 No group is expanded into all its pairs. A posting's members are compared in blocks of bounded size. Of each block either
@@ -46,8 +47,9 @@ from .scratch import keep, only_keys, scope, small, unused
 
 #: Nodes on each side of a block, and columns of an incidence matrix that are held at a time.
 BLOCK, COLUMNS = 512, 4096
-#: Nodes on each side of a block of signatures, pairs that are compared at a time, and pairs a member from which a block is dense.
-SIGNS, PAIRS, SPARSE = 2048, 1 << 16, 16
+#: Nodes on each side of a block of signatures, pairs that are counted at a time, pairs a member from which a block is dense,
+#: and values up to which a block is compared as it stands.
+SIGNS, PAIRS, SPARSE, DIRECT = 2048, 1 << 21, 16, 1 << 20
 #: Rows of small postings that are compared in one call.
 BATCH = 4096
 #: Ids of texts that repeat another text's doc_id lie above all doc_ids.
@@ -157,6 +159,43 @@ def _tree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = least
 
 
+def _merge(count: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Adds 1 for each pair of members that are posted under one value: the lists of a coordinate, merged by value."""
+    order = np.argsort(right, kind="stable")
+    low, high = (np.searchsorted(right[order], left, side) for side in ("left", "right"))
+    held = high - low
+    if 16 * held.sum() > count.size:  # long lists: as a product
+        count += left[:, None] == right[None]
+        return
+    x = np.repeat(np.arange(len(left)), held)
+    y = order[np.arange(len(x)) - np.repeat(np.cumsum(held) - held - low, held)]
+    count[x, y] += 1
+
+
+def _collisions(a: np.ndarray, b: np.ndarray, sign: np.ndarray, matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of ``a`` and ``b`` whose signatures agree in ``matches`` coordinates or more.
+
+    Coordinate after coordinate, the posting lists of both sides are merged and collisions counted. Once the coordinates that
+    are left cannot lift every pair to the threshold, members that are in reach of none are skipped.
+    """
+    n = sign.shape[1]
+    if len(a) * len(b) * n <= DIRECT:
+        x, y = np.nonzero(np.count_nonzero(sign[a][:, None] == sign[b][None], axis=2) >= matches)
+        return a[x], b[y]
+    count = np.zeros((len(a), len(b)), np.uint8)
+    for c in range(n):
+        if c > n - matches:
+            reach = count >= matches - (n - c)
+            rows, columns = reach.any(1), reach.any(0)
+            if not rows.any():
+                return a[:0], b[:0]
+            if 2 * rows.sum() * columns.sum() < count.size:
+                a, b, count = a[rows], b[columns], count[np.ix_(rows, columns)]
+        _merge(count, sign[a, c], sign[b, c])
+    x, y = np.nonzero(count >= matches)
+    return a[x], b[y]
+
+
 def _retained(a: np.ndarray, b: np.ndarray, rows: dict[str, np.ndarray], matches: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of left rows ``a`` and right rows ``b`` that this posting owns and whose signatures collide often enough."""
     node, home, main, sign, prefix = (rows[x] for x in ("node", "home", "main", "sign", "prefix"))
@@ -164,7 +203,7 @@ def _retained(a: np.ndarray, b: np.ndarray, rows: dict[str, np.ndarray], matches
     out = []
     step = max(1, PAIRS // len(b))
     for i in range(0, len(a), step):
-        x, y = np.repeat(a[i : i + step], len(b)), np.tile(b, len(a[i : i + step]))
+        x, y = _collisions(a[i : i + step], b, sign, matches)
         # in one component already, or met from the other side
         new = (home[x] != home[y]) & ((home[y] == main[y]) | (node[x] < node[y]))
         x, y = x[new], y[new]
@@ -173,8 +212,7 @@ def _retained(a: np.ndarray, b: np.ndarray, rows: dict[str, np.ndarray], matches
         for c in np.flatnonzero([(int(np.bitwise_or.reduce(below)) >> c) & 1 for c in range(int(own))]) if len(below) else []:
             meets = ((below >> np.uint64(c)) & np.uint64(1)).astype(bool) & (sign[x, c] == sign[y, c])
             x, y, below = x[~meets], y[~meets], below[~meets]
-        enough = np.count_nonzero(sign[x] == sign[y], axis=1) >= matches if len(x) else np.zeros(0, bool)
-        out.append((node[x[enough]], node[y[enough]]))
+        out.append((node[x], node[y]))
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
@@ -225,8 +263,7 @@ def _counted(mixed: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
     members = members.join(nodes.select("node", "sign"), "node").selectExpr(
         "node",
         "home",
-        # enough to count collisions by; the posting keys have all bits
-        "transform(sign, x -> cast(shiftright(x, 32) as int)) AS sign",
+        "sign",
         f"aggregate(postings, 0L, (m, x) -> m | shiftleft(1L, {place})) AS prefix",
         f"explode(transform(postings, x -> struct(x AS posting, {place} AS coordinate))) AS p",
     )
@@ -303,8 +340,7 @@ def _nodes(signed: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 64, matches: int = 32, seed: int = 1) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links), links (of its class
-    of equal sets, as found; links inside a component need not all be looked for), kept.
+    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
     size: words in a shingle. percent: least 100 * intersection / union. coordinates, matches: see the module.
     """
@@ -330,7 +366,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     links = keep(_confirmed(near, _full_sets(docs, nodes, _ends(near), size, "near-first"), percent), "near-links")
 
     # what is left: members outside the largest component of a posting, and members of other components
-    mixed = _mixed(prefix, components(links, "a", "b"), "near")
+    stars = components(links, "a", "b")
+    mixed = _mixed(prefix, stars, "near")
     sets = _full_sets(docs, nodes, mixed, size, "near-mixed")
     # shingles that no other of these nodes has cannot be shared
     alone = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last").groupBy("node").agg(F.count("*").alias("alone"))
@@ -343,14 +380,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
         more = more.unionByName(_linked_in_blocks(trees, mixed.select("node", "home").distinct(), sets, percent))
     more = keep(more, "near-more")
 
-    links = links.unionByName(more).distinct()
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    # texts of one document are one
-    found = components(links.unionByName(nodes.where("node <> doc").select(F.col("doc").alias("a"), F.col("node").alias("b"))), "a", "b")
-    classes = nodes.select("mark", "node").join(found, F.col("node") == F.col("member"), "left").join(degree, "node", "left").select("mark", F.coalesce("component", "node").alias("component"), "links")
+    # texts of one document are one; what is connected already enters as stars
+    joined = stars.select(F.col("member").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(nodes.where("node <> doc").select(F.col("doc").alias("a"), F.col("node").alias("b")))
+    found = components(joined, "a", "b")
+    classes = nodes.select("mark", "node").join(found, F.col("node") == F.col("member"), "left").select("mark", F.coalesce("component", "node").alias("component"))
     placed = signed.drop("sign").join(classes, "mark", "left")
     least = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return placed.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
+    return placed.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:

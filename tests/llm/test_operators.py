@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -178,6 +179,24 @@ def test_mix_follows_targets_and_positions(spark):
             before += size
 
 
+@pytest.mark.parametrize("tilts", [(-1.0, -1.0), (1.0, 0.5), (-0.5, 0.0), (0.0,)])
+def test_parts_have_equal_numbers_of_words(spark, tilts):
+    rng = random.Random(5)
+    docs = frame(spark, [(i, "w " * rng.randrange(1, 9), rng.choice("aab")) for i in range(3000)])
+    mixed = mixing.mix(docs, parts=8, tilts=tilts).select("position", F.spark_partition_id().alias("part"), mixing.size_of(F.col("text")).alias("size")).collect()
+    words = Counter()
+    for r in mixed:
+        words[r.part] += r["size"]
+    assert len(words) == 8
+    assert max(words.values()) - min(words.values()) <= 60
+    assert [r.position for r in mixed] == sorted(r.position for r in mixed)
+
+
+def test_tilts_beyond_one_are_refused(spark):
+    with pytest.raises(ValueError, match="between -1 and 1"):
+        mixing.plan(frame(spark, [(1, "a")]), tilts=(1.5,))
+
+
 def test_rows_without_id_are_spread(spark):
     docs = frame(spark, [(None, f"w {i}") for i in range(300)])
     plan = mixing.plan(docs).collect()
@@ -353,6 +372,28 @@ def test_state_carries_over(spark, tmp_path, weak):
             assert (r.keep_id, r.group_size) == (min(own)[1], len(own)), (n, r)
 
 
+def test_state_needs_files(spark, tmp_path):
+    with pytest.raises(ValueError, match="write the table to files"):
+        exact_dedup.deduplicate(frame(spark, [(1, "a")]), state=f"file://{tmp_path}/state")
+    assert not os.path.exists(f"{tmp_path}/state")
+
+
+def test_a_run_reads_its_own_changes(spark, tmp_path, monkeypatch):
+    """Ten runs into one state: each reads the changes of its own micro-batches, and no rows of earlier runs."""
+    state, read = f"file://{tmp_path}/state", []
+    real = exact_dedup.stream_groups
+    monkeypatch.setattr(exact_dedup, "stream_groups", lambda *a: (read.append(real(*a).inputFiles()), real(*a))[1])
+    monkeypatch.setattr(exact_dedup, "_earlier", None)
+    monkeypatch.setattr(exact_dedup, "FILES", 2)
+    for n in range(10):
+        frame(spark, [(100 * n + i, f"text {i % 5} {n // 2}") for i in range(20)]).repartition(3).write.parquet(f"{tmp_path}/{n}")
+        answer = exact_dedup.deduplicate(spark.read.parquet(f"{tmp_path}/{n}"), state=state).collect()
+        assert {(r.keep_id, r.group_size) for r in answer} == {(n // 2 * 200 + i, 4 * (1 + n % 2)) for i in range(5)}
+    folders = [{x.rsplit("/", 2)[1] for x in files} for files in read]
+    assert all(len(x) == 1 for x in folders)
+    assert len(set.union(*folders)) == 10
+
+
 def test_one_row_of_each_text_stays(spark):
     rows = frame(spark, [(1, "a"), (1, "a"), (2, " a"), (2, "a"), (3, None), (4, ""), (None, "z"), (None, "z")])
     got = exact_dedup.distinct_documents(rows)
@@ -656,6 +697,8 @@ def shingles(text, size):
 def near_components(rows, size):
     sets = {i: shingles(t, size) for i, t in rows}
     home = {i: i for i in sets}
+    place = {x: k for k, x in enumerate({x for s in sets.values() for x in s})}
+    bits = {i: sum(1 << place[x] for x in s) for i, s in sets.items()}
 
     def root(x):
         while home[x] != x:
@@ -665,7 +708,7 @@ def near_components(rows, size):
     for a in sets:
         for b in sets:
             if b < a and sets[a] and sets[b]:
-                both = len(sets[a] & sets[b])
+                both = (bits[a] & bits[b]).bit_count()
                 if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                     x, y = root(a), root(b)
                     home[max(x, y)] = min(x, y)
@@ -679,6 +722,46 @@ def test_near_duplicates_by_brute_force(spark, seed, size):
     assert got == near_components(rows, size)
 
 
+@pytest.mark.parametrize("direct", [0, 1 << 30])
+@pytest.mark.parametrize("spread", [2, 6, 60, 10**6])
+def test_collisions_by_brute_force(monkeypatch, direct, spread):
+    """Merged lists with skips find the pairs that a comparison of whole signatures finds."""
+    monkeypatch.setattr(near_dedup, "DIRECT", direct)
+    rng = np.random.default_rng(spread)
+    sign = rng.integers(0, spread, (90, 64))
+    for i in range(0, 60, 3):  # copies that differ in some coordinates
+        sign[i + 1] = np.where(rng.random(64) < rng.random(), sign[i], sign[i + 1])
+    a, b = rng.permutation(90)[:50], rng.permutation(90)[:70]
+    for matches in (1, 20, 32, 64):
+        x, y = near_dedup._collisions(a, b, sign, matches)
+        want = {(i, j) for i in a.tolist() for j in b.tolist() if (sign[i] == sign[j]).sum() >= matches}
+        assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == sorted(want)
+
+
+def test_chained_groups_by_brute_force(spark):
+    """Three thousand rows at the real sizes of blocks: dense groups of variants, chained by texts between two of them."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    base = [[rng.choice(words) for _ in range(60)] for _ in range(8)]
+    rows = []
+    for g in range(8):
+        for _ in range(300):
+            text = list(base[g])
+            for _ in range(rng.randrange(3)):
+                text[rng.randrange(60)] = rng.choice(words)
+            rows.append(text)
+    for g in range(0, 8, 2):  # from one group to the next, a few words at a time
+        for k in range(0, 60, 2):
+            rows.append(base[g + 1][:k] + base[g][k:])
+    rows += [[rng.choice(words) for _ in range(rng.randrange(1, 60))] for _ in range(500)]
+    rng.shuffle(rows)
+    texts = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, texts).repartition(8)).collect()}
+    want = near_components(texts, 5)
+    assert got == {i: tuple(x) for i, x in want.items()}
+    assert len({x[1] for x in want.values()}) < len(rows) / 2
+
+
 @pytest.mark.parametrize(("signs", "sparse"), [(16, 0), (16, 10**6), (2048, 2)])
 def test_a_dense_group_of_variants(spark, signs, sparse):
     """Variants of one text, many of them too far from it to be linked: components as brute force finds them."""
