@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import blank, safe_size
+from ..session import stored
 from .relational import numbered, running
 
 
@@ -42,9 +44,72 @@ def binned(df: DataFrame, value: Column, width: int) -> DataFrame:
 
 def length_distribution(df: DataFrame, value: Column) -> DataFrame:
     """Mean, median, population deviation, extremes and linear percentiles."""
-    x = df.select(value.cast("double").alias("x"))
-    p = [F.round(F.expr(f"percentile(x, {q / 100})"), 6).alias(f"p{q}") for q in (25, 75, 90, 95, 99)]
-    return x.agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.median("x"), 6).alias("median"), F.round(F.stddev_pop("x"), 6).alias("deviation"), F.min("x").alias("least"), F.max("x").alias("most"), *p)
+    x = stored(df.select(value.cast("double").alias("x")), "lengths")
+    shares = {"median": 0.5, **{f"p{q}": q / 100 for q in (25, 75, 90, 95, 99)}}
+    at = exact_quantiles(x, F.col("x"), list(shares.values()))
+    p = {n: F.round(F.lit(v).cast("double"), 6).alias(n) for n, v in zip(shares, at, strict=True)}
+    return x.agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), p.pop("median"), F.round(F.stddev_pop("x"), 6).alias("deviation"), F.min("x").alias("least"), F.max("x").alias("most"), *p.values())
+
+
+#: Distinct values that are counted one by one; more are first narrowed down by a sketch of this accuracy.
+FEW, ACCURACY = 10_000, 10_000
+
+
+def _at_ranks(x: DataFrame, ranks: Sequence[int]) -> list[float]:
+    """The values of the stored table ``x`` (x) at places 0, 1, ... in ascending order, by distributed selection.
+
+    Each place has a bracket of values that it lies in, at first the extremes. A sketch of what lies in a bracket gives a
+    narrower one, and exact counts below and inside tell whether the place is still in it. When a bracket has few distinct
+    values, these are counted and the place is read off. No task and no buffer holds more than ``FEW`` of them.
+    """
+    least, most = x.agg(F.min("x"), F.max("x")).first()
+    bracket = {r: (least, most, 0) for r in ranks}  # low, high, rows below low
+    inside = lambda r: F.col("x").between(bracket[r][0], bracket[r][1])
+    out: dict[int, float] = {}
+    while len(out) < len(bracket):
+        left = [r for r in bracket if r not in out]
+        seen = x.agg(*(F.approx_count_distinct(F.when(inside(r), F.col("x"))).alias(f"d{r}") for r in left), *(F.count_if(inside(r)).alias(f"n{r}") for r in left)).first()
+        few = [r for r in left if 2 * seen[f"d{r}"] <= FEW or bracket[r][0] == bracket[r][1]]
+        for r in few:
+            upto = bracket[r][2]
+            for value, c in x.where(inside(r)).groupBy("x").agg(F.count("*").alias("c")).orderBy("x").collect():
+                upto += c
+                if r < upto:
+                    out[r] = value
+                    break
+        many = [r for r in left if r not in few]
+        if not many:
+            continue
+        near = lambda r: [min(1.0, max(0.0, (r - bracket[r][2] + d * (2 + seen[f"n{r}"] / ACCURACY)) / seen[f"n{r}"])) for d in (-2, 2)]
+        sketch = x.agg(*(F.percentile_approx(F.when(inside(r), F.col("x")), near(r), ACCURACY).alias(f"s{r}") for r in many)).first()
+        ends = {r: sketch[f"s{r}"] for r in many}
+        counts = x.agg(*(F.count_if(F.col("x") < ends[r][0]).alias(f"b{r}") for r in many), *(F.count_if(F.col("x") <= ends[r][1]).alias(f"u{r}") for r in many)).first()
+        for r in many:
+            low, high, below = bracket[r]
+            if ends[r] == [low, high]:  # as wide as before: halved, so that every round narrows it
+                middle = low + (high - low) / 2
+                upto = x.where(F.col("x") <= middle).count()
+                bracket[r] = (low, middle, below) if r < upto else (float(np.nextafter(middle, np.inf)), high, upto)
+            elif r < counts[f"b{r}"]:  # the sketch was off: what lies below it, or above
+                bracket[r] = (low, float(np.nextafter(ends[r][0], -np.inf)), below)
+            elif r >= counts[f"u{r}"]:
+                bracket[r] = (float(np.nextafter(ends[r][1], np.inf)), high, counts[f"u{r}"])
+            else:
+                bracket[r] = (ends[r][0], ends[r][1], counts[f"b{r}"])
+    return [out[r] for r in ranks]
+
+
+def exact_quantiles(df: DataFrame, value: Column, shares: Sequence[float]) -> list[float | None]:
+    """Quantiles with linear interpolation between neighbours, exactly; nulls and NaN do not count. None for each if there are
+    no values."""
+    x = stored(df.select(value.cast("double").alias("x")).where("x is not null and not isnan(x)"), "quantiles")
+    n = x.count()
+    if not n:
+        return [None for _ in shares]
+    places = [(int((n - 1) * q), (n - 1) * q - int((n - 1) * q)) for q in shares]
+    ranks = sorted({r for i, part in places for r in ((i, i + 1) if part else (i,))})
+    at = dict(zip(ranks, _at_ranks(x, ranks), strict=True))
+    return [at[i] + part * (at[i + 1] - at[i]) if part else at[i] for i, part in places]
 
 
 def ranged(df: DataFrame, value: Column, edges: Sequence[int]) -> DataFrame:
@@ -101,7 +166,8 @@ def length_buckets(df: DataFrame, words: Column) -> DataFrame:
 
 
 def rounded_median(df: DataFrame, value: Column) -> DataFrame:
-    m = df.agg(F.median(value).alias("median"))
+    """One row: the exact median, and its three roundings; nulls without values."""
+    m = df.sparkSession.createDataFrame([tuple(exact_quantiles(df, value, [0.5]))], "median double")
     return m.select("median", F.floor("median").alias("floor"), F.ceil("median").alias("ceil"), F.floor(F.col("median") + 0.5).alias("round"))
 
 

@@ -73,6 +73,11 @@ def a12(spark, d):
     return statistics.rounded_median(fixtures.training(spark, d), F.size("pos"))
 
 
+@query("a12_continuous_median", "WITH m AS (SELECT median(value) AS median FROM events) SELECT median, CAST(floor(median) AS BIGINT) AS floor, CAST(ceil(median) AS BIGINT) AS ceil, CAST(floor(median + 0.5) AS BIGINT) AS round FROM m")
+def a12_continuous(spark, d):
+    return statistics.rounded_median(table(spark, d, "events"), F.col("value"))
+
+
 @query("a25_task_means", "SELECT event_type AS task, round(sum(value * (1 + user_id % 3)) / sum(1 + user_id % 3), 6) AS mean FROM events GROUP BY 1")
 def a25(spark, d):
     rows = table(spark, d, "events").select(F.col("event_type").alias("task"), F.array_repeat(F.lit("en"), (1 + F.col("user_id") % 3).cast("int")).alias("languages"), "value")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import plans
 from ..operators import export, relational, vectors
+from ..session import folder
+from ..sources import sinks
 from . import fixtures
 from .registry import query, table
 
@@ -74,6 +76,14 @@ def j08_proof(spark, d):
     return relational.complement(docs, docs.where("doc_id % 3 = 0"), "doc_id")[1]
 
 
+@query("j08_written_complement", "SELECT doc_id, lang, (SELECT count(*) FROM documents) AS full_rows, (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) AS sample_rows FROM documents WHERE doc_id % 3 > 0")
+def j08_written(spark, d):
+    """The complement and its proof from one pass over both tables."""
+    docs, path = table(spark, d, "documents").select("doc_id", "lang"), folder(spark, "complement")
+    seen = sinks.write_complement(docs, docs.where("doc_id % 3 = 0"), "doc_id", path)
+    return spark.read.parquet(path).withColumns({"full_rows": F.lit(seen["full"]), "sample_rows": F.lit(seen["sample"])})
+
+
 @query("j09_candidate_scores", f"WITH {_R} SELECT query_id, doc_id, rank % 4 AS label, round(score, 6) AS score FROM r WHERE rank <= 5")
 def j09(spark, d):
     rows = fixtures.retrieved(spark, d)
@@ -239,6 +249,16 @@ def d06(spark, d):
     return export.outcome(fixtures.annotated(spark, d)).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+@query("d06_written_records", f"WITH {_T}, o AS (SELECT *, CASE WHEN pos IS NULL THEN 'skip_pos_empty' WHEN hard IS NOT NULL THEN 'ok' WHEN easy IS NOT NULL THEN 'ok_easy' ELSE 'skip_neg_empty' END AS outcome FROM t) SELECT query_id, outcome, (SELECT count(*) FROM o) AS seen, (SELECT count(*) FROM o WHERE outcome LIKE 'skip%') AS skipped FROM o WHERE outcome LIKE 'ok%'")
+def d06_written(spark, d):
+    """Records and the counters of all outcomes from the pass that writes them; what is skipped and what is written must add up."""
+    rows, path = export.outcome(fixtures.annotated(spark, d)), folder(spark, "records")
+    fine = F.col("outcome").isin("ok", "ok_easy")
+    counters = {"seen": F.count("*"), "written": F.count_if(fine), "skipped": F.count_if(F.col("outcome").startswith("skip"))}
+    seen = sinks.write_checked(rows, path, counters, lambda n: None if n["seen"] == n["written"] + n["skipped"] else "a record has no outcome", fine, ["query_id", "outcome"])
+    return spark.read.parquet(path).withColumns({"seen": F.lit(seen["seen"]), "skipped": F.lit(seen["skipped"])})
+
+
 def _origins(spark, d):
     """Queries and the documents they were written for: the second positive, for two of three queries."""
     return fixtures.training(spark, d).where("query_id % 3 > 0").select("query", F.coalesce(F.get("pos", 1), F.lit("none")).alias("doc"), F.col("query_id").alias("position"))

@@ -8,8 +8,9 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import vectors
-from ..plans import annotate, calibrate, planning
+from ..plans import annotate, calibrate, models, planning
 from ..plans.models import RuleCompleter
+from ..session import folder
 from . import fixtures
 from .registry import query, table
 from .scalars import words_sql
@@ -322,6 +323,15 @@ def l14(spark, d):
     return ask(_doc_rows(spark, d), "doc", "answer", lambda: RuleCompleter(lambda p: f"{_named(p)[0]} {len(_named(p)[1])}"), threads=4).select("doc_id", "answer")
 
 
+@query("l15_kept_answers", f"SELECT doc_id, 'd ' || doc_id || ' ' || {_N} AS answer FROM documents")
+def l15(spark, d):
+    """Half of the prompts are asked in a first run, which leaves its answers; the second run sends the others, in waves."""
+    rows, store = _doc_rows(spark, d), folder(spark, "answers")
+    model = lambda: RuleCompleter(lambda p: f"{_named(p)[0]} {len(_named(p)[1])}")
+    models.ask_once(rows.where("doc_id % 2 = 0"), "doc", "answer", model, store)
+    return models.ask_once(rows, "doc", "answer", model, store, wave=max(1, rows.count() // 5)).select("doc_id", "answer")
+
+
 @query("l21_prompted_embeddings", "SELECT item_id, 64 AS dimensions FROM benchmark")
 def l21(spark, d):
     from ..plans.instructions import PromptedEmbedder

@@ -68,18 +68,21 @@ def s04(spark, d):
 
 @query("s05_arrow_scan", _BENCH)
 def s05(spark, d):
+    """A file and a stream, of many record batches each, read in splits of a few batches; one column is not asked for."""
     import pyarrow as pa
 
     path = _path(spark, "arrow")
-    rows = _bench(spark, d).toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_file(sink, rows.schema) as out:
-        out.write_table(rows)
-    fs, where = readers._fs(spark, f"{path}/data-0.arrow")
-    stream = fs.create(where, True)
-    stream.write(bytearray(sink.getvalue().to_pybytes()))
-    stream.close()
-    return readers.read_corpus(spark, path)
+    rows = _bench(spark, d).withColumn("unused", F.reverse("text")).toArrow()
+    half = rows.num_rows // 2
+    fs, _ = readers._fs(spark, path)
+    for name, part, form in (("a/data-0.arrow", rows[:half], pa.ipc.new_file), ("b/data-1.arrow", rows[half:], pa.ipc.new_stream)):
+        sink = pa.BufferOutputStream()
+        with form(sink, rows.schema) as out:
+            out.write_table(part, max_chunksize=16)
+        stream = fs.create(readers._fs(spark, f"{path}/{name}")[1], True)
+        stream.write(bytearray(sink.getvalue().to_pybytes()))
+        stream.close()
+    return readers.read_corpus(spark, path, split=20_000)
 
 
 @query("s06_row_count", "SELECT count(*) AS n FROM documents")
@@ -198,9 +201,31 @@ def k07(spark, d):
     return spark.read.option("header", "true").csv(path)
 
 
-@query("k10_manifest", None)
+def _lines(spark, d):
+    """A file of lines for each source, in the order of ids."""
+    path = _path(spark, "release")
+    rows = table(spark, d, "documents").select("doc_id", "source", F.concat_ws(" ", "doc_id", F.replace("text", F.lit("\n"), F.lit(" "))).alias("value"))
+    rows.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").option("compression", "none").text(path)
+    return path
+
+
+_FILES = "SELECT 'source=' || source AS folder, count(*) AS rows, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY doc_id)) AS sha256 FROM (SELECT *, concat_ws(' ', doc_id, replace(text, chr(10), ' ')) AS line FROM documents) GROUP BY source"
+
+
+@query("k10_manifest", _FILES)
 def k10(spark, d):
-    return sinks.manifest(spark, f"{d}/region.parquet")
+    files = sinks.manifest(spark, _lines(spark, d)).where("path like 'source=%'")
+    return files.select(F.substring_index("path", "/", 1).alias("folder"), "rows", "bytes", "sha256")
+
+
+@query("k10_release", f"SELECT 'lines/' || folder AS folder, rows, bytes, sha256 FROM ({_FILES}) UNION ALL SELECT 'table', (SELECT count(*) FROM region), NULL, NULL")
+def k10_release(spark, d):
+    target = _path(spark, "published")
+    sinks.package(spark, {"lines": _lines(spark, d), "table.parquet": f"{d}/region.parquet"}, target, {"release": "1"})
+    files = spark.read.option("multiLine", "true").json(f"{target}/manifest.json").select(F.explode("files").alias("f")).select("f.*")
+    folder = F.when(F.col("path") == "table.parquet", "table").otherwise(F.substring_index("path", "/", 2))
+    only = lambda c: F.when(F.col("path") != "table.parquet", F.col(c)).alias(c)
+    return files.where("path like '%source=%' or path = 'table.parquet'").select(folder.alias("folder"), "rows", only("bytes"), only("sha256"))
 
 
 @query("k03_atomic_replace", "SELECT 2 AS n")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import index, vectors
-from ..plans.models import HashEmbedder
+from ..plans.models import HashEmbedder, embed
 from ..session import folder
+from ..sources import sinks
 from ..streaming import index_build
 from . import fixtures
 from .registry import query, table
@@ -146,3 +147,12 @@ def v08(spark, d):
 @query("v10_missing_vectors", "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def v10(spark, d):
     return vectors.missing_vectors(table(spark, d, "documents"), _corpus(spark, d), "doc_id")
+
+
+@query("v10_checked_embeddings", "SELECT doc_id, 64 AS dimensions, (SELECT count(*) FROM documents) AS texts FROM documents")
+def v10_checked(spark, d):
+    """Embeddings of all texts, published only if none is missing; counted in the pass that writes them."""
+    rows, path = embed(table(spark, d, "documents").select("doc_id", "text"), "text", HashEmbedder), folder(spark, "embeddings")
+    counters = {"texts": F.count("*"), "missing": F.count_if(F.col("embedding").isNull() | (F.size("embedding") != 64))}
+    seen = sinks.write_checked(rows, path, counters, lambda n: f"{n['missing']} texts have no vector" if n["missing"] else None, columns=["doc_id", "embedding"])
+    return spark.read.parquet(path).select("doc_id", F.size("embedding").alias("dimensions"), F.lit(seen["texts"]).alias("texts"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..operators.relational import numbered, running
 from ..session import stored
+from . import arrow_files
 
 # Column names by which a corpus is read, first match first.
 ID_NAMES = ("_id", "id", "pid", "doc_id", "docid", "document_id")
@@ -116,17 +117,24 @@ def _arrow_schema(spark: SparkSession, path: str) -> pa.Schema:
         stream.close()
 
 
-def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """All ``*.arrow`` files of a folder but those whose names begin with cache; files or streams of Arrow IPC."""
+def read_arrow(spark: SparkSession, path: str, columns: Sequence[str] | None = None, split: int = arrow_files.SPLIT) -> DataFrame:
+    """All ``*.arrow`` files of a folder but those whose names begin with cache; files or streams of Arrow IPC. They are read
+    in splits of about ``split`` bytes, and of columns only those wanted. Where only Spark's own readers reach the store, a
+    task reads a whole file, of 2 GB at most."""
     from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path).where(~F.element_at(F.split("path", "/"), -1).startswith("cache"))
-    first = files.select("path").orderBy("path").first()
-    if first is None:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").option("recursiveFileLookup", "true").load(path).where(~F.element_at(F.split("path", "/"), -1).startswith("cache"))
+    paths = [r.path for r in files.select("path").orderBy("path").collect()]  # names, as any listing has them
+    if not paths:
         raise ValueError(f"no Arrow files in {path}")
-    spark_schema = from_arrow_schema(_arrow_schema(spark, first.path))
-    target = to_arrow_schema(spark_schema)
-    return files.select("content").mapInArrow(lambda batches: _arrow_files(batches, target), spark_schema)
+    schema = from_arrow_schema(arrow_files.plain(_arrow_schema(spark, paths[0])))
+    if columns is not None:
+        schema = T.StructType([schema[c] for c in columns])
+    if arrow_files.readable(paths[0]):
+        spark.dataSource.register(arrow_files.ArrowFiles)
+        return spark.read.format("arrow_files").schema(schema).options(paths="\n".join(paths), split=split).load()
+    target = to_arrow_schema(schema)
+    return files.select("content").mapInArrow(lambda batches: _arrow_files(batches, target), schema)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -136,21 +144,29 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return {"jsonl": read_jsonl, "parquet": lambda s, p: s.read.parquet(p), "arrow": read_arrow}[kind](spark, path)
 
 
-def normalise_rows(df: DataFrame, doc_id: str | None = None, text: str | None = None, title: str | None = None) -> DataFrame:
-    """(doc_id, title, text) as strings; rows whose text is null, NaN or blank go. ``title=""`` leaves titles out."""
-    names = [c for c in df.columns if not c.startswith("_") or c == "_id"]
+def _corpus_columns(names: Sequence[str], doc_id: str | None, text: str | None, title: str | None) -> tuple[str, str, str | None]:
+    names = [c for c in names if not c.startswith("_") or c == "_id"]
     i, t = find_column(names, ID_NAMES, doc_id), find_column(names, TEXT_NAMES, text)
     if i is None or t is None:
         raise ValueError(f"no id or text column among {names}")
-    h = None if title == "" else find_column(names, TITLE_NAMES, title)
+    return i, t, None if title == "" else find_column(names, TITLE_NAMES, title)
+
+
+def normalise_rows(df: DataFrame, doc_id: str | None = None, text: str | None = None, title: str | None = None) -> DataFrame:
+    """(doc_id, title, text) as strings; rows whose text is null, NaN or blank go. ``title=""`` leaves titles out."""
+    i, t, h = _corpus_columns(df.columns, doc_id, text, title)
     col = lambda c: F.col(f"`{c}`").cast("string")
     rows = df.where("_ok") if "_ok" in df.columns else df
     body = F.trim(col(t))
     return rows.select(col(i).alias("doc_id"), (F.coalesce(col(h), F.lit("")) if h else F.lit("")).alias("title"), body.alias("text")).where((F.col("text") != "") & (F.lower("text") != "nan"))
 
 
-def read_corpus(spark: SparkSession, path: str, **columns: str | None) -> DataFrame:
-    return normalise_rows(read_raw(spark, path), **columns)
+def read_corpus(spark: SparkSession, path: str, split: int = arrow_files.SPLIT, **columns: str | None) -> DataFrame:
+    """Any format, as ``normalise_rows`` gives it. split: of Arrow files, whose other columns are not decoded."""
+    if detect_format(spark, path) != "arrow":
+        return normalise_rows(read_raw(spark, path), **columns)
+    wanted = _corpus_columns(read_arrow(spark, path).columns, *(columns.get(c) for c in ("doc_id", "text", "title")))
+    return normalise_rows(read_arrow(spark, path, [c for c in wanted if c], split), **columns)
 
 
 def row_count(df: DataFrame) -> int:

@@ -9,6 +9,7 @@ import statistics as py
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,7 +21,7 @@ from corvane.operators import agreement, evaluation, export, index, mining, rela
 from corvane.plans import annotate, calibrate, checks, models, planning
 from corvane.plans.models import HashEmbedder, RuleCompleter, ask, embed
 from corvane.queries import ORACLE_SQL, QUERIES
-from corvane.sources import readers, sinks
+from corvane.sources import arrow_files, readers, sinks
 from corvane.streaming import index_build
 
 from .compare import same
@@ -494,6 +495,191 @@ def test_index_build_stops_when_the_model_is_down(spark, tmp_path):
     assert (cursor.lines, cursor.indexed, cursor.rejected, cursor.streak) == (10, 6, 4, 0)
 
 
+# -- files in splits, releases, checked writes
+
+
+def arrow_file(path, batches, form):
+    with form(path, batches[0].schema) as out:
+        for b in batches:
+            out.write_batch(b)
+
+
+@pytest.mark.parametrize("form", [pa.ipc.new_file, pa.ipc.new_stream])
+def test_arrow_files_are_read_in_splits(spark, tmp_path, form):
+    """No task holds a file: each reads the bytes of its own batches. Columns by dictionary, compressed bodies, unwanted columns."""
+    columns = lambda n: {"_id": [f"{n}-{i}" for i in range(100)], "text": [f"text {n} {i}" * 20 for i in range(100)], "kind": pa.array(["a", "b"] * 50).dictionary_encode(), "big": ["x" * 1000] * 100}
+    batches = [pa.RecordBatch.from_pydict(columns(n)) for n in range(30)]
+    path = f"{tmp_path}/set/part.arrow"
+    os.mkdir(f"{tmp_path}/set")
+    arrow_file(path, batches, lambda p, s: form(p, s, options=pa.ipc.IpcWriteOptions(compression="zstd")) if form is pa.ipc.new_file else form(p, s))
+    arrow_file(f"{tmp_path}/set/cache-1.arrow", batches[:1], form)
+    parts = arrow_files.splits(path, os.path.getsize(path) // 10)
+    assert len(parts) > 8
+    assert sum(len(p.batches) for p in parts) == 30
+    assert all(sum(m.length for m in p.batches) <= os.path.getsize(path) // 10 for p in parts)
+    rows = readers.read_arrow(spark, f"{tmp_path}/set", split=os.path.getsize(path) // 10)
+    assert rows.rdd.getNumPartitions() == len(parts)
+    want = [(r["_id"], r["text"], r["kind"], r["big"]) for b in batches for r in b.to_pylist()]
+    assert sorted(map(tuple, rows.select("_id", "text", "kind", "big").collect())) == sorted(want)
+    narrow = readers.read_arrow(spark, f"{tmp_path}/set", ["kind", "_id"])
+    assert narrow.columns == ["kind", "_id"]
+    assert sorted(map(tuple, narrow.collect())) == sorted((k, i) for i, _, k, _ in want)
+    decoded = next(arrow_files.read_split(parts[0], ["text"]))
+    assert decoded.schema.names == ["text"]
+    assert readers.read_corpus(spark, f"{tmp_path}/set", split=9_000).count() == 3000
+
+
+def test_arrow_streams_without_batches(spark, tmp_path):
+    arrow_file(f"{tmp_path}/none.arrow", [pa.RecordBatch.from_pydict({"_id": pa.array([], pa.string()), "text": pa.array([], pa.string())})], pa.ipc.new_stream)
+    assert readers.read_corpus(spark, str(tmp_path)).count() == 0
+
+
+def test_a_release_is_whole_or_not_there(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    os.makedirs(f"{tmp_path}/src/deep")
+    content = {"a.jsonl": b'{"a": 1}\n\n  \n{"a": 2}', "deep/b.jsonl": b"x\n" * 70_000 + b"last", "empty.jsonl": b"", "deep/blank.jsonl": b"\n \n"}
+    for name, data in content.items():
+        with open(f"{tmp_path}/src/{name}", "wb") as f:
+            f.write(data)
+    spark.range(7).coalesce(1).write.parquet(f"{tmp_path}/table")
+    (part,) = [x for x in os.listdir(f"{tmp_path}/table") if x.endswith(".parquet")]
+    sources = {"data": f"{tmp_path}/src", "t.parquet": f"{tmp_path}/table/{part}"}
+    monkeypatch.setattr(sinks, "CHUNK", 64)  # of the driver; executors keep theirs
+    assert sinks._streamed(f"{tmp_path}/src/deep/b.jsonl", None) == (70_001, 140_004, hashlib.sha256(content["deep/b.jsonl"]).hexdigest())
+    got = {r.path: (r.rows, r.bytes, r.sha256) for r in sinks.package(spark, sources, f"{tmp_path}/out", {"release": 1}).collect()}
+    rows = {"a.jsonl": 2, "deep/b.jsonl": 70_001, "empty.jsonl": 0, "deep/blank.jsonl": 0}
+    assert {k: v for k, v in got.items() if k != "t.parquet"} == {f"data/{k}": (rows[k], len(v), hashlib.sha256(v).hexdigest()) for k, v in content.items()}
+    assert got["t.parquet"][0] == 7
+    for name, data in content.items():
+        assert open(f"{tmp_path}/out/data/{name}", "rb").read() == data
+    listed = json.load(open(f"{tmp_path}/out/manifest.json"))
+    assert listed["release"] == 1
+    assert {f["path"]: (f["rows"], f["bytes"], f["sha256"]) for f in listed["files"]} == got
+    with pytest.raises(FileExistsError):
+        sinks.package(spark, sources, f"{tmp_path}/out")
+    os.chmod(f"{tmp_path}/src", 0o755)
+    monkeypatch.setattr(sinks, "_listed", lambda files: files.where("path not like '%b.jsonl'").select("path", F.lit(1).cast("long").alias("rows"), F.col("length").alias("bytes"), F.lit("").alias("sha256")))
+    with pytest.raises(OSError, match="not copied whole"):
+        sinks.package(spark, sources, f"{tmp_path}/other")
+    assert sorted(os.listdir(tmp_path)) == ["out", "src", "table"]
+
+
+def jobs_of(spark, run):
+    import uuid
+
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_checked_writes_count_in_the_pass_that_writes(spark, tmp_path):
+    rows = spark.range(100).repartition(3)
+    had = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counters = {"all": F.count("*"), "odd": F.count_if(F.col("id") % 2 == 1)}
+        seen = {}
+        assert jobs_of(spark, lambda: seen.update(sinks.write_checked(rows, f"{tmp_path}/odd", counters, lambda n: None, F.col("id") % 2 == 1))) == 1
+        assert seen == {"all": 100, "odd": 50}
+        assert spark.read.parquet(f"{tmp_path}/odd").count() == 50
+        with pytest.raises(ValueError, match="too odd"):
+            sinks.write_checked(rows, f"{tmp_path}/bad", counters, lambda n: "too odd" if n["odd"] else None)
+        with pytest.raises(FileExistsError):
+            sinks.write_checked(rows, f"{tmp_path}/odd", counters, lambda n: None)
+        full = spark.createDataFrame([(i, f"t{i}") for i in range(20)] + [(None, "n")], "k long, t string")
+        assert jobs_of(spark, lambda: seen.update(sinks.write_complement(full, full.where("k < 5 or k is null"), "k", f"{tmp_path}/rest"))) == 1
+        assert {k: seen[k] for k in ("full", "sample", "complement", "foreign")} == {"full": 21, "sample": 6, "complement": 15, "foreign": 0}
+        assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/rest").collect()) == list(range(5, 20))
+        for sample, why in ((full.limit(1).withColumn("t", F.lit("other")), "1 rows of the sample"), (full.limit(2).union(full.limit(1)), "keys repeat"), (spark.createDataFrame([(99, "t")], full.schema), "not in the table")):
+            with pytest.raises(ValueError, match=why):
+                sinks.write_complement(full, sample, "k", f"{tmp_path}/never")
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+    assert sorted(os.listdir(tmp_path)) == ["odd", "rest"]
+
+
+# -- exact quantiles
+
+
+@pytest.mark.parametrize("few", [4, 50, 10_000])
+def test_exact_quantiles(spark, duck, monkeypatch, few):
+    """Continuous values, heavy ties and few distinct ones, odd and even counts; no more than a few values are ever counted one
+    by one."""
+    monkeypatch.setattr(statistics, "FEW", few)
+    rng = np.random.default_rng(few)
+    sets = [rng.normal(size=1001), rng.normal(size=1000), np.concatenate([np.full(500, 2.0), rng.normal(size=301), np.full(400, -1.0)]), np.repeat([1.0, 2.0], 300), np.full(9, 5.0), np.array([3.0]), np.array([1.0, 4.0]), rng.integers(0, 5, 777).astype(float), 10.0 ** rng.integers(-300, 300, 500)]
+    shares = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    for x in sets:
+        rows = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 3, "v double").repartition(3)
+        got = statistics.exact_quantiles(rows, F.col("v"), shares)
+        plain = pa.table({"v": x})  # noqa: F841
+        want = duck.sql(f"SELECT quantile_cont(v, {shares}) FROM plain").fetchall()[0][0]
+        assert got == pytest.approx(want, rel=1e-12)
+    assert statistics.exact_quantiles(rows.where("v is null"), F.col("v"), [0.5]) == [None]
+
+
+# -- clients and kept answers
+
+
+class Counted:
+    """A client that leaves a mark when it is made and when it is asked."""
+
+    def __init__(self, folder):
+        import uuid
+
+        self.folder, self.mark = folder, lambda kind: open(f"{folder}/{kind}-{uuid.uuid4().hex}", "w").close()
+        self.mark("made")
+
+    def complete(self, prompts):
+        for p in prompts:
+            self.mark("asked")
+            if os.path.exists(f"{self.folder}/stop") and p.endswith("7"):
+                raise OSError("down")
+        return [p.upper() for p in prompts]
+
+
+def marks(folder, kind):
+    return sum(x.startswith(kind) for x in os.listdir(folder))
+
+
+def test_a_worker_keeps_its_client(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = spark.range(40).select(F.col("id").cast("string").alias("p")).repartition(20)
+    for _ in range(2):
+        assert sorted(r.a for r in ask(rows, "p", "a", lambda: Counted(folder)).collect()) == sorted(str(i) for i in range(40))
+    assert marks(folder, "asked") == 80
+    assert marks(folder, "made") < 20  # tasks were 40
+
+
+def test_answers_outlive_a_run_that_breaks_off(spark, tmp_path):
+    marked, store = f"{tmp_path}/marks", f"{tmp_path}/store"
+    os.mkdir(marked)
+    rows = spark.createDataFrame([(i, f"q{i % 50}") for i in range(100)] + [(100, None)], "i long, p string").repartition(2)
+    once = lambda **o: models.ask_once(rows, "p", "a", lambda: Counted(marked), store, wave=10, attempts=1, **o)
+    open(f"{marked}/stop", "w").close()
+    with pytest.raises(Exception, match="calls in succession failed"):
+        once(give_up=1, threads=1)
+    at = models.progress(spark, store).first() if os.path.exists(store) else None
+    kept = at.answers if at else 0
+    asked = marks(marked, "asked")
+    os.remove(f"{marked}/stop")
+    got = once()
+    assert sorted((r.i, r.a) for r in got.collect() if r.p) == [(i, f"Q{i % 50}") for i in range(100)]
+    assert [r.a for r in got.where("p is null").collect()] == [None]
+    assert marks(marked, "asked") == asked + 50 - kept
+    at = models.progress(spark, store).first()
+    assert (at.waves, at.done, at.answers) == (at.waves, at.waves, 50)
+    assert once().count() == 101
+    assert marks(marked, "asked") == asked + 50 - kept
+
+
 def walked(rows, fields, count, preferred, slots=2):
     """The plain walk over all rows in order."""
     picked: list = []
@@ -625,7 +811,8 @@ def test_manifest_lists_every_file(spark, data):
 
     with open(f"{data}/region.parquet", "rb") as f:
         content = f.read()
-    assert [tuple(r) for r in QUERIES["k10_manifest"](spark, data).collect()] == [("region.parquet", len(content), hashlib.sha256(content).hexdigest())]
+    got = sinks.manifest(spark, f"{data}/region.parquet").first()
+    assert tuple(got) == ("region.parquet", 5, len(content), hashlib.sha256(content).hexdigest())
 
 
 # -- metrics
