@@ -36,7 +36,7 @@ def multiple_choice(records: DataFrame, seed: int, position: str = "position") -
     """From query, candidates and correct_index: a corpus of distinct trimmed options with ids in the order in which they
     occur, one query for each option that is an answer, and queries with different answers, which a caller refuses."""
     options = records.select(position, F.trim("query").alias("query"), "correct_index", F.posexplode("candidates").alias("i", "option")).withColumn("option", F.trim("option"))
-    options = options.withColumn("order", F.col(position) * 1000 + F.col("i"))
+    options = options.withColumn("order", F.struct(position, "i"))
     corpus = positional_ids(options, "option", "order", prefix="option", name="doc_id").select("doc_id", F.col("option").alias("text"))
     answers = options.where("i = correct_index").select("query", "option").distinct()
     conflicts = answers.groupBy("query").count().where("count > 1").select("query")

@@ -52,6 +52,10 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column])
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def first_rows_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int) -> DataFrame:
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
 def last_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     return first_per(df, keys, [F.col(c).desc() for c in order])
 

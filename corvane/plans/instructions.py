@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from ..functions.json5 import fenced
 from .checks import missing_parts
 from .models import Completer, Embedder
 
@@ -68,7 +69,7 @@ def define_task(name: str, examples: Sequence[Mapping[str, str]], completer: Com
     """A task's definition from examples; equal examples are asked about once."""
     key = hashlib.md5(json.dumps([name, *examples], sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:8]
     if key not in cache:
-        cache[key] = json.loads(completer.complete([f"Describe the retrieval task {name} as JSON with query_type, doc_type and relevance.\n\n{examples_block(examples)}"])[0])
+        cache[key] = fenced(completer.complete([f"Describe the retrieval task {name} as JSON with query_type, doc_type and relevance.\n\n{examples_block(examples)}"])[0])
     return Task(name, *(str(cache[key][k]) for k in ("query_type", "doc_type", "relevance")))
 
 

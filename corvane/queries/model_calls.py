@@ -12,7 +12,7 @@ from ..plans import annotate, calibrate, models, planning
 from ..plans.models import RuleCompleter
 from ..session import folder
 from . import fixtures
-from .registry import query, table
+from .registry import each_row, query, table
 from .scalars import words_sql
 
 _L, _R = fixtures.labelled_sql(), fixtures.retrieved_sql()
@@ -239,22 +239,30 @@ def n14(spark, d):
     return calibrate.positives_only(rows, "item_id", 10)
 
 
-@query("l10_refinement", "SELECT * FROM (VALUES (1, '', false), (2, 'x', false), (3, 'xx', true)) v(attempt, artefact, passed)")
+@query("l10_refinement", "SELECT item_id, CAST(k AS INTEGER) AS attempt, repeat('x', CAST(k - 1 AS INTEGER)) AS artefact, k - 1 >= item_id % 5 AS passed FROM benchmark, range(1, 4) AS r(k) WHERE k - 2 < item_id % 5")
 def l10(spark, d):
-    done = calibrate.refine(lambda a: len(a), lambda n: (n >= 2, f"{n} is short"), lambda a, f: a + "x")
-    return spark.createDataFrame([(h["attempt"], h["artefact"], h["passed"]) for h in done.history], "attempt int, artefact string, passed boolean")
+    """An instruction for each item, refined until it is as long as asked for, or three attempts are over."""
 
+    def run(r):
+        done = calibrate.refine(lambda a: len(a), lambda n: (n >= r["item_id"] % 5, f"{n} is short"), lambda a, f: a + "x")
+        return [(r["item_id"], h["attempt"], h["artefact"], h["passed"]) for h in done.history]
 
-@query("l11_evaluators", "SELECT kind, score, coalesce(TRY_CAST(score AS DOUBLE) >= least, false) AS passed FROM (VALUES ('attributes', 2), ('query_instruction', 2), ('annotation', 3)) k(kind, least), (VALUES ('1'), ('2'), ('3.0'), ('n/a')) s(score)")
+    return each_row(table(spark, d, "benchmark").select("item_id"), "item_id long, attempt int, artefact string, passed boolean", run)
+
+
+@query("l11_evaluators", "SELECT doc_id, kind, coalesce(TRY_CAST(score AS DOUBLE) >= least, false) AS passed FROM (SELECT doc_id, ['1', '2', CAST(n_chars AS VARCHAR) || '.0', 'n/a', NULL][doc_id % 5 + 1] AS score FROM documents), (VALUES ('attributes', 2), ('query_instruction', 2), ('annotation', 3)) k(kind, least)")
 def l11(spark, d):
-    rows = [(k, s, calibrate.evaluation_passes(k, s)) for k in calibrate.PASS_SCORES for s in ("1", "2", "3.0", "n/a")]
-    return spark.createDataFrame(rows, "kind string, score string, passed boolean")
+    score = F.get(F.array(F.lit("1"), F.lit("2"), F.concat("n_chars", F.lit(".0")), F.lit("n/a"), F.lit(None)), (F.col("doc_id") % 5).cast("int"))
+    rows = table(spark, d, "documents").select("doc_id", score.alias("score"))
+    return each_row(rows, "doc_id long, kind string, passed boolean", lambda r: [(r["doc_id"], k, calibrate.evaluation_passes(k, r["score"])) for k in calibrate.PASS_SCORES])
 
 
-@query("l19_model_buckets", "SELECT label, round(p / 3, 6) AS probability FROM (VALUES ('short', 1.0::DOUBLE), ('long', 2.0::DOUBLE)) v(label, p)")
+@query("l19_model_buckets", "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), p AS (SELECT *, CASE WHEN n % 2 = 0 THEN n ELSE 0 END AS p FROM c), s AS (SELECT source, sum(p) AS total FROM p GROUP BY 1) SELECT source, lang AS label, round(p / total, 6) AS probability FROM p JOIN s USING (source) WHERE p > 0 UNION ALL SELECT source, 'medium', 1.0 FROM s WHERE total = 0")
 def l19(spark, d):
-    got = calibrate.model_buckets([{"label": "short", "probability": 1}, {"label": "long", "probability": 2}, {"label": "none", "probability": 0}], [("medium", 1.0)])
-    return spark.createDataFrame(got, "label string, probability double")
+    """For each source the buckets that a model proposes: a language each, those of odd counts without probability."""
+    counts = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    answers = counts.groupBy("source").agg(F.collect_list(F.struct(F.col("lang").alias("label"), F.when(F.col("n") % 2 == 0, F.col("n")).otherwise(0).alias("probability"))).alias("answer"))
+    return each_row(answers, "source string, label string, probability double", lambda r: [(r["source"], *b) for b in calibrate.model_buckets(r["answer"], [("medium", 1.0)])])
 
 
 @query("l20_newest_final", "SELECT source AS task, lang AS kind, max(doc_id) AS created_at, 't' || max(doc_id) AS text FROM documents WHERE doc_id % 3 = 0 GROUP BY 1, 2")
@@ -297,23 +305,31 @@ def l07(spark, d):
     return spark.createDataFrame([("t", "label", got)], "task string, kind string, text string")
 
 
-@query("l12_task_definition", "SELECT 't' AS task, 'questions' AS query_type, 'passages' AS doc_type, 'it answers' AS relevance, 1 AS calls FROM range(2)")
+@query("l12_task_definition", "WITH d AS (SELECT lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 2) SELECT lang AS task, 'questions, [1,]' AS query_type, 'd ' || string_agg(doc_id, ' ' ORDER BY doc_id) AS doc_type, 'it answers' AS relevance, CAST((SELECT count(DISTINCT lang) FROM documents) AS INTEGER) AS calls FROM d GROUP BY lang")
 def l12(spark, d):
+    """A task for each language, from two documents each; asked for twice, and answered in lenient JSON in a fence."""
+    from ..operators.relational import first_rows_per
     from ..plans import instructions as i
 
     cache: dict = {}
-    model = RuleCompleter(lambda p: json.dumps({"query_type": "questions", "doc_type": "passages", "relevance": "it answers"}))
-    tasks = [i.define_task("t", _examples(spark, d), model, cache) for _ in range(2)]
-    return spark.createDataFrame([(t.name, t.query_type, t.doc_type, t.relevance, len(cache)) for t in tasks], "task string, query_type string, doc_type string, relevance string, calls int")
+    model = RuleCompleter(lambda p: "```json\n{query_type: 'questions, [1,]', /* , */ doc_type: 'd %s', relevance: 'it answers',}\n```" % " ".join(re.findall(r"^Query: q(\d+)$", p, re.M)))
+    examples: dict = {}
+    for r in first_rows_per(table(spark, d, "documents"), ["lang"], ["doc_id"], 2).select("lang", "doc_id", "text").orderBy("lang", "doc_id").collect():  # two rows a language
+        examples.setdefault(r.lang, []).append({"query": f"q{r.doc_id}", "positive": "text", "negative": ""})
+    tasks = [i.define_task(lang, e, model, cache) for _ in range(2) for lang, e in examples.items()]
+    return spark.createDataFrame([(t.name, t.query_type, t.doc_type, t.relevance, len(cache)) for t in tasks[: len(examples)]], "task string, query_type string, doc_type string, relevance string, calls int")
 
 
-@query("l13_human_review", "SELECT * FROM (VALUES (1, 'v1', false), (2, 'v1 shorter', true)) v(attempt, artefact, passed)")
+@query("l13_human_review", "SELECT item_id, 1 AS attempt, 'v1' AS artefact, item_id % 2 = 1 AS passed FROM benchmark UNION ALL SELECT item_id, 2, 'v1 shorter', true FROM benchmark WHERE item_id % 2 = 0")
 def l13(spark, d):
     from ..plans.instructions import reviewed
 
-    answers = iter(["shorter", ""])
-    done = calibrate.refine(lambda a: a, lambda x: (True, ""), lambda a, f: f"{a} {f}", "v1", review=reviewed(lambda a: next(answers)))
-    return spark.createDataFrame([(h["attempt"], h["artefact"], h["passed"]) for h in done.history], "attempt int, artefact string, passed boolean")
+    def run(r):
+        answers = iter(["shorter", ""] if r["item_id"] % 2 == 0 else [""])
+        done = calibrate.refine(lambda a: a, lambda x: (True, ""), lambda a, f: f"{a} {f}", "v1", review=reviewed(lambda a: next(answers)))
+        return [(r["item_id"], h["attempt"], h["artefact"], h["passed"]) for h in done.history]
+
+    return each_row(table(spark, d, "benchmark").select("item_id"), "item_id long, attempt int, artefact string, passed boolean", run)
 
 
 @query("l14_concurrent_calls", f"SELECT doc_id, 'd ' || doc_id || ' ' || {_N} AS answer FROM documents")
@@ -341,9 +357,13 @@ def l21(spark, d):
     return rows.select("item_id", F.size("embedding").alias("dimensions"))
 
 
-@query("p22_preflight", "SELECT * FROM (VALUES ('task is unknown'), ('input_path is a placeholder'), ('api_key holds a secret; name an environment variable instead')) v(problem)")
+@query("p22_preflight", "SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'output_dir is missing' END, CASE WHEN lang <> 'en' THEN 'task is unknown' END, CASE WHEN doc_id % 3 = 0 THEN 'input_path is a placeholder' END, CASE WHEN doc_id % 2 = 0 THEN 'api_key holds a secret; name an environment variable instead' END], lambda x: x IS NOT NULL)) AS problem FROM documents")
 def p22(spark, d):
+    """A configuration for each document's run, checked before anything starts."""
     from ..plans.checks import preflight
 
-    found = preflight({"task": "x", "input_path": "<path>", "output_dir": "o", "api_key": "hidden"}, ["y"])
-    return spark.createDataFrame([(x,) for x in found], "problem string")
+    def run(r):
+        config = {"task": r["lang"], "input_path": "<path>" if r["doc_id"] % 3 == 0 else r["source"], "output_dir": "o" if r["doc_id"] % 5 else None, "api_key": "hidden" if r["doc_id"] % 2 == 0 else "env:KEY"}
+        return [(r["doc_id"], x) for x in preflight(config, ["en"])]
+
+    return each_row(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id long, problem string", run)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, plans, text
 from ..operators import relational
-from .registry import query, table
+from .registry import each_row, query, table
 
 _COLLAPSED = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
 _WORDS = f"CASE WHEN {_COLLAPSED} = '' THEN 0 ELSE len(string_split({_COLLAPSED}, ' ')) END"
@@ -156,12 +156,13 @@ def p20(spark, d):
     return relational.generation_candidates(rows, "kind", "text", 12).select("doc_id")
 
 
-@query("p21_instruction_check", "SELECT * FROM (VALUES (0, ''), (1, 'Document:'), (2, 'Query:, Document:')) v(id, missing)")
+@query("p21_instruction_check", "SELECT item_id, concat_ws(', ', CASE WHEN NOT contains(x, 'Query:') THEN 'Query:' END, CASE WHEN NOT contains(x, 'Document:') THEN 'Document:' END) AS missing FROM (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'Query: a ' ELSE '' END || CASE WHEN item_id % 3 = 0 THEN 'Document: ' ELSE '' END || text AS x FROM benchmark)")
 def p21(spark, d):
     from ..plans.checks import missing_parts
 
-    rows = [(i, ", ".join(missing_parts(x, ["Query:", "Document:"]))) for i, x in enumerate(["Query: a Document: b", "Query: a", ""])]
-    return spark.createDataFrame(rows, "id int, missing string")
+    part = lambda n, x: F.when(F.col("item_id") % n == 0, x).otherwise("")
+    rows = table(spark, d, "benchmark").select("item_id", F.concat(part(2, "Query: a "), part(3, "Document: "), "text").alias("x"))
+    return each_row(rows, "item_id long, missing string", lambda r: [(r["item_id"], ", ".join(missing_parts(r["x"], ["Query:", "Document:"])))])
 
 
 @query("f01_word_count", f"SELECT doc_id, CAST({words_sql('text')} AS BIGINT) AS n FROM documents")
@@ -301,11 +302,13 @@ def f23(spark, d):
     return table(spark, d, "events").select("event_id", text.calls_per_query(F.col("event_id") % 50, F.lit(12)).alias("calls"))
 
 
-@query("f24_option_parsing", "SELECT * FROM (VALUES ('null', NULL, NULL), ('', NULL, NULL), ('1,2, 3', '1,2, 3', [1, 2, 3]::BIGINT[]), (NULL, NULL, NULL)) v(raw, text, ids)")
+@query("f24_option_parsing", "SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN doc_id || ',' || n_chars || ', 7' END AS text, CASE WHEN doc_id % 4 = 2 THEN [doc_id, n_chars, 7] END AS ids FROM documents")
 def f24(spark, d):
     from ..plans.checks import optional_text, parse_ids
 
-    return spark.createDataFrame([(x, optional_text(x), parse_ids(x)) for x in ("null", "", "1,2, 3", None)], "raw string, text string, ids array<long>")
+    raw = F.when(F.col("doc_id") % 4 == 0, "Null").when(F.col("doc_id") % 4 == 1, " ").when(F.col("doc_id") % 4 == 2, F.concat_ws(",", "doc_id", "n_chars", F.lit(" 7 ")))
+    rows = table(spark, d, "documents").select("doc_id", raw.alias("raw"))
+    return each_row(rows, "doc_id long, text string, ids array<long>", lambda r: [(r["doc_id"], optional_text(r["raw"]), parse_ids(r["raw"]))])
 
 
 @query("f25_few_shot", "SELECT item_id, 'Example ' || row_number() OVER (ORDER BY item_id) || chr(10) || 'Query: ' || text || chr(10) || 'Relevant: ' || item_id || CASE WHEN item_id % 2 = 0 THEN chr(10) || 'Not relevant: ' || text ELSE '' END AS block FROM benchmark")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoints
 from ..sources import readers, sinks
-from .registry import query, table
+from .registry import each_row, query, table
 
 
 def _path(spark, name: str) -> str:
@@ -23,10 +23,11 @@ def _bench(spark, d, lines: bool = True):
 _BENCH = "SELECT CAST(item_id AS VARCHAR) AS doc_id, '' AS title, trim(text) AS text FROM benchmark"
 
 
-@query("s01_detect_format", "SELECT * FROM (VALUES ('a.tsv', 'tsv'), ('b.csv', 'csv'), ('c.jsonl', 'jsonl'), ('d.ndjson', 'jsonl'), ('e.parquet', 'parquet')) v(path, format)")
+@query("s01_detect_format", "SELECT doc_id, ['tsv', 'csv', 'jsonl', 'jsonl', 'parquet', NULL][doc_id % 6 + 1] AS format FROM documents")
 def s01(spark, d):
-    rows = [(p, readers.detect_format(spark, p)) for p in ("a.tsv", "b.csv", "c.jsonl", "d.ndjson", "e.parquet")]
-    return spark.createDataFrame(rows, "path string, format string")
+    """Names of files in any case."""
+    ending = F.get(F.array(*(F.lit(x) for x in (".tsv", ".CSV", ".jsonl", ".ndjson", ".Parquet", ".txt"))), (F.col("doc_id") % 6).cast("int"))
+    return table(spark, d, "documents").select("doc_id", readers.format_of(F.concat(F.lit("/data/set."), "source", F.col("doc_id").cast("string"), ending)).alias("format"))
 
 
 @query("s02_delimited_scan", "SELECT CAST(item_id AS VARCHAR) AS doc_id, CAST(item_id AS VARCHAR) || ' \"t' AS title, trim(replace(text, chr(10), ' ')) AS text FROM benchmark")
@@ -105,12 +106,15 @@ def s09(spark, d):
     return readers.read_batch(spark, path, "doc_id: string, doc: string")
 
 
-@query("s10_header_read", "SELECT * FROM (VALUES ('input_path', repeat('in', 50000)), ('num_queries', '2')) v(key, value)")
+@query("s10_header_read", "SELECT 'input_path' AS key, string_agg(text, '|' ORDER BY item_id) AS value FROM benchmark UNION ALL SELECT 'num_queries', CAST(count(*) AS VARCHAR) FROM benchmark")
 def s10(spark, d):
+    """The header of a batch: its values are longer than one read, and results of all items follow."""
     path = _path(spark, "batch.json")
-    sinks.replace_file(spark, path, '{"input_path": "' + "in" * 50_000 + '", "num_queries": 2, "results": [{"doc_id": "1"}]}')
-    head = readers.batch_header(spark, path)
-    return spark.createDataFrame([(k, str(v)) for k, v in head.items()], "key string, value string")
+    items = table(spark, d, "benchmark").agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("r"))
+    head = [F.array_join(F.transform("r", lambda x: x.text), "|").alias("input_path"), F.size("r").alias("num_queries")]
+    items.select(F.to_json(F.struct(*head, F.transform("r", lambda x: F.struct(x.item_id.alias("doc_id"), x.text.alias("doc"))).alias("results"))).alias("value")).coalesce(1).write.text(path)
+    (part,) = [r.path for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").collect()]
+    return spark.createDataFrame([(k, str(v)) for k, v in readers.batch_header(spark, part, 1 << 10).items()], "key string, value string")
 
 
 @query("s11_beir_read", "SELECT CAST(l.doc_id AS VARCHAR) AS query_id, CAST(l.doc_id AS VARCHAR) AS doc_id, quality AS rel FROM labels l")
@@ -134,19 +138,31 @@ def s13(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.posexplode(readers.json_records(raw)).alias("position", "record"))
 
 
-@query("s14_text_tree", "SELECT * FROM (VALUES ('sub0/doc 0.txt', 'one', false), ('sub1/doc 1.txt', 'two' || chr(10) || 'lines', false)) v(doc_id, text, blank)")
+def _put(df, path):
+    """A file for each row (name, content), written where the rows are."""
+
+    def run(r):
+        with sinks._opened(f"{path}/{r['name']}", True) as out:
+            out.write(r["content"].encode())
+        return [(1,)]
+
+    each_row(df, "n int", run).agg(F.sum("n")).collect()
+
+
+@query("s14_text_tree", "SELECT 'sub' || item_id % 3 || '/doc ' || item_id || '.txt' AS doc_id, trim(text) AS text, trim(text) = '' AS blank FROM benchmark")
 def s14(spark, d):
     path = _path(spark, "tree")
-    for i, text in enumerate(("one ", " two\nlines", "")):
-        sinks.replace_file(spark, f"{path}/sub{i}/doc {i}.txt", text)
+    name = F.format_string("sub%d/doc %d.txt", F.col("item_id") % 3, F.col("item_id"))
+    _put(table(spark, d, "benchmark").select(name.alias("name"), F.concat(F.lit(" "), "text", F.lit("\n\t")).alias("content")), path)
     return readers.read_text_tree(spark, path)
 
 
-@query("s15_numbered_json", "SELECT CAST(n AS BIGINT) AS number, CAST(n AS BIGINT) AS pid, 'f' || n AS fact FROM (VALUES (2), (10)) v(n)")
+@query("s15_numbered_json", "SELECT item_id AS number, item_id * 2 AS pid, text AS fact FROM benchmark")
 def s15(spark, d):
+    """One record a file, over several lines; names sort as numbers."""
     path = _path(spark, "cases")
-    for i in (2, 10):
-        sinks.replace_file(spark, f"{path}/{i}.json", f'{{"pid": {i}, "fact": "f{i}"}}')
+    content = F.concat(F.lit("{\n"), F.regexp_replace(F.to_json(F.struct((F.col("item_id") * 2).alias("pid"), F.col("text").alias("fact"))), r"^\{", ""), F.lit("\n"))
+    _put(table(spark, d, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit(".json")).alias("name"), content.alias("content")), path)
     return readers.read_numbered_json(spark, path, "pid long, fact string").orderBy("number")
 
 
@@ -228,9 +244,11 @@ def k10_release(spark, d):
     return files.where("path like '%source=%' or path = 'table.parquet'").select(folder.alias("folder"), "rows", only("bytes"), only("sha256"))
 
 
-@query("k03_atomic_replace", "SELECT 2 AS n")
+@query("k03_atomic_replace", "SELECT source, count(*) AS n FROM documents GROUP BY 1")
 def k03(spark, d):
+    """A state of counts, replaced whole: first by one without ids from 100 on, then by that of the table."""
     path = _path(spark, "state.json")
-    for text in ('{"n": 1}', '{"n": 2}'):
-        sinks.replace_file(spark, path, text)
-    return spark.read.schema("n int").json(path)
+    for rows in (table(spark, d, "documents").where("doc_id < 100"), table(spark, d, "documents")):
+        state = rows.groupBy("source").agg(F.count("*").alias("n")).select(F.to_json(F.struct("source", "n")).alias("line"))
+        sinks.replace_file(spark, path, "\n".join(r.line for r in state.collect()))  # a row a source
+    return spark.read.schema("source string, n long").json(path)

@@ -96,10 +96,10 @@ def v03_target(spark, d):
     return vectors.diverse(_corpus(spark, d), 0.3, target=40)
 
 
-@query("v04_cell_parameters", "WITH n AS (SELECT unnest([1, 10, 500, 10000, 1000000]) AS n), c AS (SELECT n, greatest(1, least(CAST(floor(4 * sqrt(n)) AS BIGINT), n // 39 + 1)) AS cells FROM n) SELECT CAST(n AS BIGINT) AS n, cells, greatest(8, CAST(floor(sqrt(cells)) AS BIGINT)) AS probes, least(256 * cells, n) AS training_rows FROM c")
+@query("v04_cell_parameters", "WITH c AS (SELECT doc_id, n_chars * n_chars + 1 AS n, greatest(1, least(CAST(floor(4 * sqrt(n)) AS BIGINT), n // 39 + 1)) AS cells FROM documents) SELECT doc_id, CAST(n AS BIGINT) AS n, cells, greatest(8, CAST(floor(sqrt(cells)) AS BIGINT)) AS probes, least(256 * cells, n) AS training_rows FROM c")
 def v04(spark, d):
-    sizes = spark.createDataFrame([(x,) for x in (1, 10, 500, 10_000, 1_000_000)], "n long")
-    return sizes.select("n", *vectors.cell_parameters(F.col("n")))
+    sizes = table(spark, d, "documents").select("doc_id", (F.col("n_chars") * F.col("n_chars") + 1).alias("n"))
+    return sizes.select("doc_id", "n", *vectors.cell_parameters(F.col("n")))
 
 
 def _index(spark, d):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -28,9 +29,19 @@ class Message(NamedTuple):
     length: int
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path, which may begin with its scheme, and the name in it. Raises where ``pyarrow`` knows no such store."""
+    scheme, _, name = path.partition(":")
+    if "/" in scheme or not name:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + name.lstrip("/")
+    return fs.FileSystem.from_uri(f"{scheme}:{quote(name, safe='/:@?&=%')}")
+
+
 def opened(path: str) -> pa.NativeFile:
-    """A file that can be read at any place. Raises where the path's store is none that ``pyarrow`` knows."""
-    store, name = fs.FileSystem.from_uri(path) if ":" in path.split("/", 1)[0] else (fs.LocalFileSystem(), path)
+    """A file that can be read at any place."""
+    store, name = located(path)
     return store.open_input_file(name)
 
 

@@ -30,6 +30,14 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def format_of(path: Column) -> Column:
+    """The format that a file's name tells, in any case; null if it tells none."""
+    found = F.lit(None).cast("string")
+    for ext, name in FORMATS.items():
+        found = F.when(F.lower(path).endswith(ext), name).otherwise(found)
+    return found
+
+
 def detect_format(spark: SparkSession, path: str) -> str:
     """By extension; a folder is Arrow files, or Parquet if it holds such."""
     for ext, name in FORMATS.items():

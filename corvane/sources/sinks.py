@@ -10,11 +10,11 @@ from uuid import uuid4
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .arrow_files import located
 from .readers import _fs
 
 
@@ -144,7 +144,7 @@ CHUNK = 1 << 20
 
 def _opened(path: str, write: bool = False):
     """A stream of a file in any store that ``pyarrow`` knows."""
-    store, name = pafs.FileSystem.from_uri(path) if ":" in path.split("/", 1)[0] else (pafs.LocalFileSystem(), path)
+    store, name = located(path)
     if write:
         store.create_dir(name.rsplit("/", 1)[0], recursive=True)
         return store.open_output_stream(name)
@@ -171,7 +171,7 @@ def _streamed(source: str, target: str | None) -> tuple[int, int, str]:
 
 
 def _footer_rows(path: str) -> int:
-    store, name = pafs.FileSystem.from_uri(path) if ":" in path.split("/", 1)[0] else (pafs.LocalFileSystem(), path)
+    store, name = located(path)
     return pq.read_metadata(name, filesystem=store).num_rows
 
 
