@@ -92,6 +92,20 @@ def custom_layout(corpus: DataFrame, queries: DataFrame, qrels: DataFrame) -> tu
     return clean, problems
 
 
+def blind_manifest(pairs: DataFrame, n: int, seed: int, dataset: str = "dataset", key: str = "pair_id") -> DataFrame:
+    """What an audit needs of ``blind_samples``: per data set pairs, samples, source_mark and samples_sha256.
+
+    source_mark is the sum of 60 bits of each pair's SHA-256, so it is the same for any order of the rows and a task never
+    holds a data set; samples_sha256 is over the public samples in the order of their ids, at most ``n`` of them.
+    """
+    lines = lambda *c: F.concat(*(x for name in c for x in (F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit("\n"))))
+    mark = F.conv(F.substring(F.sha2(lines(key, "query", "document", "label"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    source = pairs.groupBy(dataset).agg(F.count("*").alias("pairs"), F.sum(mark).cast("string").alias("source_mark"))
+    public = blind_samples(pairs, n, seed, dataset, key)[0].select(dataset, "sample_id", lines("sample_id", "query", "document").alias("_line"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sample_id", "_line"))), lambda x: x["_line"]), "")
+    return source.join(public.groupBy(dataset).agg(F.count("*").alias("samples"), F.sha2(listed, 256).alias("samples_sha256")), dataset)
+
+
 def blind_samples(pairs: DataFrame, n: int, seed: int, dataset: str = "dataset", key: str = "pair_id") -> tuple[DataFrame, DataFrame]:
     """n pairs of each data set under neutral ids: what annotators see, and the answers."""
     order = digest(seed, dataset, key)

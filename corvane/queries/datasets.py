@@ -145,3 +145,8 @@ def d20(spark, d):
 @query("d20_private_answers", f"WITH {_BLIND} SELECT sample_id, doc_id AS pair_id, doc_id % 4 AS label FROM b WHERE n <= 15")
 def d20_private(spark, d):
     return convert.blind_samples(_pairs(spark, d), 15, 10)[1]
+
+
+@query("d20_manifest", f"WITH {_BLIND}, s AS (SELECT lang, count(*) AS samples, sha256(string_agg(sample_id || chr(10) || source || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY sample_id)) AS samples_sha256 FROM b WHERE n <= 15 GROUP BY 1), p AS (SELECT lang, count(*) AS pairs, CAST(sum(CAST('0x' || substring(sha256(doc_id || chr(10) || source || chr(10) || coalesce(text, '') || chr(10) || doc_id % 4 || chr(10)), 1, 15) AS BIGINT)) AS VARCHAR) AS source_mark FROM documents GROUP BY 1) SELECT lang AS dataset, pairs, source_mark, samples, samples_sha256 FROM p JOIN s USING (lang)")
+def d20_manifest(spark, d):
+    return convert.blind_manifest(_pairs(spark, d), 15, 10)
