@@ -608,14 +608,14 @@ def test_checked_writes_count_in_the_pass_that_writes(spark, tmp_path):
 # -- exact quantiles
 
 
-@pytest.mark.parametrize("few", [4, 50, 10_000])
+@pytest.mark.parametrize("few", [4, 10_000])
 def test_exact_quantiles(spark, duck, monkeypatch, few):
     """Continuous values, heavy ties and few distinct ones, odd and even counts; no more than a few values are ever counted one
     by one."""
     monkeypatch.setattr(statistics, "FEW", few)
     rng = np.random.default_rng(few)
-    sets = [rng.normal(size=1001), rng.normal(size=1000), np.concatenate([np.full(500, 2.0), rng.normal(size=301), np.full(400, -1.0)]), np.repeat([1.0, 2.0], 300), np.full(9, 5.0), np.array([3.0]), np.array([1.0, 4.0]), rng.integers(0, 5, 777).astype(float), 10.0 ** rng.integers(-300, 300, 500)]
-    shares = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    sets = [rng.normal(size=1001), rng.normal(size=1000), np.concatenate([np.full(500, 2.0), rng.normal(size=301), np.full(400, -1.0)]), np.repeat([1.0, 2.0], 300), np.array([3.0]), 10.0 ** rng.integers(-300, 300, 500)]
+    shares = [0.25, 0.5, 0.99]
     for x in sets:
         rows = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 3, "v double").repartition(3)
         got = statistics.exact_quantiles(rows, F.col("v"), shares)
