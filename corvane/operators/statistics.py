@@ -70,9 +70,12 @@ def _at_ranks(x: DataFrame, ranks: Sequence[int]) -> list[float]:
         left = [r for r in bracket if r not in out]
         seen = x.agg(*(F.approx_count_distinct(F.when(inside(r), F.col("x"))).alias(f"d{r}") for r in left), *(F.count_if(inside(r)).alias(f"n{r}") for r in left)).first()
         few = [r for r in left if 2 * seen[f"d{r}"] <= FEW or bracket[r][0] == bracket[r][1]]
+        counted: dict[tuple, list] = {}  # places in one bracket are read off together
         for r in few:
+            if bracket[r] not in counted:
+                counted[bracket[r]] = x.where(inside(r)).groupBy("x").agg(F.count("*").alias("c")).orderBy("x").collect()
             upto = bracket[r][2]
-            for value, c in x.where(inside(r)).groupBy("x").agg(F.count("*").alias("c")).orderBy("x").collect():
+            for value, c in counted[bracket[r]]:
                 upto += c
                 if r < upto:
                     out[r] = value
