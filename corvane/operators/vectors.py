@@ -13,8 +13,12 @@ from pyspark.sql.window import Window
 
 from ..session import stored
 
-#: Bytes of query vectors that one pass sends to every worker; more queries take more passes.
+#: Bytes that one pass keeps in every worker: query vectors, and the best of each query so far. More queries take more passes.
 PASS_BYTES = 64 << 20
+#: Queries and corpus rows whose scores a worker holds at once.
+TILE_QUERIES, TILE_ROWS = 512, 2048
+#: Up to this k a partition keeps the best of each query; beyond it, it sends all its pairs to the final ranking.
+MOST_KEPT = 8192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,6 +36,38 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.slice(column.offsets[0].as_py(), column.offsets[len(column)].as_py() - column.offsets[0].as_py()).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+class Scorer:
+    """Scores of tiles of queries with tiles of rows."""
+
+    def __init__(self, queries: np.ndarray, metric: str = "inner"):
+        self.queries, self.metric = queries, metric
+        self.square = (queries**2).sum(1)
+
+    def tile(self, at: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the queries ``at`` with the rows ``m`` by a product of matrices, whose last digits depend on where a
+        row stands; and, a query, how far they may lie from the exact ones."""
+        score, square = self.queries[at] @ m.T, (m**2).sum(1)
+        size = np.sqrt(self.square[at]) + np.sqrt(square.max())
+        if self.metric == "euclidean":
+            score *= -2
+            score += self.square[at][:, None]
+            score += square[None]
+            np.negative(score, out=score)
+        return score, 8 * (m.shape[1] + 4) * np.finfo(np.float64).eps * size**2
+
+    def exact(self, row: np.ndarray, m: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """Scores of pairs, each summed in the order of the dimensions: equal vectors have equal scores."""
+        out = np.zeros(len(row))
+        for x, y in zip(self.queries.T, m.T, strict=True):
+            a, b = x[row], y[col]
+            out += a * b if self.metric == "inner" else -((a - b) ** 2)
+        return out
+
+
+def _pairs(queries: np.ndarray, docs: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(queries), pa.array(docs), pa.array(scores)], ["query_id", "doc_id", "score"])
+
+
 def _score_block(batches: Iterator[pa.RecordBatch], sent, k: int, metric: str) -> Iterator[pa.RecordBatch]:
     """The best k of a partition for each query of the block."""
     ids, queries = sent.value
@@ -54,6 +90,35 @@ def _score_block(batches: Iterator[pa.RecordBatch], sent, k: int, metric: str) -
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_id.reshape(-1)), pa.array(best.reshape(-1))], ["query_id", "doc_id", "score"])
 
 
+def _all_block(batches: Iterator[pa.RecordBatch], sent, metric: str) -> Iterator[pa.RecordBatch]:
+    """All pairs of a partition with the queries of the block, a tile at a time."""
+    ids, queries = sent.value
+    scorer = Scorer(queries, metric)
+    for batch in batches:
+        docs, m = batch.column("doc_id").to_numpy(), _matrix(batch.column("embedding")) if batch.num_rows else np.zeros((0, 1))
+        for j in range(0, len(m), TILE_ROWS):
+            for i in range(0, len(ids), TILE_QUERIES):
+                part, some = np.arange(i, min(i + TILE_QUERIES, len(ids))), docs[j : j + TILE_ROWS]
+                row, col = np.repeat(part, len(some)), np.tile(np.arange(len(some)), len(part))
+                yield _pairs(ids[row], some[col], scorer.exact(row, m[j : j + TILE_ROWS], col))
+
+
+def _total_block(batches: Iterator[pa.RecordBatch], sent, metric: str) -> Iterator[pa.RecordBatch]:
+    """Per query of the block: a partition's pairs, their best score and the sum of their scores."""
+    ids, queries = sent.value
+    scorer, n, best, total = Scorer(queries, metric), 0, np.full(len(ids), -np.inf), np.zeros(len(ids))
+    for batch in batches:
+        m = _matrix(batch.column("embedding")) if batch.num_rows else np.zeros((0, 1))
+        n += len(m)
+        for j in range(0, len(m), TILE_ROWS):
+            for i in range(0, len(ids), TILE_QUERIES):
+                at = np.arange(i, min(i + TILE_QUERIES, len(ids)))
+                score, _ = scorer.tile(at, m[j : j + TILE_ROWS])
+                best[at], total[at] = np.maximum(best[at], score.max(1)), total[at] + score.sum(1)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), n)), pa.array(best), pa.array(total)], ["query_id", "n", "best", "total"])
+
+
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "inner") -> DataFrame:
     """Per query the k best documents: query_id, doc_id, score, rank; ties by doc_id.
 
@@ -61,28 +126,48 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "in
     block; a partition sends at most k rows a query to the final ranking. metric: ``inner``, or ``euclidean`` for minus
     the squared distance.
     """
-    return _ranked(queries, corpus, k, partial(_score_block, k=k, metric=metric))
+    if k <= MOST_KEPT:
+        found = _by_block(queries, corpus, partial(_score_block, k=k, metric=metric), _PAIR, 16 * k)
+    else:
+        found = all_pairs(queries, corpus, metric)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+_PAIR = "query_id long, doc_id long, score double"
 
 
-def _ranked(queries: DataFrame, corpus: DataFrame, k: int, best) -> DataFrame:
-    """The k best of what ``best`` finds in each partition of the corpus for each block of queries."""
+def all_pairs(queries: DataFrame, corpus: DataFrame, metric: str = "inner") -> DataFrame:
+    """The score of each query with each document: query_id, doc_id, score. Tiles of pairs leave a worker as they are
+    scored; as many rows as there are pairs."""
+    return _by_block(queries, corpus, partial(_all_block, metric=metric), _PAIR)
+
+
+def pair_totals(queries: DataFrame, corpus: DataFrame, metric: str = "inner") -> DataFrame:
+    """Per query, over its pairs with all documents: query_id, n, best and mean score. Each pair is scored, and summed up
+    where it is scored: a partition sends one row a query."""
+    rows = _by_block(queries, corpus, partial(_total_block, metric=metric), "query_id long, n long, best double, total double")
+    return rows.groupBy("query_id").agg(F.sum("n").alias("n"), F.max("best").alias("best"), (F.sum("total") / F.sum("n")).alias("mean"))
+
+
+def _by_block(queries: DataFrame, corpus: DataFrame, score, schema: str, state: int = 0) -> DataFrame:
+    """What ``score`` finds in each partition of the corpus for each block of queries. state: bytes that it keeps a query."""
     spark = queries.sparkSession
     head = queries.select(F.size("embedding").alias("n")).first()
     parts = []
     if head is not None:
-        rows = max(1, PASS_BYTES // (8 * max(1, head.n)))
+        rows = max(1, PASS_BYTES // (8 * max(1, head.n) + state))
         blocks = max(1, -(-queries.count() // rows))
         for b in range(blocks):
             block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
             got = block.select(F.col("query_id").cast("long"), "embedding").toArrow().combine_chunks()
             if got.num_rows:
                 sent = spark.sparkContext.broadcast((got.column("query_id").to_numpy(), _matrix(got.column("embedding").combine_chunks())))
-                parts.append(corpus.select(F.col("doc_id").cast("long"), "embedding").mapInArrow(partial(best, sent=sent), "query_id long, doc_id long, score double"))
-    found = parts[0] if parts else spark.createDataFrame([], "query_id long, doc_id long, score double")
+                parts.append(corpus.select(F.col("doc_id").cast("long"), "embedding").mapInArrow(partial(score, sent=sent), schema))
+    found = parts[0] if parts else spark.createDataFrame([], schema)
     for p in parts[1:]:
         found = found.union(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found
 
 
 def origin_scores(queries: DataFrame, corpus: DataFrame, origins: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ import json
 import os
 import re
 import statistics as py
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,6 +27,7 @@ from corvane.sources import arrow_files, readers, sinks
 from corvane.streaming import index_build
 
 from .compare import same
+from .conftest import DATA
 
 
 def one(spark, expr):
@@ -316,6 +319,48 @@ def test_blocks_agree_with_expressions(spark):
     assert key(vectors.dense_top_k(queries, corpus.repartition(5), 7)) == key(plain)
 
 
+@pytest.fixture(scope="module")
+def many_vectors(tmp_path_factory):
+    """8,000 vectors beside the other tables; 400 of them are queries."""
+    d = tmp_path_factory.mktemp("vectors")
+    for f in os.listdir(DATA):
+        if f != "embeddings.parquet":
+            os.symlink(f"{DATA}/{f}", d / f)
+    m = np.random.default_rng(6).normal(size=(8000, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(8000), "embedding": list(m), "label": pa.array(np.arange(8000) % 10, pa.int32())}), d / "embeddings.parquet")
+    return str(d)
+
+
+#: Queries over scores of all vectors, whose worker must not hold the scores of a batch, or of a partition, at once.
+BOUNDED = ["j14_all_pairs"]
+
+
+@pytest.mark.parametrize("name", BOUNDED)
+def test_scores_are_held_a_tile_at_a_time(spark, many_vectors, name, monkeypatch):
+    """Scores of the batch with all queries are 26 MB; a worker gets by with less than that, beside its input."""
+    monkeypatch.setattr(vectors, "TILE_QUERIES", 64, raising=False)
+    monkeypatch.setattr(vectors, "TILE_ROWS", 256, raising=False)
+    kernels, frame = [], type(spark.range(1))
+    plain = frame.mapInArrow
+
+    def watched(df, kernel, schema, *more):
+        kernels.append(kernel)
+        return plain(df, kernel, schema, *more)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    QUERIES[name](spark, many_vectors)
+    rows = pq.read_table(f"{many_vectors}/embeddings.parquet").select(["vec_id", "embedding"]).rename_columns(["doc_id", "embedding"])
+    batch = rows.combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    try:
+        for _ in kernels[0](iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20e6
+
+
 def test_diverse_selection_is_greedy(spark):
     import hashlib
 
