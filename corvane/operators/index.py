@@ -91,20 +91,15 @@ def stored_vectors(spark: SparkSession, path: str) -> DataFrame:
 def _best(batches: Iterator[pa.RecordBatch], sent, k: int) -> Iterator[pa.RecordBatch]:
     """The best k of a partition for each query, among rows whose cell the query probes."""
     ids, queries, askers, begin = sent.value
-    best_id, best = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -np.inf)
+    best = vectors.Best(vectors.Scorer(queries), k)
     for batch in batches:
         if not batch.num_rows:
             continue
         docs, m, own = batch.column("doc_id").to_numpy(), vectors._matrix(batch.column("embedding")), batch.column("cell").to_numpy()
         for c in np.unique(own):
-            at, here = askers[begin[c] : begin[c + 1]], own == c
-            score = queries[at] @ m[here].T
-            all_id, every = np.concatenate([best_id[at], np.broadcast_to(docs[here], score.shape)], 1), np.concatenate([best[at], score], 1)
-            order = np.lexsort((all_id, -every), axis=1)[:, :k]
-            best_id[at], best[at] = np.take_along_axis(all_id, order, 1), np.take_along_axis(every, order, 1)
-    q, i = np.nonzero(best > -np.inf)
-    if len(q):
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_id[q, i]), pa.array(best[q, i])], ["query_id", "doc_id", "score"])
+            here = own == c
+            best.add(docs[here], m[here], askers[begin[c] : begin[c + 1]])
+    yield from best.batches(ids)
 
 
 def search(queries: DataFrame, path: str, k: int, probes: int | None = None) -> DataFrame:

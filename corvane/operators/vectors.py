@@ -64,6 +64,61 @@ class Scorer:
         return out
 
 
+class Best:
+    """The best k rows seen so far for each of some queries; ties by id, and NaN before any number, as in SQL."""
+
+    def __init__(self, scorer: Scorer, k: int):
+        n = len(scorer.queries)
+        self.scorer, self.k = scorer, k
+        self.ids, self.scores = np.empty((n, k), np.int64), np.empty((n, k))
+        self.kept, self.cut = np.zeros(n, np.int64), np.full(n, -np.inf)
+
+    def add(self, docs: np.ndarray, m: np.ndarray, at: np.ndarray | None = None) -> None:
+        """Rows seen by all queries, or by the queries ``at``."""
+        at = np.arange(len(self.kept)) if at is None else at
+        for j in range(0, len(m) if self.k else 0, TILE_ROWS):
+            for i in range(0, len(at), TILE_QUERIES):
+                self._tile(at[i : i + TILE_QUERIES], docs[j : j + TILE_ROWS], m[j : j + TILE_ROWS])
+
+    def _tile(self, at: np.ndarray, docs: np.ndarray, m: np.ndarray) -> None:
+        score, slack = self.scorer.tile(at, m)
+        # not below the cut, rather than above it: NaN stays
+        passed = ~(score < (self.cut[at] - slack)[:, None])
+        if score.shape[1] > self.k and passed.sum() > 2 * self.k * len(at):
+            lowest = np.partition(score, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k] - 2 * slack
+            passed &= ~(score < lowest[:, None])
+        row, col = np.nonzero(passed)
+        if not len(row):
+            return
+        value = self.scorer.exact(at[row], m, col)
+        # with what these queries have
+        had = at[np.unique(row)]
+        old = np.repeat(had, self.kept[had])
+        place = np.arange(len(old)) - np.repeat(np.cumsum(self.kept[had]) - self.kept[had], self.kept[had])
+        query, ids, value = np.concatenate([old, at[row]]), np.concatenate([self.ids[old, place], docs[col]]), np.concatenate([self.scores[old, place], value])
+        order = np.lexsort((ids, -value, ~np.isnan(value), query))
+        query, ids, value = query[order], ids[order], value[order]
+        begin = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        size = np.diff(np.r_[begin, len(query)])
+        place = np.arange(len(query)) - np.repeat(begin, size)
+        good = place < self.k
+        self.ids[query[good], place[good]], self.scores[query[good], place[good]] = ids[good], value[good]
+        seen = query[begin]
+        self.kept[seen] = np.minimum(size, self.k)
+        full = seen[self.kept[seen] == self.k]
+        last = self.scores[full, self.k - 1]
+        self.cut[full] = np.where(np.isnan(last), np.inf, last)
+
+    def batches(self, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What is kept, for queries of these ids, some queries at a time."""
+        step = max(1, TILE_QUERIES * TILE_ROWS // max(1, self.k))
+        for i in range(0, len(ids), step):
+            kept = self.kept[i : i + step]
+            have = np.arange(self.k)[None] < kept[:, None]
+            if have.any():
+                yield _pairs(np.repeat(ids[i : i + step], kept), self.ids[i : i + step][have], self.scores[i : i + step][have])
+
+
 def _pairs(queries: np.ndarray, docs: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(queries), pa.array(docs), pa.array(scores)], ["query_id", "doc_id", "score"])
 
@@ -71,23 +126,11 @@ def _pairs(queries: np.ndarray, docs: np.ndarray, scores: np.ndarray) -> pa.Reco
 def _score_block(batches: Iterator[pa.RecordBatch], sent, k: int, metric: str) -> Iterator[pa.RecordBatch]:
     """The best k of a partition for each query of the block."""
     ids, queries = sent.value
-    best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+    best = Best(Scorer(queries, metric), k)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        docs, m = batch.column("doc_id").to_numpy(), _matrix(batch.column("embedding"))
-        score = queries @ m.T
-        if metric == "euclidean":
-            score = -np.maximum((queries**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * score, 0.0)
-        all_id, every = np.concatenate([best_id, np.broadcast_to(docs, score.shape)], 1), np.concatenate([best, score], 1)
-        if every.shape[1] > k:
-            # the k-th score is a cut; ties at it are settled by id
-            order = np.lexsort((all_id, -every), axis=1)[:, :k]
-            all_id, every = np.take_along_axis(all_id, order, 1), np.take_along_axis(every, order, 1)
-        best_id, best = all_id, every
-    n = best.shape[1]
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_id.reshape(-1)), pa.array(best.reshape(-1))], ["query_id", "doc_id", "score"])
+        if batch.num_rows:
+            best.add(batch.column("doc_id").to_numpy(), _matrix(batch.column("embedding")))
+    yield from best.batches(ids)
 
 
 def _all_block(batches: Iterator[pa.RecordBatch], sent, metric: str) -> Iterator[pa.RecordBatch]:
@@ -123,8 +166,9 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "in
     """Per query the k best documents: query_id, doc_id, score, rank; ties by doc_id.
 
     queries: query_id, embedding, a stated set, taken in blocks of bounded size. corpus: doc_id, embedding, read once a
-    block; a partition sends at most k rows a query to the final ranking. metric: ``inner``, or ``euclidean`` for minus
-    the squared distance.
+    block; a partition sends at most k rows a query to the final ranking. A worker holds a block, its best k, and the
+    scores of one tile, however many queries and rows there are. metric: ``inner``, or ``euclidean`` for minus the squared
+    distance.
     """
     if k <= MOST_KEPT:
         found = _by_block(queries, corpus, partial(_score_block, k=k, metric=metric), _PAIR, 16 * k)
