@@ -359,7 +359,7 @@ def many_vectors(tmp_path_factory):
 
 
 #: Queries over scores of all vectors, whose worker must not hold the scores of a batch, or of a partition, at once.
-BOUNDED = ["j14_all_pairs", "n04_branch_a", "d06_outcomes"]
+BOUNDED = ["j14_all_pairs", "n04_branch_a", "d06_outcomes", "d01_export_hard"]
 
 
 @pytest.mark.parametrize("name", BOUNDED)
