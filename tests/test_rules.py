@@ -359,7 +359,7 @@ def many_vectors(tmp_path_factory):
 
 
 #: Queries over scores of all vectors, whose worker must not hold the scores of a batch, or of a partition, at once.
-BOUNDED = ["j14_all_pairs", "n04_branch_a", "d06_outcomes", "d01_export_hard", "a19_ndcg", "a21_map", "d02_export_hard_else_easy", "n11_calibration", "a20_recall", "a24_judged_rates", "n05_branch_b", "l08_candidate_annotator", "d04_export_score_three", "l06_query_to_passage", "k06_trec_run", "a22_mrr", "n12_draft_pools", "n03_pool", "d11_queries_of_sample", "n09_annotate_queries"]
+BOUNDED = ["j14_all_pairs", "n04_branch_a", "d06_outcomes", "d01_export_hard", "a19_ndcg", "a21_map", "d02_export_hard_else_easy", "n11_calibration", "a20_recall", "a24_judged_rates", "n05_branch_b", "l08_candidate_annotator", "d04_export_score_three", "l06_query_to_passage", "k06_trec_run", "a22_mrr", "n12_draft_pools", "n03_pool", "d11_queries_of_sample", "n09_annotate_queries", "d07_origin_only"]
 
 
 @pytest.mark.parametrize("name", BOUNDED)
