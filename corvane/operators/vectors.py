@@ -87,7 +87,7 @@ class Best:
         if score.shape[1] > self.k and passed.sum() > 2 * self.k * len(at):
             lowest = np.partition(score, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k] - 2 * slack
             passed &= ~(score < lowest[:, None])
-        row, col = np.nonzero(passed)
+        row, col = np.divmod(np.flatnonzero(passed), passed.shape[1])
         if not len(row):
             return
         value = self.scorer.exact(at[row], m, col)
@@ -195,9 +195,14 @@ def pair_totals(queries: DataFrame, corpus: DataFrame, metric: str = "inner") ->
 
 
 def _by_block(queries: DataFrame, corpus: DataFrame, score, schema: str, state: int = 0) -> DataFrame:
-    """What ``score`` finds in each partition of the corpus for each block of queries. state: bytes that it keeps a query."""
+    """What ``score`` finds in each partition of the corpus for each block of queries. state: bytes that it keeps a query.
+
+    The corpus is dealt to as many tasks as can run: the work is in the pairs, and a file of few bytes, or of one row
+    group, is one task of a scan. Blocks share what was dealt.
+    """
     spark = queries.sparkSession
     head = queries.select(F.size("embedding").alias("n")).first()
+    corpus = corpus.select(F.col("doc_id").cast("long"), "embedding").repartition(spark.sparkContext.defaultParallelism)
     parts = []
     if head is not None:
         rows = max(1, PASS_BYTES // (8 * max(1, head.n) + state))
@@ -207,7 +212,7 @@ def _by_block(queries: DataFrame, corpus: DataFrame, score, schema: str, state:
             got = block.select(F.col("query_id").cast("long"), "embedding").toArrow().combine_chunks()
             if got.num_rows:
                 sent = spark.sparkContext.broadcast((got.column("query_id").to_numpy(), _matrix(got.column("embedding").combine_chunks())))
-                parts.append(corpus.select(F.col("doc_id").cast("long"), "embedding").mapInArrow(partial(score, sent=sent), schema))
+                parts.append(corpus.mapInArrow(partial(score, sent=sent), schema))
     found = parts[0] if parts else spark.createDataFrame([], schema)
     for p in parts[1:]:
         found = found.union(p)

@@ -388,6 +388,19 @@ def test_scores_are_held_a_tile_at_a_time(spark, many_vectors, name, monkeypatch
     assert peak < 20e6
 
 
+@pytest.mark.parametrize("name", ["t01_dense_top_k", "j14_all_pairs", "d06_outcomes"])
+def test_scoring_is_dealt_to_all_tasks(spark, many_vectors, name, monkeypatch):
+    """One file of one row group is scored by as many tasks as can run, each with its share of the rows."""
+    scored, frame = [], type(spark.range(1))
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, *more: scored.append(df) or plain(df, *more))
+    QUERIES[name](spark, many_vectors)
+    sizes = [r["count"] for r in scored[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 8000
+    assert len(sizes) == spark.sparkContext.defaultParallelism
+    assert max(sizes) < 2 * 8000 / len(sizes)
+
+
 def test_diverse_selection_is_greedy(spark):
     import hashlib
 
