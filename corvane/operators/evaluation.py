@@ -8,14 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored
+
+#: Rows of a run up to which digests of their pairs are sent to the judgements; beyond it all judgements are shuffled.
+SENT_PAIRS = 4_000_000
+
 
 def with_qrels(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     return queries.join(qrels.select("query_id"), "query_id", "left_semi")
 
 
 def judged_run(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """Adds rel (0 where there is no judgement) and judged."""
+    """Adds rel (0 where there is no judgement) and judged. The run is computed once; judgements of other pairs stay where
+    they are."""
+    run = stored(run, "run")
     q = qrels.select("query_id", "doc_id", "rel", F.lit(True).alias("judged"))
+    pair, same = F.xxhash64("query_id", "doc_id"), all(run.schema[c].dataType == q.schema[c].dataType for c in ("query_id", "doc_id"))
+    if same and run.count() <= SENT_PAIRS:
+        q = q.withColumn("_pair", pair).join(F.broadcast(run.select(pair.alias("_pair")).distinct()), "_pair", "left_semi").drop("_pair")
     return run.join(q, ["query_id", "doc_id"], "left").withColumns({"rel": F.coalesce("rel", F.lit(0)), "judged": F.coalesce("judged", F.lit(False))})
 
 
@@ -35,9 +45,14 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
         F.sum(F.when(hit == 1, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("precision_sum"),
         F.min(F.when(hit == 1, F.col("rank"))).alias("first_hit"),
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("rel"), "doc_id")
-    best = qrels.withColumn("place", F.row_number().over(order)).groupBy("query_id").agg(
-        F.sum(F.when((F.col("rel") > 0) & (F.col("place") <= k), gain(F.col("rel"), F.col("place"))).otherwise(0.0)).alias("ideal"), F.count_if(F.col("rel") > 0).alias("relevant")
+    # the order within a relevance does not matter, so its judgements are counted and each count fills the next places
+    level = qrels.groupBy("query_id", "rel").agg(F.count("*").alias("n"))
+    above = Window.partitionBy("query_id").orderBy(F.desc("rel")).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n").over(above), F.lit(0)) + 1
+    last = F.least(F.col("first") + F.col("n") - 1, F.lit(k))
+    places = F.when((F.col("rel") > 0) & (F.col("first") <= last), F.sequence("first", last))
+    best = level.withColumn("first", first).groupBy("query_id").agg(
+        F.coalesce(F.sum(F.aggregate(places, F.lit(0.0), lambda s, p: s + gain(F.col("rel"), p))), F.lit(0.0)).alias("ideal"), F.coalesce(F.sum(F.when(F.col("rel") > 0, F.col("n"))), F.lit(0)).alias("relevant")
     )
     rows = best.join(got, "query_id", "left").fillna(0, ["dcg", "found", "precision_sum"])
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)

@@ -913,6 +913,46 @@ def test_metrics_by_hand(spark):
     assert (got["q2"].ndcg, got["q2"].mrr, got["q3"].ndcg) == (0.0, 0.0, 0.0)
 
 
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_metrics_of_many_judgements(spark, sent, monkeypatch):
+    """Against a sorted list of judgements in plain Python; what is sorted or joined are counts and the run's own pairs."""
+    monkeypatch.setattr(evaluation, "SENT_PAIRS", sent, raising=False)
+    rng = np.random.default_rng(8)
+    rel = {(q, d): int(rng.integers(-1, 4)) if q else 0 for q in range(4) for d in range(0, 200, q + 1)}
+    qrels = spark.createDataFrame([(*k, v) for k, v in rel.items()] + [(0, 1000, None)], "query_id long, doc_id long, rel int")
+    ranked = {q: [int(d) for d in rng.permutation(250)[:12]] for q in (0, 1, 2, 9)}
+    run = spark.createDataFrame([(q, d, -float(r), r) for q, docs in ranked.items() for r, d in enumerate(docs, 1)], "query_id long, doc_id long, score double, rank int")
+    for k in (1, 5, 10, 150):
+        got = {r.query_id: r for r in evaluation.per_query(run, qrels, k).collect()}
+        assert got.keys() == {0, 1, 2, 3}
+        for q, r in got.items():
+            found, every = [rel.get((q, d), 0) for d in ranked.get(q, [])[:k]], sorted((v for (x, _), v in rel.items() if x == q and v > 0), reverse=True)
+            ideal, dcg = (sum((2**v - 1) / np.log2(i + 1) for i, v in enumerate(x[:k], 1)) for x in (every, found))
+            assert r.ndcg == pytest.approx(dcg / ideal if ideal else 0)
+            assert r.recall == pytest.approx(sum(v > 0 for v in found) / len(every) if every else 0)
+    many = spark.range(20).select((F.col("id") % 2).alias("query_id"), F.col("id").alias("doc_id"), F.lit(1).alias("rel")).crossJoin(spark.range(3000).select(F.col("id").alias("_n")))
+    many = many.select("query_id", (F.col("doc_id") + 20 * F.col("_n")).alias("doc_id"), "rel")
+    df = evaluation.per_query(run, many, 10)
+    assert len(df.collect()) == 2
+    assert not sent or max(shuffled_rows(df)) <= 48
+
+
+def shuffled_rows(df):
+    """Rows that each shuffle of a collected DataFrame has written."""
+
+    def exchanges(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return exchanges(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return exchanges(plan.plan())
+        own = [plan.metrics().apply("shuffleRecordsWritten").value()] if name == "ShuffleExchangeExec" else []
+        children = plan.children()
+        return own + [x for i in range(children.size()) for x in exchanges(children.apply(i))]
+
+    return exchanges(df._jdf.queryExecution().executedPlan())
+
+
 def test_agreement(spark):
     rows = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b")], "x string, y string")
     m = agreement.confusion(rows, "x", "y", ["a", "b", "c"])
