@@ -35,11 +35,14 @@ from pyspark.sql.window import Window
 
 from .scratch import keep, new_path, null_safe, only_keys, scope, small, unused
 
-#: Keyed state on disk, sent to the checkpoint as changes; without files allocated ahead, which many small stores multiply.
+#: Keyed state on disk, sent to the checkpoint as changes; without files allocated ahead, which many small stores multiply. A
+#: store is closed with its task: an executor has as many open as it has cores, not one for each partition until a minute
+#: after the stream.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: Bytes of narrow rows that one micro-batch takes in.
 BATCH_BYTES = 4_000_000_000

@@ -8,8 +8,8 @@ views agree. Hashes are 64-bit polynomials with wrap-around, finished by a bijec
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 from typing import NamedTuple
 
 import numpy as np
@@ -86,6 +86,19 @@ def release() -> None:
         trim(0)
 
 
+def releasing(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``work`` on a partition's batches, which gives back at its end what it freed: a worker that waits holds little."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch], *args, **options) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches, *args, **options)
+        finally:
+            release()
+
+    return run
+
+
 @lru_cache(1)
 def _trim():
     return getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -76,6 +76,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Rec
             yield part, out
 
 
+@K.releasing
 def _sign(batches: Iterator[pa.RecordBatch], size: int, coordinates: int, seed: int) -> Iterator[pa.RecordBatch]:
     """Per text its number of shingles, a mark of its set, and one posting key for each coordinate."""
     rng = np.random.default_rng(seed)
@@ -98,6 +99,7 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, coordinates: int, seed:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), marks, signs], ["doc_id", "n_shingles", "mark", "sign"])
 
 
+@K.releasing
 def _shingles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for part, sets in _sets(batches, size):
         marks = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -277,7 +279,10 @@ def _counted(mixed: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
     sparse = SPARSE
 
     def count(table: pa.Table) -> pa.Table:
-        return _count(table, matches, sparse)
+        try:
+            return _count(table, matches, sparse)
+        finally:
+            K.release()
 
     return small_ones.unionByName(large).groupBy("bucket", "i", "j").applyInArrow(count, "a long, b long, dense boolean")
 
@@ -324,7 +329,10 @@ def _linked_in_blocks(trees: DataFrame, homes: DataFrame, sets: DataFrame, perce
     rows = _sides(rows, "group", BLOCK).join(sets, "node")
 
     def block(table: pa.Table) -> pa.Table:
-        return _block(table, percent)
+        try:
+            return _block(table, percent)
+        finally:
+            K.release()
 
     return _dealt(rows, ["group", "node", "home", "main", "shingles"]).groupBy("group", "i", "j").applyInArrow(block, "a long, b long")
 

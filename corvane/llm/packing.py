@@ -143,6 +143,7 @@ class _Stream:
         self.docs, self.waiting = rest, base - begin
 
 
+@K.releasing
 def _pack(batches: Iterator[pa.RecordBatch], name: str, size: int, end_id: int, sentence: float, hard: float) -> Iterator[pa.RecordBatch]:
     coder = encoder(name)
     task, done, stream = TaskContext.get().partitionId(), set(), None

@@ -63,6 +63,7 @@ def _sentences(column: pa.Array) -> tuple[K.Words, np.ndarray, np.ndarray]:
     return w, text, np.cumsum(new) - 1
 
 
+@K.releasing
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct (label, doc, sentence, word) of the training sample; sentences are numbered inside their text."""
     for batch in batches:
@@ -177,6 +178,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_score, model=sent), "doc_id long, score double, offending array<struct<start: long, end: long, score: double>>")
 
 
+@K.releasing
 def _keep_clean(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column("text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -324,6 +325,17 @@ def test_counts_by_hand(spark):
     assert "length" in r.failed
 
 
+def test_workers_give_memory_back(monkeypatch):
+    """After the last batch of a partition too, however small it is."""
+    given = []
+    monkeypatch.setattr(kernels, "release", lambda: given.append(True))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b c d e f", None]})
+    assert sum(x.num_rows for x in near_dedup._sign(iter([batch]), 5, 64, 1)) == 2
+    assert given == [True]
+
+
 def test_rules_find_low_quality(spark, data):
     labels = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/labels.parquet")
     docs = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet")
@@ -394,6 +406,16 @@ def test_a_run_reads_its_own_changes(spark, tmp_path, monkeypatch):
     assert len(set.union(*folders)) == 10
 
 
+def test_state_is_closed_with_its_tasks(spark):
+    """No store of a partition stays open in an executor once the stream is done."""
+    held = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.streaming.state.StateStore$").getDeclaredField("loadedProviders")
+    held.setAccessible(True)
+    runs = lambda: set(re.findall(r"queryRunId=([\w-]+)", held.get(None).toString()))
+    before = runs()
+    exact_dedup.deduplicate(frame(spark, [(i, f"text {i % 7}") for i in range(30)]))
+    assert runs() <= before
+
+
 def test_one_row_of_each_text_stays(spark):
     rows = frame(spark, [(1, "a"), (1, "a"), (2, " a"), (2, "a"), (3, None), (4, ""), (None, "z"), (None, "z")])
     got = exact_dedup.distinct_documents(rows)
