@@ -225,8 +225,9 @@ def origin_scores(queries: DataFrame, corpus: DataFrame, origins: DataFrame) ->
     return rows.select("query_id", "doc_id", dot(F.col("_q"), F.col("embedding")).alias("pos_score"))
 
 
-#: Cells of a similarity join, rows that a cell stands for at least, and rows on each side of a block.
-CELLS, CELL_ROWS, BLOCK_ROWS = 1024, 2048, 4096
+#: Cells of a similarity join, and rows that a cell stands for at least. Rows and bytes, as doubles, of a block, two of which a
+#: worker holds; rows on each side of a tile, of which it holds one set of scores; pairs that leave a worker together, or a tile's.
+CELLS, CELL_ROWS, BLOCK_ROWS, BLOCK_BYTES, JOIN_TILE, SENT_PAIRS = 1024, 2048, 1 << 17, 32 << 20, 1024, 1 << 16
 
 
 def _gaps(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -235,10 +236,10 @@ def _gaps(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _extents(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """Per batch and cell: rows, the largest distance from the centre, and the largest length."""
+    """Per tile of rows and cell: rows, the largest distance from the centre, and the largest length."""
     for batch in batches:
-        if batch.num_rows:
-            m = _matrix(batch.column("embedding"))
+        for k in range(0, batch.num_rows, TILE_ROWS):
+            m = _matrix(batch.column("embedding").slice(k, TILE_ROWS))
             gap = _gaps(m, sent.value)
             home = gap.argmin(1)
             cells = np.unique(home)
@@ -247,66 +248,181 @@ def _extents(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array([int((home == c).sum()) for c in cells]), pa.array(far, pa.float64()), pa.array(length, pa.float64())], ["cell", "rows", "radius", "length"])
 
 
-def _deal(batches: Iterator[pa.RecordBatch], sent, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Each row to its own cell, and to each other cell in which a partner may be."""
-    centres, radius, length = sent.value
+def _open(centres: np.ndarray, radius: np.ndarray, length: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of cells may hold partners; those with NaN may."""
+    # x.y > t means |x - y|^2 < |x|^2 + |y|^2 - 2t, and |x - y| is at least the gap of the centres less both radii
+    reach = (length**2)[:, None] + (length**2)[None] - 2 * threshold
+    size = length + np.sqrt((centres**2).sum(1))
+    slack = 1e-6 * (size[:, None] + size[None])
+    return ~(reach < -(slack**2)) & ~(_gaps(centres, centres) > radius[:, None] + radius[None] + np.sqrt(np.maximum(reach, 0)) + slack)
+
+
+def _blocks(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Per cell its first block and how many it has, and the cells of each block: whole cells together, or a part of one."""
+    first, pieces, blocks, room = np.zeros(len(rows), np.int64), np.ones(len(rows), np.int64), [], 0
+    for c, n in enumerate(rows):
+        if n > most:
+            first[c], pieces[c], room = len(blocks), -(-n // most), 0
+            blocks += [[c] for _ in range(pieces[c])]
+        elif n:
+            if room < n:
+                blocks.append([])
+                room = most
+            first[c], room = len(blocks) - 1, room - n
+            blocks[-1].append(c)
+    return first, pieces, blocks
+
+
+def _deal(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """Each row to its own block, and to each pair of that with a block in which a partner may be."""
+    centres, first, pieces, near = sent.value
+    for batch in batches:
+        for k in range(0, batch.num_rows, TILE_ROWS):
+            part = batch.slice(k, TILE_ROWS)
+            home = _gaps(_matrix(part.column("embedding")), centres).argmin(1)
+            mixed = part.column("doc_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            own = first[home] + (mixed % pieces[home].astype(np.uint64)).astype(np.int64)
+            for other in range(near.shape[1]):
+                at = np.flatnonzero(near[home, other] | (own == other))
+                if len(at):
+                    x = own[at]
+                    data = part.select(["doc_id", "embedding"]).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, other)), pa.array(np.maximum(x, other)), pa.array(x <= other), pa.array(home[at]), *data.columns], ["i", "j", "is_left", "cell", "doc_id", "embedding"])
+
+
+def _over(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows over the threshold, and their scores; NaN is over it, as in SQL. What lies so near the threshold that the
+    order of summation could decide is summed in the order of the dimensions."""
+    score = a @ b.T
+    square = [x[np.isfinite(x)].max(initial=0) for x in ((a**2).sum(1), (b**2).sum(1))]
+    slack = 8 * (a.shape[1] + 4) * np.finfo(np.float64).eps * np.sqrt(square[0] * square[1])
+    row, col = np.divmod(np.flatnonzero(~(score <= threshold - slack)), max(1, len(b)))
+    value = score[row, col]
+    close = np.flatnonzero(np.abs(value - threshold) <= slack)
+    if len(close):
+        value[close] = Scorer(a).exact(row[close], b, col[close])
+        good = ~(value <= threshold)
+        row, col, value = row[good], col[good], value[good]
+    return row, col, value
+
+
+class _Side:
+    """Rows of a block, in tiles that lie in one cell each."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        cell, ids, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        order = np.argsort(cell, kind="stable")
+        self.ids, self.m, cell = ids[order], m[order], cell[order]
+        edges = np.r_[np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell)]
+        self.tiles = [(cell[x], slice(k, min(k + JOIN_TILE, y))) for x, y in zip(edges[:-1], edges[1:], strict=True) for k in range(x, y, JOIN_TILE)]
+
+
+def _pairs_over(batches: Iterator[pa.RecordBatch], threshold: float, near: np.ndarray) -> Iterator[tuple]:
+    """Of one pair of blocks: both sides, and the pairs of their rows over the threshold, a tile at a time."""
+    parts: dict[bool, list] = {True: [], False: []}
+    alone = False
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        m = _matrix(batch.column("embedding"))
-        gap = _gaps(m, centres)
-        home = gap.argmin(1)
-        # x.y > t means |x - y|^2 < |x|^2 + |y|^2 - 2t, and |x - y| is at least the gap to y's centre less y's
-        reach = (m**2).sum(1)[:, None] + (length**2)[None] - 2 * threshold + 1e-9
-        near = (reach > 0) & (gap <= radius[None] + np.sqrt(np.maximum(reach, 0)) + 1e-9) & (radius >= 0)[None]
-        near[np.arange(len(m)), home] = True
-        row, cell = np.nonzero(near)
-        data = batch.select(["doc_id", "embedding"]).take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(home[row] == cell), *data.columns], ["cell", "own", "doc_id", "embedding"])
-
-
-def _over(table: pa.Table, threshold: float) -> pa.Table:
-    """Pairs of own rows with rows of greater ids: each pair is found in the cell of its smaller id alone."""
-    ids, own = table.column("doc_id").to_numpy(), table.column("is_left").to_numpy()
-    m = _matrix(table.column("embedding").combine_chunks())
-    a, b = np.flatnonzero(own), np.flatnonzero(~own)
-    score = m[a] @ m[b].T
-    x, y = np.nonzero((score > threshold) & (ids[a][:, None] < ids[b][None]))
-    return pa.table({"a": ids[a[x]], "b": ids[b[y]], "score": score[x, y]}, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())]))
+        if batch.num_rows:
+            alone = batch.column("i")[0] == batch.column("j")[0]
+            cell, left, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "is_left", "doc_id"))
+            values = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for side in (True, False):
+                if (left == side).any():
+                    parts[side].append((cell[left == side], ids[left == side], values[left == side]))
+    if not parts[True] or not (alone or parts[False]):
+        return
+    a = _Side(parts[True])
+    b = a if alone else _Side(parts[False])
+    for k, (c, x) in enumerate(a.tiles):
+        m = a.m[x].astype(np.float64)
+        for d, y in b.tiles[k if alone else 0 :]:
+            if near[c, d]:
+                row, col, value = _over(m, b.m[y].astype(np.float64), threshold)
+                row, col = row + x.start, col + y.start
+                good = a.ids[row] != b.ids[col]
+                if alone:
+                    good &= row < col
+                if good.any():
+                    yield a, b, row[good], col[good], value[good]
+
+
+def _join(corpus: DataFrame, threshold: float, cells: int | None, found, schema: str) -> DataFrame:
+    """What ``found``, given the batches of a pair of blocks and the open pairs of cells, makes of each pair of blocks."""
+    spark = corpus.sparkSession
+    kind = "array<float>" if corpus.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = corpus.select(F.col("doc_id").cast("long"), F.col("embedding").cast(kind).alias("embedding")).where("doc_id is not null and embedding is not null")
+    total, tasks = rows.count(), spark.sparkContext.defaultParallelism
+    picked = rows.orderBy(priority(42), "doc_id").limit(max(1, cells or min(CELLS, -(-total // CELL_ROWS)))).select("embedding").toArrow().combine_chunks()
+    if not picked.num_rows:
+        return spark.createDataFrame([], schema)
+    centres = np.unique(_matrix(picked.column("embedding").combine_chunks()), axis=0)
+    rows = rows.repartition(tasks)
+    extents = rows.mapInArrow(partial(_extents, sent=spark.sparkContext.broadcast(centres)), "cell long, rows long, radius double, length double")
+    count, radius, length = np.zeros(len(centres), np.int64), np.zeros(len(centres)), np.zeros(len(centres))
+    for r in extents.groupBy("cell").agg(F.sum("rows").alias("rows"), F.max("radius").alias("radius"), F.max("length").alias("length")).collect():  # one row a cell
+        count[r.cell], radius[r.cell], length[r.cell] = r.rows, r.radius, r.length
+    near = _open(centres, radius, length, threshold)
+    # as few as fit a worker, but pairs of blocks for all tasks
+    most = min(BLOCK_ROWS, max(1, BLOCK_BYTES // (8 * max(1, centres.shape[1]))), max(CELL_ROWS, -(-total // int(np.ceil(np.sqrt(8 * tasks))))))
+    first, pieces, blocks = _blocks(count, most)
+    to = np.stack([near[:, c].any(1) for c in blocks], 1)
+    dealt = rows.mapInArrow(partial(_deal, sent=spark.sparkContext.broadcast((centres, first, pieces, to))), f"i long, j long, is_left boolean, cell long, doc_id long, embedding {kind}")
+    sent = spark.sparkContext.broadcast(near)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return found(batches, threshold, sent.value)
+
+    return dealt.groupBy("i", "j").applyInArrow(run, schema)
+
+
+def _found_pairs(batches: Iterator[pa.RecordBatch], threshold: float, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def sent() -> pa.RecordBatch:
+        x, y, score = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(score)], ["a", "b", "score"])
+
+    for a, b, row, col, value in _pairs_over(batches, threshold, near):
+        held.append((a.ids[row], b.ids[col], value))
+        size += len(row)
+        if size >= SENT_PAIRS:
+            yield sent()
+            size = 0
+    if held:
+        yield sent()
+
+
+def _found_counts(batches: Iterator[pa.RecordBatch], threshold: float, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+    counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for a, b, row, col, _ in _pairs_over(batches, threshold, near):
+        for side, at in ((a, row), (b, col)):
+            n = counts.setdefault(id(side), (side.ids, np.zeros(len(side.ids), np.int64)))[1]
+            low = at.min()
+            some = np.bincount(at - low)
+            n[low : low + len(some)] += some
+    for ids, n in counts.values():
+        yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0])], ["doc_id", "n"])
 
 
 def neighbours(corpus: DataFrame, threshold: float, cells: int | None = None) -> DataFrame:
-    """Pairs a < b with inner product over the threshold, exactly.
+    """Pairs a < b with inner product over the threshold, exactly: a, b, score.
 
-    Rows fall to the nearest of some centres. A row is sent, besides its own cell, only to cells that the triangle
-    inequality leaves open: those whose radius and the threshold reach it. Cells are compared in blocks of bounded size.
-    How much that spares depends on how the vectors lie; the worst case is the square of the corpus.
+    Rows fall to the nearest of some centres, and cells to blocks of bounded size. Each pair of blocks is one group; a row is
+    sent to those of its own block with blocks that have a cell which the triangle inequality leaves open: one whose
+    radius and the threshold reach the row's cell. A worker holds two blocks and the scores of one tile, and pairs leave it
+    as they are found. How much the cells spare depends on how the vectors lie; the worst case is the square of the
+    corpus, and a row is then sent as many times as there are blocks.
     """
-    spark = corpus.sparkSession
-    rows = corpus.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where("doc_id is not null and embedding is not null")
-    n = cells or min(CELLS, -(-rows.count() // CELL_ROWS))
-    picked = rows.orderBy(priority(42), "doc_id").limit(max(1, n)).select("embedding").toArrow().combine_chunks()
-    if not picked.num_rows:
-        return spark.createDataFrame([], "a long, b long, score double")
-    centres = np.unique(_matrix(picked.column("embedding").combine_chunks()), axis=0)
-    found = rows.mapInArrow(partial(_extents, sent=spark.sparkContext.broadcast(centres)), "cell long, rows long, radius double, length double")
-    radius, length = np.full(len(centres), -1.0), np.zeros(len(centres))
-    for r in found.groupBy("cell").agg(F.max("radius").alias("radius"), F.max("length").alias("length")).collect():  # one row a cell
-        radius[r.cell], length[r.cell] = r.radius, r.length
-    sent = spark.sparkContext.broadcast((centres, radius, length))
-    dealt = stored(rows.mapInArrow(partial(_deal, sent=sent, threshold=threshold), "cell long, own boolean, doc_id long, embedding array<double>"), "neighbours")
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_ROWS)).cast("int")
-    sizes = dealt.groupBy("cell").agg(blocks(F.count_if("own")).alias("n_left"), blocks(F.count("*")).alias("n_right"))
-    placed = dealt.join(F.broadcast(sizes), "cell")
-    at = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = placed.where("own").select("cell", "doc_id", "embedding", F.lit(True).alias("is_left"), at("n_left").alias("i"), every("n_right").alias("j"))
-    right = placed.select("cell", "doc_id", "embedding", F.lit(False).alias("is_left"), every("n_left").alias("i"), at("n_right").alias("j"))
-
-    def over(table: pa.Table) -> pa.Table:
-        return _over(table, threshold)
-
-    return left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(over, "a long, b long, score double")
+    return _join(corpus, threshold, cells, _found_pairs, "a long, b long, score double")
+
+
+def neighbour_counts(corpus: DataFrame, threshold: float, cells: int | None = None) -> DataFrame:
+    """Per document how many others are over the threshold, those without any left out: doc_id, n. Pairs are counted where
+    they are found."""
+    rows = _join(corpus, threshold, cells, _found_counts, "doc_id long, n long")
+    return rows.groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 
 def priority(seed: int, key: str = "doc_id") -> Column:

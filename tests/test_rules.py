@@ -436,6 +436,46 @@ def test_neighbours_by_brute_force(spark, cells, threshold, monkeypatch):
     assert vectors.neighbours(rows.limit(0), threshold).count() == 0
 
 
+def odd_vectors(spark, path):
+    """Copies, a zero vector, NaN, infinite and long ones, scores at the threshold, and rows without a vector."""
+    rng = np.random.default_rng(4)
+    m = np.concatenate([rng.normal(size=(120, 4)), np.repeat(rng.normal(size=(3, 4)), 30, 0), [[0.0] * 4, [0.5, 0, 0, 0], [0.6, 0, 0, 0], [np.nan, 0, 0, 0], [np.inf, 1, 1, 1], [1e4, 0, 0, 1]]])
+    m[:210] /= np.linalg.norm(m[:210], axis=1, keepdims=True)
+    rows = [*((i, [float(x) for x in v]) for i, v in enumerate(m)), (500, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{path}/embeddings.parquet")
+    return f"WITH embeddings AS (SELECT * FROM '{path}/embeddings.parquet/*.parquet') SELECT * FROM ("
+
+
+@pytest.mark.parametrize("name", ["j15_neighbour_pairs"])
+def test_neighbours_of_odd_vectors(spark, duck, tmp_path, monkeypatch, name):
+    before = odd_vectors(spark, str(tmp_path))
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(vectors, "CELL_ROWS", 25)
+    same(QUERIES[name](spark, str(tmp_path)), duck.sql(f"{before}{ORACLE_SQL[name]})").to_arrow_table())
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_neighbours_leave_workers_in_bounded_batches(spark, monkeypatch, copies):
+    """Though all cells are open to all rows, and though all rows are near each other."""
+    m, corpus = vector_rows(spark, 4000, 8, 5)
+    if copies:
+        corpus = corpus.withColumn("embedding", F.array(*[F.lit(0.5).cast("float")] * 8))
+    seen = []
+    frame, group = type(corpus), type(corpus.groupBy())
+    deal, join = frame.mapInArrow, group.applyInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, f, *more: seen.append((f, df)) or deal(df, f, *more))
+    monkeypatch.setattr(group, "applyInArrow", lambda g, f, *more: seen.append((f, g._df)) or join(g, f, *more))
+    near = vectors.neighbours(corpus, -0.9, 10)
+    assert len(seen) == 3
+    made = [[b.num_rows for b in f(iter(df.toArrow().combine_chunks().to_batches()[:1]))] for f, df in seen[:2]]
+    assert max(max(x) for x in made) <= vectors.TILE_ROWS
+    table = seen[2][1].where("i = j").toArrow()
+    sizes = [b.num_rows for b in seen[2][0](iter(table.filter(pa.compute.equal(table["i"], table["i"][0])).combine_chunks().to_batches()))]
+    assert sum(sizes) > vectors.SENT_PAIRS
+    assert max(sizes) < vectors.SENT_PAIRS + vectors.JOIN_TILE**2
+    assert near.count() == (4000 * 3999 // 2 if copies else int((np.triu(m.astype(np.float32).astype(float) @ m.astype(np.float32).astype(float).T > -0.9, 1)).sum()))
+
+
 def test_samples_beyond_a_heap(spark, monkeypatch):
     rows = spark.range(300).withColumnRenamed("id", "k")
     few = [[r.k for r in f.collect()] for f in (sampling.sample(rows, 70, 1, "k"), sampling.half(rows, 1, "k"))]
