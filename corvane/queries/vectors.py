@@ -129,8 +129,7 @@ def v05_rows(spark, d):
 
 @query("v06_all_neighbours", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS doc_id, count(*) AS n FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) > 0.3 GROUP BY 1")
 def v06(spark, d):
-    near = vectors.neighbours(_corpus(spark, d), 0.3)
-    return near.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return vectors.neighbour_counts(_corpus(spark, d), 0.3)
 
 
 @query("v07_export_indexed", "SELECT CAST(vec_id AS VARCHAR) AS doc_id, 'doc ' || vec_id AS doc FROM embeddings")

@@ -446,7 +446,7 @@ def odd_vectors(spark, path):
     return f"WITH embeddings AS (SELECT * FROM '{path}/embeddings.parquet/*.parquet') SELECT * FROM ("
 
 
-@pytest.mark.parametrize("name", ["j15_neighbour_pairs"])
+@pytest.mark.parametrize("name", ["j15_neighbour_pairs", "v06_all_neighbours"])
 def test_neighbours_of_odd_vectors(spark, duck, tmp_path, monkeypatch, name):
     before = odd_vectors(spark, str(tmp_path))
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 40)
@@ -476,6 +476,18 @@ def test_neighbours_leave_workers_in_bounded_batches(spark, monkeypatch, copies)
     assert near.count() == (4000 * 3999 // 2 if copies else int((np.triu(m.astype(np.float32).astype(float) @ m.astype(np.float32).astype(float).T > -0.9, 1)).sum()))
 
 
+def test_counts_of_neighbours_leave_workers_as_counts(spark, data, monkeypatch):
+    made = []
+    group = type(spark.range(1).groupBy())
+    join = group.applyInArrow
+    monkeypatch.setattr(group, "applyInArrow", lambda g, f, schema: made.append(join(g, f, schema)) or made[0])
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 200)
+    n = sum(r.n for r in QUERIES["v06_all_neighbours"](spark, data).collect())
+    assert made[0].columns == ["doc_id", "n"]
+    made.clear()
+    assert QUERIES["j15_neighbour_pairs"](spark, data).count() * 2 == n
+
+
 def test_samples_beyond_a_heap(spark, monkeypatch):
     rows = spark.range(300).withColumnRenamed("id", "k")
     few = [[r.k for r in f.collect()] for f in (sampling.sample(rows, 70, 1, "k"), sampling.half(rows, 1, "k"))]
