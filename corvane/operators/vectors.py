@@ -429,20 +429,32 @@ def priority(seed: int, key: str = "doc_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
 
 
-def diverse(corpus: DataFrame, threshold: float, seed: int = 42, target: int | None = None, rounds: int = 100) -> DataFrame:
-    """Greedy selection in the order of a keyed digest, each pick removing its neighbours: doc_id, priority.
+#: Rows of the first part of a greedy selection, as expected, and how many times as far each next part reaches.
+FIRST_ROWS, FURTHER = 4096, 4
+_DIGESTS = 1 << 32
 
-    The greedy set is the lexicographically first maximal independent set, so it is found in parallel rounds: an undecided
-    row that precedes all its undecided neighbours is picked, and its neighbours go. Later picks never change earlier
-    ones, so ``target`` is a prefix. Rounds are stored; too many raise.
-    """
-    nodes = stored(corpus.select(F.col("doc_id").cast("long")).distinct().withColumn("p", priority(seed)), "diverse-nodes")
-    near = neighbours(corpus, threshold).select("a", "b")
-    p = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("p").alias(f"p_{x}"))
+
+def _near_block(batches: Iterator[pa.RecordBatch], sent, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Ids of rows that are over the threshold with any of the block."""
+    queries = sent.value[1]
+    for batch in batches:
+        if batch.num_rows:
+            m, found = _matrix(batch.column("embedding")), np.zeros(batch.num_rows, bool)
+            for k in range(0, len(queries), TILE_QUERIES):
+                for y in range(0, len(m), TILE_ROWS):
+                    at = y + np.flatnonzero(~found[y : y + TILE_ROWS])
+                    if len(at):
+                        found[at[_over(queries[k : k + TILE_QUERIES], m[at], threshold)[1]]] = True
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(found))], ["doc_id"])
+
+
+def _walk(rows: DataFrame, threshold: float, seed: int, rounds: int) -> DataFrame:
+    """The greedy selection of rows, all neighbours at once: doc_id, p."""
+    nodes = stored(rows.select("doc_id", "p").distinct(), "diverse-nodes")
+    near = neighbours(rows, threshold)
     # from the earlier row to the later one
-    edges = near.join(p("a"), "a").join(p("b"), "b")
-    first = F.struct("p_a", "a") < F.struct("p_b", "b")
-    edges = stored(edges.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v")).distinct(), "diverse-edges")
+    first = F.struct(priority(seed, "a"), "a") < F.struct(priority(seed, "b"), "b")
+    edges = stored(near.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v")).distinct(), "diverse-edges")
     undecided, picked = nodes, nodes.limit(0)
     for _ in range(rounds):
         ready = stored(undecided.join(edges.select(F.col("v").alias("doc_id")), "doc_id", "left_anti"), "diverse-ready")
@@ -450,11 +462,38 @@ def diverse(corpus: DataFrame, threshold: float, seed: int = 42, target: int | N
         gone = edges.join(ready.select(F.col("doc_id").alias("u")), "u", "left_semi").select(F.col("v").alias("doc_id")).distinct()
         undecided = stored(undecided.join(ready, "doc_id", "left_anti").join(gone, "doc_id", "left_anti"), "diverse-undecided")
         if undecided.isEmpty():
-            break
+            return picked
         alive = lambda x: undecided.select(F.col("doc_id").alias(x))  # noqa: B023, E731
         edges = stored(edges.join(alive("u"), "u", "left_semi").join(alive("v"), "v", "left_semi"), "diverse-edges")
-    else:
-        raise RuntimeError(f"the selection did not settle in {rounds} rounds")
+    raise RuntimeError(f"the selection did not settle in {rounds} rounds")
+
+
+def diverse(corpus: DataFrame, threshold: float, seed: int = 42, target: int | None = None, rounds: int = 100) -> DataFrame:
+    """Greedy selection in the order of a keyed digest, each pick removing its neighbours: doc_id, priority. Rows without an
+    id are left out; those without a vector have no neighbours.
+
+    The order is taken in parts, each reaching some times as far as the one before. Picks of a part remove their neighbours
+    from all later rows, so that few pairs are left to a part, however many there are: only pairs inside of parts are ever
+    written, and all others are scored with picks alone. Within a part the greedy set is the lexicographically first
+    maximal independent set, found in parallel rounds: an undecided row that precedes all its undecided neighbours is picked,
+    and its neighbours go. Later picks never change earlier ones, so ``target`` is a prefix. Rounds are stored; too many raise.
+    """
+    place = F.conv(F.substring("p", 1, 8), 16, 10).cast("long")
+    rest = corpus.select(F.col("doc_id").cast("long"), "embedding").where("doc_id is not null").withColumn("p", priority(seed)).withColumn("place", place)
+    rest = stored(rest, "diverse-rows")
+    n, reach, picked = rest.count(), 0, None
+    while True:
+        reach = min(_DIGESTS, FURTHER * reach or _DIGESTS * FIRST_ROWS // max(1, n) + 1)
+        part, later = rest.where(F.col("place") < reach), rest.where(F.col("place") >= reach)
+        some = stored(_walk(part, threshold, seed, rounds), "diverse-picked")
+        picked = some if picked is None else picked.unionByName(some)
+        if reach == _DIGESTS:
+            break
+        taken = part.join(some.select("doc_id"), "doc_id", "left_semi").where("embedding is not null").select(F.col("doc_id").alias("query_id"), "embedding")
+        gone = _by_block(taken, later.where("embedding is not null"), partial(_near_block, threshold=threshold), "doc_id long").distinct()
+        rest = stored(later.join(gone, "doc_id", "left_anti"), "diverse-rest")
+        if rest.isEmpty():
+            break
     picked = picked.select("doc_id", F.col("p").alias("priority"))
     return picked if target is None else picked.orderBy("priority", "doc_id").limit(target)
 

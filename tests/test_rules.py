@@ -446,11 +446,12 @@ def odd_vectors(spark, path):
     return f"WITH embeddings AS (SELECT * FROM '{path}/embeddings.parquet/*.parquet') SELECT * FROM ("
 
 
-@pytest.mark.parametrize("name", ["j15_neighbour_pairs", "v06_all_neighbours"])
+@pytest.mark.parametrize("name", ["j15_neighbour_pairs", "v06_all_neighbours", "v03_diverse_selection"])
 def test_neighbours_of_odd_vectors(spark, duck, tmp_path, monkeypatch, name):
     before = odd_vectors(spark, str(tmp_path))
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 40)
     monkeypatch.setattr(vectors, "CELL_ROWS", 25)
+    monkeypatch.setattr(vectors, "FIRST_ROWS", 20)
     same(QUERIES[name](spark, str(tmp_path)), duck.sql(f"{before}{ORACLE_SQL[name]})").to_arrow_table())
 
 
@@ -488,6 +489,21 @@ def test_counts_of_neighbours_leave_workers_as_counts(spark, data, monkeypatch):
     assert QUERIES["j15_neighbour_pairs"](spark, data).count() * 2 == n
 
 
+@pytest.mark.parametrize("target", [None])
+def test_diverse_selection_writes_few_pairs(spark, monkeypatch, target):
+    """Of 3,000 rows in 30 groups of copies, which have 148,500 pairs."""
+    m, _ = vector_rows(spark, 30, 40, 8)
+    corpus = spark.createDataFrame([(i, [float(x) for x in m[i % 30]]) for i in range(3000)], "doc_id long, embedding array<float>")
+    monkeypatch.setattr(vectors, "FIRST_ROWS", 200, raising=False)
+    pairs, scored = [], []
+    near, block = vectors.neighbours, vectors._by_block
+    monkeypatch.setattr(vectors, "neighbours", lambda rows, t: pairs.append(near(rows, t)) or pairs[-1])
+    monkeypatch.setattr(vectors, "_by_block", lambda *a: scored.append(a) or block(*a))
+    got = vectors.diverse(corpus, 0.9, target=target).collect()
+    assert len({r.doc_id % 30 for r in got}) == len(got) == (target or 30)
+    assert sum(p.count() for p in pairs) < 5_000
+
+
 def test_samples_beyond_a_heap(spark, monkeypatch):
     rows = spark.range(300).withColumnRenamed("id", "k")
     few = [[r.k for r in f.collect()] for f in (sampling.sample(rows, 70, 1, "k"), sampling.half(rows, 1, "k"))]
