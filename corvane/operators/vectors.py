@@ -476,7 +476,8 @@ def diverse(corpus: DataFrame, threshold: float, seed: int = 42, target: int | N
     from all later rows, so that few pairs are left to a part, however many there are: only pairs inside of parts are ever
     written, and all others are scored with picks alone. Within a part the greedy set is the lexicographically first
     maximal independent set, found in parallel rounds: an undecided row that precedes all its undecided neighbours is picked,
-    and its neighbours go. Later picks never change earlier ones, so ``target`` is a prefix. Rounds are stored; too many raise.
+    and its neighbours go. Later picks never change earlier ones, so ``target`` is a prefix, and parts after it are not
+    begun. Rounds are stored; too many raise.
     """
     place = F.conv(F.substring("p", 1, 8), 16, 10).cast("long")
     rest = corpus.select(F.col("doc_id").cast("long"), "embedding").where("doc_id is not null").withColumn("p", priority(seed)).withColumn("place", place)
@@ -487,7 +488,7 @@ def diverse(corpus: DataFrame, threshold: float, seed: int = 42, target: int | N
         part, later = rest.where(F.col("place") < reach), rest.where(F.col("place") >= reach)
         some = stored(_walk(part, threshold, seed, rounds), "diverse-picked")
         picked = some if picked is None else picked.unionByName(some)
-        if reach == _DIGESTS:
+        if reach == _DIGESTS or (target is not None and picked.count() >= target):
             break
         taken = part.join(some.select("doc_id"), "doc_id", "left_semi").where("embedding is not null").select(F.col("doc_id").alias("query_id"), "embedding")
         gone = _by_block(taken, later.where("embedding is not null"), partial(_near_block, threshold=threshold), "doc_id long").distinct()

@@ -446,7 +446,7 @@ def odd_vectors(spark, path):
     return f"WITH embeddings AS (SELECT * FROM '{path}/embeddings.parquet/*.parquet') SELECT * FROM ("
 
 
-@pytest.mark.parametrize("name", ["j15_neighbour_pairs", "v06_all_neighbours", "v03_diverse_selection"])
+@pytest.mark.parametrize("name", ["j15_neighbour_pairs", "v06_all_neighbours", "v03_diverse_selection", "v03_diverse_target"])
 def test_neighbours_of_odd_vectors(spark, duck, tmp_path, monkeypatch, name):
     before = odd_vectors(spark, str(tmp_path))
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 40)
@@ -489,9 +489,9 @@ def test_counts_of_neighbours_leave_workers_as_counts(spark, data, monkeypatch):
     assert QUERIES["j15_neighbour_pairs"](spark, data).count() * 2 == n
 
 
-@pytest.mark.parametrize("target", [None])
+@pytest.mark.parametrize("target", [None, 20])
 def test_diverse_selection_writes_few_pairs(spark, monkeypatch, target):
-    """Of 3,000 rows in 30 groups of copies, which have 148,500 pairs."""
+    """Of 3,000 rows in 30 groups of copies, which have 148,500 pairs; a target needs the first part alone."""
     m, _ = vector_rows(spark, 30, 40, 8)
     corpus = spark.createDataFrame([(i, [float(x) for x in m[i % 30]]) for i in range(3000)], "doc_id long, embedding array<float>")
     monkeypatch.setattr(vectors, "FIRST_ROWS", 200, raising=False)
@@ -502,6 +502,7 @@ def test_diverse_selection_writes_few_pairs(spark, monkeypatch, target):
     got = vectors.diverse(corpus, 0.9, target=target).collect()
     assert len({r.doc_id % 30 for r in got}) == len(got) == (target or 30)
     assert sum(p.count() for p in pairs) < 5_000
+    assert not target or len(pairs) == 1 and not scored
 
 
 def test_samples_beyond_a_heap(spark, monkeypatch):
